@@ -7,7 +7,7 @@ classes only, so a group of copies costs as much as one text, however large.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-
-MEMBER_SCHEMA = "tbl string, key string, rid long, words binary"
-
+from .storage import store
 
 def message_text(messages: Column | str) -> Column:
     """Contents of the messages in order, joined by a blank; null and empty messages give an empty text."""
@@ -43,33 +41,44 @@ def fold(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def members(texts: DataFrame) -> DataFrame:
-    """(tbl, key, rid, words) of every row of (tbl, key, text) whose text has a word.
+def _hashed(texts: DataFrame, once: bool, output: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """output(batch, rid, words, rows) over all rows of (tbl, key, text) that have a word.
 
-    words holds four bytes per word.  Rows met twice within a partition are
-    given once; null keys and texts without words are left out.
+    Rows met again in a partition, or with ``once`` also other rows of a class
+    met there, are left out; so are null keys and texts without words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        classes: set[int] = set()
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+            for i, row in enumerate(zip(*(c.to_pylist() for c in (batch.columns[2:] if once else batch.columns)))):
                 if (h := hash(row)) not in seen:
                     seen.add(h)
                     keep[i] = True
             batch = batch.filter(pa.array(keep))
             hashes, rows = W.words(batch.column(2))
             rid = W.rowid(hashes, rows)
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rid), _binary(fold(hashes), rows)], ["tbl", "key", "rid", "words"])
-            yield out.filter(pa.array(np.diff(rows) > 0))
+            keep = np.diff(rows) > 0
+            if once:
+                for i, r in enumerate(rid.tolist()):
+                    if r in classes:
+                        keep[i] = False
+                    classes.add(r)
+            yield output(batch, rid, fold(hashes), rows).filter(pa.array(keep))
 
-    return texts.filter("key is not null and text is not null").select("tbl", "key", "text").mapInArrow(run, MEMBER_SCHEMA)
+    return texts.filter("key is not null and text is not null").select("tbl", "key", "text").mapInArrow(run, schema)
+
+
+def members(texts: DataFrame) -> DataFrame:
+    """(tbl, key, rid): the class of every row of (tbl, key, text) whose text has a word."""
+    return _hashed(texts, False, lambda batch, rid, words, rows: pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rid)], ["tbl", "key", "rid"]), "tbl string, key string, rid long")
 
 
-def class_table(rows: DataFrame) -> DataFrame:
-    """One row (rid, words) per class."""
-    return rows.select("rid", "words").dropDuplicates(["rid"])
+def class_words(texts: DataFrame) -> DataFrame:
+    """(rid, words) of the classes of (tbl, key, text), four bytes a word; a class once for every partition that has it."""
+    return _hashed(texts, True, lambda batch, rid, words, rows: pa.RecordBatch.from_arrays([pa.array(rid), _binary(words, rows)], ["rid", "words"]), "rid long, words binary")
 
 
 def set3(words: np.ndarray, size: int = 3) -> np.ndarray:
@@ -92,8 +101,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def similar(pairs: DataFrame, classes: DataFrame, threshold: float, size: int = 3) -> DataFrame:
     """The pairs (a, b, ...) of classes whose shingle sets have a Jaccard similarity of at least ``threshold``."""
-    left = classes.select(F.col("rid").alias("a"), F.col("words").alias("wa"))
-    right = classes.select(F.col("rid").alias("b"), F.col("words").alias("wb"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    some = store(classes.select("rid", "words").join(wanted, "rid", "left_semi").dropDuplicates(["rid"]))
+    left = some.select(F.col("rid").alias("a"), F.col("words").alias("wa"))
+    right = some.select(F.col("rid").alias("b"), F.col("words").alias("wb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import classes as C
 from . import words as W
+from .storage import store
 
 
 def posted(classes: DataFrame, coordinates: int = 40, values: int = 3, size: int = 3) -> DataFrame:
@@ -46,13 +47,15 @@ def posted(classes: DataFrame, coordinates: int = 40, values: int = 3, size: int
 
 def candidates(posts: DataFrame, matches: int = 2) -> DataFrame:
     """Pairs (a, b), a < b, with at least ``matches`` equal coordinates."""
-    frequent = posts.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = posts.join(frequent, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t")).filter(F.size("t") >= matches)
+    placed = posts.repartition("token")  # one exchange for the count and the join
+    frequent = placed.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = placed.join(frequent, "token").groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("t")).filter(F.size("t") >= matches)
     prefix = shared.select("rid", F.explode(F.slice("t", F.lit(1), F.size("t") - (matches - 1))).alias("p"), "t").select("rid", F.col("p.token").alias("token"), F.transform("t", lambda x: x["token"]).alias("all"))
+    prefix = store(prefix)
     a = prefix.select(F.col("rid").alias("a"), "token", F.col("all").alias("x"))
     b = prefix.select(F.col("rid").alias("b"), "token", F.col("all").alias("y"))
     hits = a.join(b, "token").filter("a < b")
-    return hits.filter(F.size(F.array_intersect("x", "y")) >= matches).select("a", "b").distinct()
+    return store(hits.filter(F.size(F.array_intersect("x", "y")) >= matches).select("a", "b").distinct())
 
 
 def links(classes: DataFrame, threshold: float = 0.8, size: int = 5, coordinates: int = 40, values: int = 3, matches: int = 2) -> DataFrame:

@@ -13,7 +13,7 @@ Segments that many training passages have are the last to be looked up: an
 evaluation text looks up its rarest passages until they hold ``coverage`` of
 it.  A pair of similarity s shares at least s of the evaluation text, hence
 some looked-up passage if coverage > 1 - s.  Training substrings are first
-held against a bitmap of fixed size of all evaluation segments.
+held against a bitmap of fixed size of the evaluation segments in question.
 
 Texts of at most ``short`` words also look up every shingle as it stands, so
 that a pair without a passage within k edits isn't lost.
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import classes as C
 from . import words as W
+from .storage import store
 
 REACH = 5
 BITS = 23
@@ -105,34 +106,44 @@ def _shingle_rows(w: np.ndarray, rows: np.ndarray, rid: np.ndarray, limit: int,
     return _rows(rid[owner], key, index - at[owner] + (1 << 20), one, n[owner], C._binary(np.empty(0, np.uint32), np.zeros(len(owner) + 1, np.int64)))
 
 
-def looked_up(classes: DataFrame, k: int, short: int, size: int) -> DataFrame:
-    """Segments of the evaluation passages (and shingles of short texts)."""
+def _set_in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    low = key & np.uint64((1 << BITS) - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _only(batch: pa.RecordBatch, bits: np.ndarray | None) -> pa.RecordBatch:
+    return batch if bits is None else batch.filter(pa.array(_set_in(bits, batch.column(1).to_numpy().view(np.uint64))))
+
+
+def looked_up(classes: DataFrame, k: int, short: int, size: int, chosen: np.ndarray | None = None) -> DataFrame:
+    """Segments of the evaluation passages (and shingles of short texts).
+
+    Given a bitmap, only segments whose bit is set, with the passages' words; else all, without.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(None if chosen is None else chosen.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if shared.value is None else np.frombuffer(shared.value, np.uint64)
         for batch in batches:
             w, rows = C.unpack(batch.column(1))
             rid, n = batch.column(0).to_numpy(), np.diff(rows)
             begin, end, row = passages(w, rows)
             use = n[row] > short
             begin, end, row = begin[use], end[use], row[use]
-            hashes, cells, length = _Substrings(w), _cells(w, begin, end), end - begin
+            hashes, length = _Substrings(w), end - begin
+            cells = _cells(w, begin, end if bits is not None else begin)
             for i in range(k + 1):
                 at, long = _segment(length, k, i)
-                yield _rows(rid[row], hashes(begin + at, long, length * 16 + i), begin - rows[row], length, n[row], cells)
-            yield _shingle_rows(w, rows, rid, short, size)
+                yield _only(_rows(rid[row], hashes(begin + at, long, length * 16 + i), begin - rows[row], length, n[row], cells), bits)
+            yield _only(_shingle_rows(w, rows, rid, short, size), bits)
 
     return classes.select("rid", "words").mapInArrow(run, SCHEMA)
 
 
-def offered(classes: DataFrame, k: int, short: int, size: int, bitmap: np.ndarray) -> DataFrame:
-    """Substrings of the training passages at allowed positions whose bit is set."""
+def offered(classes: DataFrame, k: int, short: int, size: int, bitmap: np.ndarray, cells: bool) -> DataFrame:
+    """Substrings of the training passages at allowed positions whose bit is set, with or without the passages' words."""
     shared = classes.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
-    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = np.frombuffer(shared.value, np.uint64)
-        low = np.frombuffer(batch.column(1).buffers()[1], np.uint64)[: batch.num_rows] & np.uint64((1 << BITS) - 1)
-        return batch.filter(pa.array((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
         for batch in batches:
@@ -147,14 +158,13 @@ def offered(classes: DataFrame, k: int, short: int, size: int, bitmap: np.ndarra
                     for shift in range(-k, k + 1):
                         if abs(shift) + abs(shift + other) > k:
                             continue
-                        ok = (theirs > 0) & (at + shift >= 0) & (at + shift + long <= length)
-                        p = np.flatnonzero(ok)
+                        p = np.flatnonzero((theirs > 0) & (at + shift >= 0) & (at + shift + long <= length))
                         key = hashes(begin[p] + at[p] + shift, long[p], theirs[p] * 16 + i)
-                        low = key & np.uint64((1 << BITS) - 1)
-                        p, key = (x[(bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0] for x in (p, key))
+                        found = _set_in(bits, key)
+                        p, key = p[found], key[found]
                         if len(p):
-                            yield _rows(rid[row[p]], key, begin[p] - rows[row[p]], length[p], n[row[p]], _cells(w, begin[p], end[p]))
-            yield some(_shingle_rows(w, rows, rid, 2 * short, size))
+                            yield _rows(rid[row[p]], key, begin[p] - rows[row[p]], length[p], n[row[p]], _cells(w, begin[p], end[p] if cells else begin[p]))
+            yield _only(_shingle_rows(w, rows, rid, 2 * short, size), bits)
 
     return classes.select("rid", "words").mapInArrow(run, SCHEMA)
 
@@ -211,19 +221,21 @@ def matched(hits: DataFrame, k: int) -> DataFrame:
 
 def candidates(evaluation: DataFrame, training: DataFrame, k: int = 1, coverage: float = 0.7, short: int = 24, size: int = 3) -> DataFrame:
     """Pairs (a, b) of an evaluation and a training class that share a passage within k edits."""
-    asked = looked_up(evaluation, k, short, size)
-    offers = offered(training, k, short, size, bitmap(asked))
-    counts = offers.groupBy("key").agg(F.count("*").alias("df"))
+    asked = looked_up(evaluation, k, short, size).select("rid", "key", "passage", "size", "total")
+    counts = offered(training, k, short, size, bitmap(asked), False).groupBy("key").agg(F.count("*").alias("df"))
     segments = asked.join(counts, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = Window.partitionBy("rid").orderBy("cost", "passage").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = (
-        segments.groupBy("rid", "passage", "total").agg(F.sum("df").alias("cost"), F.max("size").alias("size"), F.collect_list("key").alias("keys"), F.first("cells").alias("x"))
+    chosen = store(
+        segments.groupBy("rid", "passage", "total").agg(F.sum("df").alias("cost"), F.max("size").alias("size"), F.collect_set("key").alias("keys"))
         .withColumn("before", F.coalesce(F.sum("size").over(rarest), F.lit(0)))
         .filter((F.col("before") < F.col("total") * coverage) & (F.col("cost") > 0))
-        .select(F.col("rid").alias("a"), F.explode("keys").alias("key"), "x")
+        .select("rid", F.explode("keys").alias("key"), "passage")
     )
-    hits = chosen.join(offers.select(F.col("rid").alias("b"), "key", F.col("cells").alias("y")), "key").filter("a <> b")
-    return matched(hits, k)
+    bits = bitmap(chosen)
+    mine = looked_up(evaluation, k, short, size, bits).join(chosen, ["rid", "key", "passage"], "left_semi").select(F.col("rid").alias("a"), "key", F.col("cells").alias("x"))
+    theirs = offered(training, k, short, size, bits, True).select(F.col("rid").alias("b"), "key", F.col("cells").alias("y"))
+    hits = mine.join(theirs, "key").filter("a <> b")
+    return store(matched(hits, k))
 
 
 def overlaps(evaluation: DataFrame, training: DataFrame, classes: DataFrame, threshold: float = 0.8, size: int = 5, k: int = 1, coverage: float = 0.7, short: int = 24) -> DataFrame:

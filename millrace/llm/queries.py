@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classes as C
-from . import neardup, overlap
+from . import conversations, mixing, neardup, overlap, packing, pieces, reading, tokens
 from .storage import store
 
 
@@ -22,7 +22,7 @@ def _record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _expanded(members: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs of keys whose classes are linked or equal, smaller key first."""
-    m = members.select("tbl", "key", "rid").distinct()
+    m = members.select("tbl", "key", "rid")
     many = m.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rid").alias("a"), F.col("rid").alias("b"))
     wide = links.select("a", "b").unionAll(many)
     x = m.select(F.col("tbl"), F.col("key").alias("k1"), F.col("rid").alias("a"))
@@ -33,27 +33,21 @@ def _expanded(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = _table(spark, sf_dir, "near_signatures").select(F.lit("near_signatures").alias("tbl"), F.col("hash").alias("key"), "text")
-    members = store(C.members(_record_texts(spark, sf_dir).unionByName(near)))
-    return _expanded(members, neardup.links(C.class_table(members), threshold=0.6, size=3))
-
-
-def _split_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = F.lower(F.trim("split"))
-    side = F.when(split == "train", "train").when(split.isin("validation", "test"), "eval")
-    rows = _table(spark, sf_dir, "records").select(side.alias("tbl"), F.col("id").alias("key"), C.message_text("messages").alias("text"))
-    return store(C.members(rows.filter("tbl is not null")))
+    texts = _record_texts(spark, sf_dir).unionByName(near)
+    return _expanded(store(C.members(texts).distinct()), neardup.links(C.class_words(texts), threshold=0.6, size=3))
 
 
 def _cross_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id_eval, id_train) of every record of an evaluation split and its counterparts in train."""
-    members = _split_members(spark, sf_dir)
-    classes = C.class_table(members)
-    sides = {side: C.class_table(members.filter(F.col("tbl") == side)) for side in ("eval", "train")}
-    links = overlap.overlaps(sides["eval"], sides["train"], classes, threshold=0.6, size=3).select("a", "b")
-    m = members.select("tbl", "key", "rid").distinct()
-    equal = sides["eval"].select(F.col("rid").alias("a")).join(sides["train"].select(F.col("rid").alias("b")), F.col("a") == F.col("b"))
+    split = F.lower(F.trim("split"))
+    side = F.when(split == "train", "train").when(split.isin("validation", "test"), "eval")
+    texts = _table(spark, sf_dir, "records").select(side.alias("tbl"), F.col("id").alias("key"), C.message_text("messages").alias("text")).filter("tbl is not null")
+    evaluation, training = (C.class_words(texts.filter(F.col("tbl") == side)) for side in ("eval", "train"))
+    links = overlap.overlaps(evaluation, training, C.class_words(texts), threshold=0.6, size=3).select("a", "b")
+    m = store(C.members(texts).distinct())
     left = m.filter("tbl = 'eval'").select(F.col("key").alias("id_eval"), F.col("rid").alias("a"))
     right = m.filter("tbl = 'train'").select(F.col("key").alias("id_train"), F.col("rid").alias("b"))
+    equal = left.select("a").distinct().join(right.select("b").distinct(), F.col("a") == F.col("b"))
     return links.unionByName(equal).join(left, "a").join(right, "b").filter("id_eval <> id_train").select("id_eval", "id_train").distinct()
 
 
@@ -69,5 +63,80 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(pairs, "id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("train_records"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = conversations.judged(_table(spark, sf_dir, "messages"), _table(spark, sf_dir, "conversations"))
+    return judged.filter("defect is not null").select("conversation_id", "defect")
+
+
+def p3_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of all sound conversations with their positions and speakers."""
+    return conversations.assembled(_table(spark, sf_dir, "messages"), _table(spark, sf_dir, "conversations"))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "memory_chunks").filter("chunk_id is not null").groupBy("chunk_id").agg(F.max("text").alias("text"))
+    return pieces.split_texts(chunks.select(F.col("chunk_id").alias("key"), "text"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of which the splitter makes more than one piece."""
+    return _pieces(spark, sf_dir).filter("piece = 1").select(F.col("key").alias("chunk_id"))
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all oversized chunks."""
+    rows = _pieces(spark, sf_dir)
+    return rows.join(rows.filter("piece = 1").select("key"), "key").select(F.col("key").alias("chunk_id"), "piece", "begin", "end", "text")
+
+
+def p6_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, chunk_count, stated): chunks of every memory document after splitting, and the count on record."""
+    owner = _table(spark, sf_dir, "memory_chunks").select("chunk_id", "document_id").dropDuplicates(["chunk_id"])
+    sizes = _pieces(spark, sf_dir).groupBy(F.col("key").alias("chunk_id")).agg(F.count("*").alias("n"))
+    counts = owner.join(sizes, "chunk_id", "left").groupBy("document_id").agg(F.sum(F.coalesce("n", F.lit(1))).alias("chunk_count"))
+    documents = _table(spark, sf_dir, "memory_documents").groupBy("document_id").agg(F.max("chunk_count").alias("stated"))
+    return documents.join(counts, "document_id", "left").select("document_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "stated")
+
+
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(tokens.counted(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text"))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document (or piece of one) for each capacity in pack_sizes."""
+    items = _lengths(spark, sf_dir).select("doc_id", "tokens")
+    packs = [(r["pack_name"], r["capacity_tokens"]) for r in _table(spark, sf_dir, "pack_sizes").collect()]
+    out = None
+    for name, capacity in packs:
+        one = packing.packed(items, name, capacity)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.report(p8_packed(spark, sf_dir), _table(spark, sf_dir, "pack_sizes"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document drawn, with its number of repetitions."""
+    return mixing.mixed(_lengths(spark, sf_dir), _table(spark, sf_dir, "mixture_targets"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.report(p9_mixture(spark, sf_dir), _table(spark, sf_dir, "mixture_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters by level and source."""
+    sizes = _table(spark, sf_dir, "documents").select("doc_id", mixing.source_name("source").alias("source"), F.length("text").alias("chars"))
+    return p10_found(spark, sf_dir).join(sizes, "doc_id").groupBy("reading_level", "source").agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_assembled": p3_assembled, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
