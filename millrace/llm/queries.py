@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classes as C
-from . import conversations, mixing, neardup, overlap, packing, pieces, reading, tokens
+from . import conversations, defects, mixing, neardup, overlap, packing, pieces, reading, tokens
 from .storage import store
 
 
@@ -102,6 +102,20 @@ def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(tokens.counted(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text"))
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, id, question, answer) of instruction_pairs and of the user messages in records that an assistant message follows."""
+    pairs = _table(spark, sf_dir, "instruction_pairs").select(F.lit("instruction_pairs").alias("tbl"), "id", F.col("instruction").alias("question"), F.col("text").alias("answer"))
+    spoken = F.filter("messages", lambda m: F.coalesce(conversations.speaker(m["role"]), F.lit("")) != "system")
+    rows = _table(spark, sf_dir, "records").select("id", F.transform(spoken, lambda m: F.struct(conversations.speaker(m["role"]).alias("role"), m["content"].alias("content"))).alias("m")).filter(F.size("m") > 1)
+    both = F.arrays_zip(F.slice("m", 1, F.size("m") - 1).alias("q"), F.slice("m", 2, F.size("m")).alias("a"))
+    turns = rows.select("id", F.explode(both).alias("t")).filter("t.q.role = 'user' and t.a.role = 'assistant'")
+    return pairs.unionByName(turns.select(F.lit("records").alias("tbl"), "id", F.col("t.q.content").alias("question"), F.col("t.a.content").alias("answer"))).filter("id is not null")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.judged(_answers(spark, sf_dir))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document (or piece of one) for each capacity in pack_sizes."""
     items = _lengths(spark, sf_dir).select("doc_id", "tokens")
@@ -139,4 +153,4 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_assembled": p3_assembled, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_assembled": p3_assembled, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
