@@ -95,7 +95,9 @@ def set3(words: np.ndarray, size: int = 3) -> np.ndarray:
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) or not len(b):
         return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    all_ = np.concatenate((a, b))
+    all_.sort()
+    both = int((all_[1:] == all_[:-1]).sum())
     return both / (len(a) + len(b) - both)
 
 
@@ -111,12 +113,13 @@ def similar(pairs: DataFrame, classes: DataFrame, threshold: float, size: int =
         for batch in batches:
             (x, xs), (y, ys) = unpack(batch.column(2)), unpack(batch.column(3))
             value = np.zeros(batch.num_rows)
-            last: tuple[int, np.ndarray] | None = None
-            ids = batch.column(0).to_pylist()
-            for i in range(batch.num_rows):
-                if last is None or last[0] != ids[i]:
-                    last = (ids[i], set3(x[xs[i] : xs[i + 1]], size))
-                value[i] = jaccard(last[1], set3(y[ys[i] : ys[i + 1]], size))
+            sets: dict[int, np.ndarray] = {}
+            for i, (p, q) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if p not in sets:
+                    sets[p] = set3(x[xs[i] : xs[i + 1]], size)
+                if q not in sets:
+                    sets[q] = set3(y[ys[i] : ys[i + 1]], size)
+                value[i] = jaccard(sets[p], sets[q])
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], ["a", "b", "similarity"])
             yield out.filter(pa.array(value >= threshold - 1e-12))
 

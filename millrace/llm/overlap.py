@@ -177,50 +177,59 @@ def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def within(a: np.ndarray, b: np.ndarray, k: int) -> bool:
-    """Whether two sequences are at most k insertions, deletions or substitutions apart (banded dynamic programming)."""
-    n, m = len(a), len(b)
-    if abs(n - m) > k:
-        return False
-    if n == m and (a == b).all():
-        return True
-    a, b, far = a.tolist(), b.tolist(), k + 1
-    last = [abs(d) if d >= 0 else far for d in range(-k, k + 1)]
-    for i in range(1, n + 1):
-        row = [far] * (2 * k + 1)
-        for d in range(-k, k + 1):
-            j = i + d
-            if j < 0 or j > m:
-                continue
-            if j == 0:
-                row[d + k] = min(far, i)
-                continue
-            best = last[d + k] + (a[i - 1] != b[j - 1])
-            if d < k:
-                best = min(best, last[d + k + 1] + 1)
-            if d > -k:
-                best = min(best, row[d + k - 1] + 1)
-            row[d + k] = min(best, far)
-        if min(row) > k:
-            return False
-        last = row
-    return last[m - n + k] <= k
+def within(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, k: int, block: int = 8192) -> np.ndarray:
+    """Which pairs of sequences are at most k insertions, deletions or substitutions apart.
+
+    Banded dynamic programming, for a block of pairs of similar length at once:
+    row i holds the distances of the first i letters of x to the first i + d of
+    y, for -k <= d <= k.
+    """
+    n, m = np.diff(xs), np.diff(ys)
+    out = np.zeros(len(n), bool)
+    near = np.flatnonzero(np.abs(n - m) <= k)
+    near = near[np.argsort(n[near], kind="stable")]
+    far, band = k + 1, np.arange(-k, k + 1)
+    for i in range(0, len(near), block):
+        own = near[i : i + block]
+        a, b = n[own], m[own]
+        long = int(a.max())
+        p = np.zeros((len(own), long), np.uint32)
+        q = np.zeros((len(own), long + 2 * k + 1), np.uint32)
+        for target, source, start, size, shift in ((p, x, xs, a, 0), (q, y, ys, b, k)):
+            row = np.repeat(np.arange(len(own)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            target[row, place + shift] = source[np.repeat(start[own], size) + place]
+        last = np.broadcast_to(np.where(band >= 0, band, far), (len(own), 2 * k + 1)).copy()
+        result = np.where(a == 0, b, far)
+        for r in range(1, long + 1):
+            column = r + band[None, :]
+            real = (column >= 0) & (column <= b[:, None])
+            same = p[:, r - 1][:, None] == q[:, r - 1 : r + 2 * k]
+            new = np.where(column > 0, last + ~same, far)
+            new[:, :-1] = np.minimum(new[:, :-1], last[:, 1:] + 1)
+            new = np.where(column == 0, np.minimum(r, far), new)
+            for d in range(1, 2 * k + 1):
+                new[:, d] = np.minimum(new[:, d], new[:, d - 1] + 1)
+            last = np.minimum(np.where(real, new, far), far)
+            ends = a == r
+            result[ends] = last[np.flatnonzero(ends), (b - a)[ends] + k]
+        out[own] = result <= k
+    return out
 
 
 def matched(hits: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b) of classes with two passages at most k edits apart; empty passages stand for a whole equal shingle."""
+    """The hits (a, b, passage, size, total) whose passages are at most k edits apart; empty passages stand for a whole equal shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (x, xs), (y, ys) = C.unpack(batch.column(2)), C.unpack(batch.column(3))
-            keep = [within(x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]], k) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = within(*C.unpack(batch.column(5)), *C.unpack(batch.column(6)), k)
+            yield batch.select([0, 1, 2, 3, 4]).filter(pa.array(keep))
 
-    return hits.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return hits.select("a", "b", "passage", "size", "total", "x", "y").mapInArrow(run, "a long, b long, passage long, size int, total int")
 
 
-def candidates(evaluation: DataFrame, training: DataFrame, k: int = 1, coverage: float = 0.7, short: int = 24, size: int = 3) -> DataFrame:
-    """Pairs (a, b) of an evaluation and a training class that share a passage within k edits."""
+def candidates(evaluation: DataFrame, training: DataFrame, k: int = 1, coverage: float = 0.7, short: int = 24, size: int = 3, least: float = 0.12) -> DataFrame:
+    """Pairs (a, b) of an evaluation and a training class that share passages within k edits, ``least`` of the evaluation text at least."""
     asked = looked_up(evaluation, k, short, size).select("rid", "key", "passage", "size", "total")
     counts = offered(training, k, short, size, bitmap(asked), False).groupBy("key").agg(F.count("*").alias("df"))
     segments = asked.join(counts, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -232,10 +241,11 @@ def candidates(evaluation: DataFrame, training: DataFrame, k: int = 1, coverage:
         .select("rid", F.explode("keys").alias("key"), "passage")
     )
     bits = bitmap(chosen)
-    mine = looked_up(evaluation, k, short, size, bits).join(chosen, ["rid", "key", "passage"], "left_semi").select(F.col("rid").alias("a"), "key", F.col("cells").alias("x"))
+    mine = looked_up(evaluation, k, short, size, bits).join(chosen, ["rid", "key", "passage"], "left_semi").select(F.col("rid").alias("a"), "key", "passage", "size", "total", F.col("cells").alias("x"))
     theirs = offered(training, k, short, size, bits, True).select(F.col("rid").alias("b"), "key", F.col("cells").alias("y"))
     hits = mine.join(theirs, "key").filter("a <> b")
-    return store(matched(hits, k))
+    shared = matched(hits, k).distinct().groupBy("a", "b").agg(F.sum("size").alias("size"), F.max("total").alias("total"))
+    return store(shared.filter(F.col("size") >= F.col("total") * least).select("a", "b"))
 
 
 def overlaps(evaluation: DataFrame, training: DataFrame, classes: DataFrame, threshold: float = 0.8, size: int = 5, k: int = 1, coverage: float = 0.7, short: int = 24) -> DataFrame:
