@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classes as C
-from . import conversations, defects, mixing, neardup, overlap, packing, pieces, reading, tokens
+from . import conversations, defects, mixing, neardup, overlap, packing, pieces, pii, reading, tokens
 from .storage import store
 
 
@@ -63,6 +63,27 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(pairs, "id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("train_records"))
 
 
+def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, row_id, part, text) of all texts that may hold personal information; part numbers the messages of a record."""
+    messages = _table(spark, sf_dir, "messages").select(F.lit("messages").alias("tbl"), F.col("id").alias("row_id"), F.lit(0).alias("part"), F.col("content").alias("text"))
+    records = _table(spark, sf_dir, "records").select(F.lit("records").alias("tbl"), F.col("id").alias("row_id"), F.posexplode("messages").alias("part", "m")).select("tbl", "row_id", "part", F.col("m.content").alias("text"))
+    chunks = _table(spark, sf_dir, "memory_chunks").select(F.lit("memory_chunks").alias("tbl"), F.col("chunk_id").alias("row_id"), F.lit(0).alias("part"), "text")
+    return messages.unionByName(records).unionByName(chunks)
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(store(pii.proposed(_free_texts(spark, sf_dir), _table(spark, sf_dir, "name_parts"))))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("tbl", "row_id", "pii_type", "found_text").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with placeholders, one row for every distinct (tbl, row_id, part, text)."""
+    return pii.redacted(_free_texts(spark, sf_dir).filter("row_id is not null").distinct(), _personal(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = conversations.judged(_table(spark, sf_dir, "messages"), _table(spark, sf_dir, "conversations"))
     return judged.filter("defect is not null").select("conversation_id", "defect")
@@ -153,4 +174,4 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_assembled": p3_assembled, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_assembled": p3_assembled, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
