@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classes as C
-from . import conversations, defects, mixing, neardup, overlap, packing, pieces, pii, reading, tokens
+from . import conversations, defects, mixing, neardup, overlap, packing, pages, pieces, pii, reading, tokens
 from .storage import store
 
 
@@ -63,6 +63,18 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(pairs, "id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("train_records"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.boilerplate(_table(spark, sf_dir, "fetched_pages"))
+
+
+def p2_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fetch_id, main_text): the lines of every page's main body, blank lines left out."""
+    one = _table(spark, sf_dir, "fetched_pages").filter("fetch_id is not null and text is not null").dropDuplicates(["fetch_id"])
+    lines = one.select("fetch_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("fetch_id", (F.col("at") + 1).alias("line_no"), "line").filter("trim(line) <> ''")
+    kept = lines.join(p2_found(spark, sf_dir), ["fetch_id", "line_no"], "left_anti")
+    return kept.groupBy("fetch_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("main_text"))
+
+
 def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, row_id, part, text) of all texts that may hold personal information; part numbers the messages of a record."""
     messages = _table(spark, sf_dir, "messages").select(F.lit("messages").alias("tbl"), F.col("id").alias("row_id"), F.lit(0).alias("part"), F.col("content").alias("text"))
@@ -174,4 +186,4 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_assembled": p3_assembled, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_assembled": p3_assembled, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
