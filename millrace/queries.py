@@ -1,0 +1,412 @@
+"""Queries of the core operators over the tables of a directory, with their SQL for DuckDB.
+
+A query without SQL uses what SQL can't express or can't do on whole tables in
+reasonable time; it is tested against brute force on small tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import values as V
+from .operators import corpus, ledger, pairs, records, retrieval
+from .plans import prepare
+from .streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: SQL of white space as the text functions have it, and of a text's normal form.
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _norm(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '{_SPACE}+', ' ', 'g'))"
+
+
+_UNIT = "(('0x' || substr(sha256({0}), 1, 8))::UBIGINT / 4294967295.0)"
+_CONTENTS = "coalesce(array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), ' '), '')"
+_ONE = "(select * from records qualify row_number() over (partition by id order by prepared_at) = 1)"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "records").dropDuplicates(["id"])
+
+
+@query(f"""
+with s as (select {_UNIT.format("doc_id::varchar")} u, n_chars from documents)
+select case when u < 0.8 then 'train' when u < 0.9 then 'validation' else 'test' end part, count(*) documents, sum(n_chars)::bigint chars from s group by 1""")
+def hash_split_counts(spark, d):
+    rows = table(spark, d, "documents").select(V.hash_split("doc_id").alias("part"), "n_chars")
+    return rows.groupBy("part").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+@query("""
+with s as (select ('0x' || substr(sha256('20260926:' || doc_id::varchar), 1, 2))::UBIGINT / 255.0 u from documents)
+select case when u < 0.05 then 'validation' when u < 0.1 then 'test' else 'train' end part, count(*) documents from s group by 1""")
+def seeded_split_counts(spark, d):
+    return table(spark, d, "documents").select(V.seeded_split("doc_id").alias("part")).groupBy("part").agg(F.count("*").alias("documents"))
+
+
+@query(f"""
+with k as (select doc_id, sha256(coalesce(text, '')) e, sha256({_norm("coalesce(text, '')")}) n from documents),
+f as (select *, first_value(doc_id) over w fd, first_value(e) over w fe from k window w as (partition by n order by doc_id))
+select doc_id, case when doc_id = fd then null when e = fe then 'exact_duplicate' else 'normalized_duplicate' end reason from f""")
+def dedup_reasons(spark, d):
+    return corpus.keep_first(table(spark, d, "documents"), "text", "doc_id").select("doc_id", "reason")
+
+
+_SENSITIVE_SQL = "(" + " or ".join(f"regexp_matches(x, '{p}')" for p in records.SENSITIVE) + ")"
+
+
+@query(f"""
+with t as (select doc_id, coalesce(text, '') x from documents)
+select {_SENSITIVE_SQL} sensitive, length({_strip("x")}) < 20 low_information, count(*) documents from t group by 1, 2""")
+def quality_flags_documents(spark, d):
+    x = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select(records.sensitive(x).alias("sensitive"), (F.length(T.stripped(x)) < 20).alias("low_information")).groupBy("sensitive", "low_information").agg(F.count("*").alias("documents"))
+
+
+_RULE = f"""case when m.role is null or m.role not in ('system','user','assistant','tool') then 'invalid_role' when m.content is null then 'malformed_message_fields'
+ when m.role = 'user' and {_strip("m.content")} = '' then 'empty_user' when m.role = 'assistant' and {_strip("m.content")} = '' then 'empty_assistant' end"""
+_CHARS = "(coalesce(list_sum(list_transform(messages, lambda m: coalesce(length(m.content), 0))), 0) + 2)"
+
+
+@query(f"""
+select id, case when coalesce(len(messages), 0) < 1 then 'empty_messages'
+ when len(list_filter(list_transform(messages, lambda m: {_RULE}), lambda r: r is not null)) > 0 then list_filter(list_transform(messages, lambda m: {_RULE}), lambda r: r is not null)[1]
+ when {_CHARS} > 200000 then 'too_long' when not list_contains(list_transform(messages, lambda m: m.role), 'user') then 'missing_user' end reason from {_ONE}""")
+def record_reject_reasons(spark, d):
+    return _records(spark, d).select("id", records.reject_reason("messages").alias("reason"))
+
+
+@query(f"""
+with t as (select id, messages, {_CONTENTS} x, list_transform(coalesce(messages, []), lambda m: coalesce(m.role, '')) r from {_ONE}),
+f as (select id, messages, r, (len(list_filter(r, lambda v: v = 'tool')) + ({_SENSITIVE_SQL})::int + (length({_strip("x")}) < 20)::int) n from t)
+select id, n flags, case when coalesce(len(messages), 0) < 1 then 0.0 else round(greatest(0.0, least(1.0, 1.0 - (case when {_CHARS} > 200000 then 0.25 else 0 end) - (case when list_contains(r, 'user') then 0 else 0.2 end) - least(0.4, n * 0.1))), 4) end score from f""")
+def record_quality(spark, d):
+    return _records(spark, d).select("id", F.size(records.flags("messages")).cast("bigint").alias("flags"), records.quality("messages").alias("score"))
+
+
+def _any_sql(x: str, words: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+_LABEL_SQL = "case when task_type in (" + ",".join(f"'{c}'" for c in records.CATEGORIES) + ") then task_type " + " ".join(f"when {_any_sql('x', w)} then '{c}'" for c, _, w in records.KEYWORDS) + f" when coalesce(len(messages), 0) > 2 then 'AGENT_TRAJECTORY' when {_any_sql('x', ('why', 'reason', 'calculate', 'solve'))} then 'REASONING' end"
+
+
+@query(f"with t as (select id, task_type, messages, lower({_CONTENTS}) x from {_ONE}) select id, {_LABEL_SQL} label from t")
+def task_classification(spark, d):
+    return _records(spark, d).select("id", records.classified("messages", "task_type")["label"].alias("label"))
+
+
+@query(f"""
+with t as (select id, coalesce(messages, []) m, {_CONTENTS} x from {_ONE}), a as (select *, list_filter(m, lambda v: v.role = 'assistant') s, list_transform(m, lambda v: v.role) r from t)
+select id, list_contains(r, 'user') user_goal_present, regexp_matches(lower(x), '\\b(plan|step|decompose|roadmap)\\b') plan_evidence, len(list_filter(m, lambda v: v.role = 'tool'))::int tool_result_count,
+ coalesce(contains('>' || array_to_string(r, '>') || '>', '>tool>assistant>'), false) next_action_evidence, coalesce({_strip("s[len(s)].content")} <> '', false) completion_evidence from a""")
+def agentic_flow(spark, d):
+    return _records(spark, d).select("id", records.agentic_flow("messages").alias("f")).select("id", "f.*")
+
+
+_COUNTER = "select '{0}' counter, coalesce({0}, '(null)') name, count(*)::bigint value from one group by 2"
+
+
+@query(f"""
+with one as {_ONE}, t as (select *, {_CONTENTS} x from one)
+select 'records' counter, '' name, count(*)::bigint value from t union all select 'messages', '', sum(coalesce(len(messages), 0))::bigint from t union all select 'characters', '', sum({_CHARS})::bigint from t
+union all select 'tokens', '', sum(greatest(1, length(x) // 4))::bigint from t union all select 'without_messages', '', count_if(coalesce(len(messages), 0) < 1)::bigint from t
+union all {_COUNTER.format("source")} union all {_COUNTER.format("split")} union all {_COUNTER.format("task_type")} union all {_COUNTER.format("license")}""")
+def corpus_statistics(spark, d):
+    return corpus.statistics(table(spark, d, "records"))
+
+
+@query(f"""
+with t as (select doc_id, upper(trim(replace(replace(lang, '-', '_'), ' ', '_'))) c from documents where lang is not null),
+n as (select c, count(*) n from t group by 1), w(c, w) as (values ('EN', 0.5), ('FR', 0.3), ('DE', 0.2)),
+q as (select n.c, n.n, least(n.n, coalesce(floor(600 * w.w / 1.0), 0))::bigint q from n left join w using (c)),
+g as (select *, (600 - sum(q) over ())::bigint missing, coalesce(sum(n - q) over (order by n - q desc, c desc rows between unbounded preceding and 1 preceding), 0)::bigint before from q)
+select c category, (q + greatest(0, least(n - q, missing - before)))::bigint taken from g where q + greatest(0, least(n - q, missing - before)) > 0""")
+def mixture_sample(spark, d):
+    """A mixture of 600 documents by language, counted by category."""
+    rows = table(spark, d, "documents").withColumn("category", F.upper(F.trim(F.translate("lang", "- ", "__"))))
+    return corpus.mixture(rows, "category", "doc_id", {"EN": 0.5, "FR": 0.3, "DE": 0.2}, 600).groupBy("category").agg(F.count("*").alias("taken"))
+
+
+@query("select doc_id, source, row_number() over (partition by source order by doc_id) - 1 round from documents where source is not null")
+def round_robin(spark, d):
+    return corpus.interleaved(table(spark, d, "documents").filter("source is not null"), "source", "doc_id").select("doc_id", "source", "round")
+
+
+_AT = "(case when regexp_matches(created_at, '(Z|z|[+-][0-9]{2}:?[0-9]{2})$') then created_at else created_at || 'Z' end)::timestamptz"
+
+
+@query(f"""
+with one as (select * from messages qualify row_number() over (partition by conversation_id, id order by ingested_at) = 1),
+t as (select conversation_id, id, lower(trim(role)) role, content, {_AT} ts from one where lower(trim(role)) in ('user', 'assistant')),
+l as (select *, lag(role) over w r, lag(id) over w i from t window w as (partition by conversation_id order by ts, id)),
+p as (select *, row_number() over (partition by conversation_id order by ts, id) n from l where role = 'assistant' and r = 'user' and {_strip("coalesce(content, '')")} <> '')
+select conversation_id, i user_id, id assistant_id from p where n <= 40""")
+def pair_extraction(spark, d):
+    one = table(spark, d, "messages").dropDuplicates(["conversation_id", "id"])
+    rows = one.select("conversation_id", "id", F.lower(F.trim("role")).alias("role"), "content", V.instant("created_at").alias("at"))
+    return pairs.extracted(rows).select("conversation_id", "user_id", "assistant_id")
+
+
+_PAIRS = "(select * from instruction_pairs qualify row_number() over (partition by id order by collected_at) = 1)"
+
+
+def _pairs(spark, d) -> DataFrame:
+    return table(spark, d, "instruction_pairs").dropDuplicates(["id"])
+
+
+@query()
+def pair_reject_reasons(spark, d):
+    return _pairs(spark, d).select("id", pairs.reject_reason("instruction", "text").alias("reason"))
+
+
+def _secret_sql(x: str) -> str:
+    return "(" + " + ".join(f"coalesce(regexp_matches({x}, '{p.replace(chr(39), chr(39) * 2)}')::int, 0)" for _, p in pairs.SECRETS) + ")"
+
+
+@query(f"select id, {_secret_sql('content')} secrets, regexp_replace(content, '\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]{{2,}}\\b', '[email]', 'g') masked from messages group by all")
+def secret_scan(spark, d):
+    rows = table(spark, d, "messages").select("id", F.when(F.col("content").isNull(), 0).otherwise(F.size(pairs.secrets("content"))).alias("secrets"), T.masked_emails("content").alias("masked"))
+    return rows.distinct()
+
+
+@query()
+def pair_near_duplicates(spark, d):
+    return corpus.shingle_pairs(_pairs(spark, d).withColumn("both", F.concat_ws(" ", "instruction", "text")), "id", "both", 0.85)
+
+
+@query()
+def echo_ratio(spark, d):
+    return _pairs(spark, d).select("id", F.round(T.containment(T.word_shingles(F.coalesce("instruction", F.lit(""))), T.word_shingles(F.coalesce("text", F.lit("")))), 6).alias("echo"))
+
+
+_HITS = {n: f"len(regexp_extract_all(x, '{p}'))" for n, p in pairs.DOMAINS}
+
+
+@query(f"""
+with t as (select id, text, lower(concat_ws(' ', instruction, text)) x from {_PAIRS}), h as (select id, text, {", ".join(f"{v} {k}" for k, v in _HITS.items())} from t), b as (select *, greatest({", ".join(_HITS)}) best from h)
+select id, case {" ".join(f"when {k} = best and best >= 5 then '{k}'" for k in _HITS)} end domain,
+ ((case when length(text) >= 400 then 25 else 0 end {" ".join(f"+ case when regexp_matches(text, '{p}') then {w} else 0 end" for _, w, p in pairs.SIGNALS)}) / 100.0)::double score from b""")
+def domain_scoring(spark, d):
+    return _pairs(spark, d).select("id", pairs.domain("instruction", "text").alias("domain"), F.coalesce(pairs.signal_score("text"), F.lit(0)).cast("double").alias("score"))
+
+
+_G, _A = "lower(coalesce(instruction, ''))", "coalesce(text, '')"
+
+
+@query(f"""
+with t as (select id, {_G} g, {_A} a, lower({_A}) l, trim(regexp_replace(lower({_A}), '\\s+', ' ', 'g')) f from {_PAIRS}),
+s as (select *, len(list_filter(string_split(regexp_replace(a, '([.!?])\\s+', '\\1␟', 'g'), '␟'), lambda x: {_strip("x")} <> '')) n, (length(f) - length(replace(f, substr(f, 1, 40), ''))) / greatest(length(substr(f, 1, 40)), 1) rep from t)
+select id, case when {_strip("a")} = '' then 0.0 else greatest(0, least(100, 20 + case when length(a) between 40 and 4000 then 20 when length(a) > 12000 then -10 else 0 end + case when n >= 2 or length(a) > 250 then 10 else 0 end
+ - case when length(f) >= 120 and rep > 2 then 20 else 0 end - least(40, 15 * ({" + ".join(f"contains(l, '{p.replace(chr(39), chr(39) * 2)}')::int" for p in pairs.FILLER)}))
+ + case when list_has_any(regexp_extract_all(g, '[a-z]{{4,}}'), regexp_extract_all(l, '[a-z]{{4,}}')) then 20 else 0 end - case when {_any_sql('g', pairs.RESEARCH)} then 20 else 0 end)) / 100.0 end score from s""")
+def answer_scores(spark, d):
+    return _pairs(spark, d).select("id", pairs.heuristic_score("instruction", "text").alias("score"))
+
+
+@query()
+def answer_verdicts(spark, d):
+    """Answers by verdict, and the best of each."""
+    rows = answer_scores(spark, d).select("id", "score", pairs.verdict(F.lit(None).cast("double"), "score").alias("verdict"))
+    return rows.groupBy("verdict").agg(F.count("*").alias("answers"), F.min(F.struct((-F.col("score")).alias("s"), "id"))["id"].alias("best_id"))
+
+
+_CHUNKS = "(select chunk_id, document_id, max(text) as text from memory_chunks group by 1, 2)"
+
+
+def _chunks(spark, d) -> DataFrame:
+    return table(spark, d, "memory_chunks").groupBy("chunk_id", "document_id").agg(F.max("text").alias("text"))
+
+
+@query(f"select count(distinct document_id) documents, count(*) chunks, sum(greatest(1, length(text) // 4))::bigint tokens, round(avg(greatest(1, length(text) // 4)), 6) mean_tokens from {_CHUNKS}")
+def index_stats(spark, d):
+    return retrieval.index_stats(_chunks(spark, d))
+
+
+@query(f"""
+with p as (select chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term from {_CHUNKS}), f as (select term, chunk_id, count(*) tf from p group by 1, 2)
+select term, count(*) df, sum(tf)::bigint occurrences from f group by 1""")
+def term_frequencies(spark, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"))
+    return retrieval.postings(_chunks(spark, d), words).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+
+
+#: Terms of two queries; whole words that chunks have.
+_QUERY = (("q1", "ledger"), ("q1", "replay"), ("q1", "shard"), ("q2", "policy"), ("q2", "boundary"))
+_VALUES = ", ".join(f"('{q}', '{t}')" for q, t in _QUERY)
+
+
+@query(f"""
+with c as {_CHUNKS}, q(query_id, term) as (values {_VALUES}), p as (select chunk_id, greatest(1, length(text) // 4) len, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) term from c),
+f as (select term, chunk_id, len, count(*) tf from p group by all), n as (select count(*) n, avg(greatest(1, length(text) // 4)) mean from c), df as (select term, count(*) df from f group by 1),
+s as (select query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) score from f join q using (term) join df using (term), n group by 1, 2)
+select query_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank, chunk_id, round(score, 6) score from s qualify rank <= 8""")
+def bm25_top(spark, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"))
+    chunks = _chunks(spark, d)
+    scores = retrieval.scored(retrieval.postings(chunks, words), chunks, spark.createDataFrame(_QUERY, "query_id string, term string"))
+    return retrieval.best(scores).select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def search_contexts(spark, d):
+    """Contexts within a budget for two queries, by the full tokenizer."""
+    chunks = _chunks(spark, d)
+    wanted = spark.createDataFrame([("q1", "replay the ledger shards"), ("q2", "policy boundaries")], "query_id string, q string").select("query_id", F.explode(T.terms("q")).alias("term"))
+    return retrieval.contexts(retrieval.best(retrieval.scored(retrieval.postings(chunks), chunks, wanted)), chunks)
+
+
+@query()
+def search_snippets(spark, d):
+    ranked = bm25_top(spark, d).join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    wanted = spark.createDataFrame(_QUERY, "query_id string, term string").groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("w"))
+    return ranked.join(wanted, "query_id").select("query_id", "chunk_id", retrieval.snippet("text", "w").alias("snippet"))
+
+
+@query()
+def document_chunks(spark, d):
+    rows = retrieval.chunked(table(spark, d, "documents"), "doc_id", "text")
+    return rows.groupBy("document_id").agg(F.count("*").alias("chunks"), F.max("token_estimate").alias("longest"))
+
+
+@query("select uri, document_id, content_hash, added_at from memory_documents where uri is not null qualify row_number() over (partition by uri order by added_at desc, document_id desc, content_hash desc) = 1")
+def latest_documents(spark, d):
+    return corpus.latest(table(spark, d, "memory_documents").select("uri", "document_id", "content_hash", "added_at"), "uri", "added_at")
+
+
+@query("select distinct uri from fetched_pages where uri is not null and uri not in (select uri from memory_documents where uri is not null)")
+def unknown_pages(spark, d):
+    return table(spark, d, "fetched_pages").select("uri").filter("uri is not null").distinct().join(table(spark, d, "memory_documents").select("uri").distinct(), "uri", "left_anti")
+
+
+@query("""
+with p as (select distinct fetch_id, lower(trim(split_part(coalesce(content_type, ''), ';', 1))) t, bytes_read from fetched_pages)
+select case when bytes_read <= 0 then 'failed' when t in ('text/html', 'text/plain', 'text/markdown', 'application/xhtml+xml', 'application/json') then 'indexed' else 'refused' end status, count(*) pages from p group by 1""")
+def fetch_outcomes(spark, d):
+    kind = F.lower(F.trim(F.split_part(F.coalesce("content_type", F.lit("")), F.lit(";"), F.lit(1))))
+    rows = table(spark, d, "fetched_pages").select("fetch_id", kind.alias("t"), "bytes_read").distinct()
+    status = F.when(F.col("bytes_read") <= 0, "failed").when(F.col("t").isin("text/html", "text/plain", "text/markdown", "application/xhtml+xml", "application/json"), "indexed").otherwise("refused")
+    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("pages"))
+
+
+@query("""
+with m as (select distinct conversation_id, id from messages), c as (select distinct id from conversations)
+select c.id conversation_id, count(m.id) messages, min(m.id) first_id from c left join m on m.conversation_id = c.id group by 1""")
+def conversation_sizes(spark, d):
+    m = table(spark, d, "messages").select("conversation_id", "id").distinct()
+    c = table(spark, d, "conversations").select(F.col("id").alias("conversation_id")).distinct()
+    return c.join(m, "conversation_id", "left").groupBy("conversation_id").agg(F.count("id").alias("messages"), F.min("id").alias("first_id"))
+
+
+@query(f"""
+with m as (select conversation_id, id, {_AT} ts from messages group by all)
+select conversation_id, id, row_number() over (partition by conversation_id order by ts, id) - 1 turn from m where conversation_id in (select id from conversations where updated_at is null)""")
+def transcripts(spark, d):
+    """Turns of conversations without an update, in order."""
+    from pyspark.sql import Window
+
+    m = table(spark, d, "messages").select("conversation_id", "id", V.instant("created_at").alias("at")).distinct()
+    some = table(spark, d, "conversations").filter("updated_at is null").select(F.col("id").alias("conversation_id")).distinct()
+    return m.join(some, "conversation_id", "left_semi").select("conversation_id", "id", (F.row_number().over(Window.partitionBy("conversation_id").orderBy("at", "id")) - 1).alias("turn"))
+
+
+@query("select signature, count(distinct hash) texts, min(hash) first_hash from near_signatures group by 1")
+def signature_index(spark, d):
+    return table(spark, d, "near_signatures").groupBy("signature").agg(F.count_distinct("hash").alias("texts"), F.min("hash").alias("first_hash"))
+
+
+def _postings(spark, d) -> DataFrame:
+    """Every order credits its customer and debits its status account."""
+    o = table(spark, d, "orders").withColumn("minor", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    legs = F.array(F.struct(F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("account"), F.lit("credit").alias("direction")), F.struct(F.concat(F.lit("status-"), F.col("o_orderstatus")).alias("account"), F.lit("debit").alias("direction")))
+    return o.select(F.col("o_orderkey").alias("entry"), F.lit("USD").alias("currency"), "minor", F.explode(legs).alias("l")).select("entry", "currency", "minor", "l.account", "l.direction")
+
+
+_POST = "(select 'customer-' || o_custkey account, round(o_totalprice * 100)::bigint minor from orders union all select 'status-' || o_orderstatus, -(round(o_totalprice * 100)::bigint) from orders)"
+
+
+@query(f"select account, 'USD' currency, sum(minor)::bigint balance from {_POST} group by 1")
+def ledger_balances(spark, d):
+    return ledger.balances(_postings(spark, d))
+
+
+@query(f"select 'USD' currency, sum(minor)::bigint net from {_POST}")
+def ledger_net_position(spark, d):
+    return ledger.net_position(_postings(spark, d))
+
+
+@query("""
+with o as (select o_orderkey id, o_orderpriority category, round(o_totalprice * 100)::bigint ask from orders),
+l as (select l_orderkey id, sum(round(l_extendedprice * (1 - l_discount) * 100)::bigint)::bigint realized from lineitem where l_returnflag <> 'R' group by 1)
+select category, count(realized) attempts, count_if(realized is null) pending, count_if(realized >= ask) wins, coalesce(sum(realized), 0)::bigint realized, sum(ask)::bigint asked from o left join l using (id) group by 1""")
+def category_outcomes(spark, d):
+    offers = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("category"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("ask"), F.lit(0).cast("bigint").alias("cost"))
+    net = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("bigint")
+    results = table(spark, d, "lineitem").filter("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(net).alias("realized"))
+    return ledger.outcomes(offers, results).select("category", "attempts", "pending", "wins", "realized", "asked")
+
+
+@query("select p_brand term, count(*) listings, sum(l_quantity)::double total, round(median(l_quantity), 2) middle from lineitem join part on l_partkey = p_partkey group by 1")
+def demand_medians(spark, d):
+    rows = table(spark, d, "lineitem").select("l_partkey", F.col("l_quantity").alias("number")).join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("term")), "l_partkey")
+    return ledger.demand(rows)
+
+
+@query("select time_bucket(interval '1 hour', ts) window_start, event_type, count(*) events, round(sum(value), 4) total from events group by 1, 2")
+def event_windows(spark, d):
+    return streams.tumbling(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("""
+with l as (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) gap from events), s as (select user_id, ts, sum(case when gap < interval '30 minutes' then 0 else 1 end) over (partition by user_id order by ts rows unbounded preceding) n from l)
+select user_id, min(ts) session_start, max(ts) + interval '30 minutes' session_end, count(*) events from s group by user_id, n""")
+def event_sessions(spark, d):
+    return streams.sessions(table(spark, d, "events"))
+
+
+@query(f"select metadata, sha256(metadata) raw from (select distinct metadata from conversations where metadata = '{{}}')")
+def metadata_hashes(spark, d):
+    rows = table(spark, d, "conversations").select("metadata").distinct().filter("metadata = '{}'")
+    return rows.select("metadata", V.stable_hash("metadata").alias("raw"))
+
+
+@query()
+def prepared_corpus(spark, d):
+    """The corpus pipeline over records: rows by reason, part and label."""
+    return prepare.prepared(table(spark, d, "records")).groupBy("reason", "part", "label").agg(F.count("*").alias("records"), F.round(F.avg("score"), 4).alias("score"))
+
+
+@query(f"""
+with d as (select doc_id, coalesce(lang, '(null)') lang, n_chars, sha256({_norm("coalesce(text, '')")}) n, {_UNIT.format("doc_id::varchar")} u from documents),
+k as (select * from d qualify row_number() over (partition by n order by doc_id) = 1)
+select case when u < 0.8 then 'train' when u < 0.9 then 'validation' else 'test' end part, lang, count(*) documents, sum(n_chars)::bigint chars from k group by 1, 2""")
+def document_flow(spark, d):
+    """Documents kept after deduplication, by part and language."""
+    kept = corpus.keep_first(table(spark, d, "documents"), "text", "doc_id").filter("reason is null")
+    return kept.groupBy(V.hash_split("doc_id").alias("part"), F.coalesce("lang", F.lit("(null)")).alias("lang")).agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
