@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
+from .sampling import bounded
 
 SAMPLE = 1500  # most pages whose lines the trees are fitted to
 DEPART = 1.0  # cost of a line that departs from its block, in log-odds
@@ -228,7 +229,7 @@ def decode(score: np.ndarray, block: np.ndarray, cost: float = DEPART) -> np.nda
 
 
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> Boosted | None:
-    rows = pages.orderBy(F.xxhash64("fetch_id"), "fetch_id").limit(sample).collect()  # bounded by sample
+    rows = bounded(pages, ["fetch_id"], sample)
     own = [Page(r["uri"], r["text"], r["title"], r["content_type"], r["stats"]) for r in rows]
     x, y = np.concatenate([p.x for p in own] or [np.zeros((0, len(NAMES)))]), np.concatenate([p.label for p in own] or [np.zeros(0)])
     if not (y >= 0).any():

@@ -187,3 +187,22 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_assembled": p3_assembled, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for DuckDB of the queries that it can express."""
+    visible = "regexp_matches(coalesce(content, ''), '[^\\p{Z}\\p{Cc}\\p{Cf}]')"
+    role = "case lower(regexp_replace(coalesce(role, ''), '^\\s+|\\s+$', '', 'g')) when 'system' then 's' when 'user' then 'u' when 'human' then 'u' when 'assistant' then 'a' when 'gpt' then 'a' when 'tool' then 't' when 'observation' then 't' when 'environment' then 't' else 'x' end"
+    at = "(case when regexp_matches(created_at, '(Z|z|[+-][0-9]{2}:?[0-9]{2})$') then created_at else created_at || 'Z' end)::timestamptz"
+    return {
+        "p3_found": f"""
+with one as (select * from messages qualify row_number() over (partition by conversation_id, id order by ingested_at) = 1),
+m as (select conversation_id c, id, {role} r, {visible} v, {at} ts from one),
+first as (select c, r from m where r <> 's' qualify row_number() over (partition by c order by ts, id) = 1),
+e as (select c, r, lead(r) over (partition by c order by ts, id) n from m where r = 'u' or r = 'a' and v),
+g as (select c, bool_or(v and r in ('u', 'a')) seen, bool_or(r = 'x') bad from m group by 1), u as (select c, bool_or(r = 'u' and coalesce(n, 'u') = 'u') open from e group by 1),
+k as (select distinct id c from conversations)
+select c conversation_id, case when not coalesce(seen, false) then 'empty' when bad then 'unknown_role' when first.r <> 'u' then 'orphan_reply' when open then 'missing_reply' end defect
+from k left join g using (c) left join first using (c) left join u using (c) where not coalesce(seen, false) or bad or first.r <> 'u' or open""",
+        "p6_found": "select distinct chunk_id from memory_chunks where length(text) // 4 > 220",
+    }

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import prose
 from . import words as W
 from .linear import MeanModel, softmax
+from .sampling import bounded
 
 LEVELS = 5
 BITS = 16
@@ -170,7 +171,9 @@ class Model:
 
 def fitted(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Model | None:
     """A model of the labelled documents, at most ``most`` of them, drawn by a hash of their ids; None without labels."""
-    sample = labels.filter(F.col("reading_level").between(1, LEVELS)).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = labels.filter(F.col("reading_level").between(1, LEVELS)).select("doc_id", "reading_level").dropDuplicates(["doc_id"])
+    drawn = {r["doc_id"]: r["reading_level"] for r in bounded(known, ["doc_id"], most)}
+    sample = documents.sparkSession.createDataFrame(list(drawn.items()), known.schema) if drawn else known.limit(0)
     rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id").orderBy("doc_id").collect()  # bounded by most
     if not rows:
         return None
