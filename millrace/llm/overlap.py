@@ -33,7 +33,7 @@ from . import words as W
 from .storage import store
 
 REACH = 5
-BITS = 23
+BITS = 25
 
 
 def passages(w: np.ndarray, rows: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,11 +81,17 @@ def _segment(length: np.ndarray, k: int, i: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _cells(w: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The words of passages as one binary value each."""
+    """The words of passages as one binary value each, two bytes a word: equal words stay equal, and unequal ones that become so cost only a look at the texts."""
     n = end - begin
     at = np.concatenate([[0], np.cumsum(n)])
     index = np.arange(at[-1]) + np.repeat(begin - at[:-1], n)
-    return C._binary(w[index].astype(np.uint32), at)
+    values = np.ascontiguousarray((w[index] >> np.uint32(7)).astype(np.uint16))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _uncelled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = W.raw(column.cast(pa.large_binary()))
+    return np.frombuffer(data.tobytes(), np.uint16).astype(np.uint32), offsets // 2
 
 
 SCHEMA = "rid long, key long, passage long, size int, total int, cells binary"
@@ -222,7 +228,7 @@ def matched(hits: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = within(*C.unpack(batch.column(5)), *C.unpack(batch.column(6)), k)
+            keep = within(*_uncelled(batch.column(5)), *_uncelled(batch.column(6)), k)
             yield batch.select([0, 1, 2, 3, 4]).filter(pa.array(keep))
 
     return hits.select("a", "b", "passage", "size", "total", "x", "y").mapInArrow(run, "a long, b long, passage long, size int, total int")
