@@ -40,7 +40,7 @@ def text_hash(c: Column | str) -> Column:
 
 def token_estimate(c: Column | str) -> Column:
     """A quarter of the characters, 1 at least."""
-    return F.greatest(F.lit(1), F.floor(F.length(col(c)) / 4).cast("int"))
+    return F.when(col(c).isNotNull(), F.greatest(F.lit(1), F.floor(F.length(col(c)) / 4).cast("int")))
 
 
 def is_blank(c: Column | str) -> Column:

@@ -14,7 +14,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 _SILENT = frozenset({"script", "style", "noscript", "template", "svg"})
 
@@ -67,7 +67,7 @@ def followed(links: list[str], base: str) -> list[str]:
     return list(out)
 
 
-@F.pandas_udf("text string, title string")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("title", StringType())]))
 def html_text(html: pd.Series) -> pd.DataFrame:
     """Visible text and title of an HTML document."""
     rows = [(None, None) if h is None else read_html(h)[:2] for h in html]
@@ -80,13 +80,13 @@ def html_links(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if h is None or b is None else followed(read_html(h)[2], b) for h, b in zip(html, base)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility form."""
     return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in text])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts by matching blocks."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
@@ -118,7 +118,7 @@ def evaluated(expression: str) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def calculated(expression: pd.Series) -> pd.Series:
     """Value of an arithmetic expression; null if it isn't one."""
     return pd.Series([None if e is None else evaluated(e) for e in expression])
@@ -137,7 +137,7 @@ def code_facts(text: str) -> tuple[str | None, list[str]]:
     return None, []
 
 
-@F.pandas_udf("code string, imports array<string>")
+@F.pandas_udf(StructType([StructField("code", StringType()), StructField("imports", ArrayType(StringType()))]))
 def python_code(text: pd.Series) -> pd.DataFrame:
     """Python code in a text and what it imports."""
     return pd.DataFrame([(None, []) if t is None else code_facts(t) for t in text], columns=["code", "imports"])
@@ -155,7 +155,7 @@ def first_json(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def embedded_json(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else first_json(t) for t in text])
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGNED = F.when(F.col("direction") == "credit", F.col("minor")).when(F.col("direction") == "debit", -F.col("minor"))
-
 
 def balances(postings: DataFrame) -> DataFrame:
     """(account, currency, balance): credits less debits; rows without direction or amount count nothing."""
