@@ -126,7 +126,7 @@ def report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, documents, tokens, most_repeats, actual_share) of every target."""
     sums = mixture.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     total = sums.agg(F.sum("tokens").alias("all_tokens"))
-    joined = targets.join(sums, "source", "left").join(F.broadcast(total))  # one row
+    joined = targets.select("source", "target_share", "max_repeats").join(sums, "source", "left").join(F.broadcast(total))  # one row
     return joined.select(
         "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 9).alias("actual_share"),

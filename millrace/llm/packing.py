@@ -195,4 +195,4 @@ def report(packs: DataFrame, capacities: DataFrame) -> DataFrame:
     """(pack_name, capacity_tokens, containers, items, tokens, fill): how full the containers of each pack are."""
     boxes = packs.groupBy("pack_name", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("i"))
     sums = boxes.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("i").alias("items"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
-    return capacities.join(sums, "pack_name").select("pack_name", "capacity_tokens", "containers", "items", "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
+    return capacities.select("pack_name", "capacity_tokens").distinct().join(sums, "pack_name").select("pack_name", "capacity_tokens", "containers", "items", "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))

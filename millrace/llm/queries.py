@@ -132,7 +132,7 @@ def p6_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(tokens.counted(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text"))
+    return store(tokens.counted(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text").dropDuplicates(["doc_id"]))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +152,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document (or piece of one) for each capacity in pack_sizes."""
     items = _lengths(spark, sf_dir).select("doc_id", "tokens")
-    packs = [(r["pack_name"], r["capacity_tokens"]) for r in _table(spark, sf_dir, "pack_sizes").collect()]
-    out = None
+    packs = [(r["pack_name"], r["capacity_tokens"]) for r in _table(spark, sf_dir, "pack_sizes").select("pack_name", "capacity_tokens").distinct().collect() if r["pack_name"] and r["capacity_tokens"]]
+    out = None if packs else packing.packed(items.filter("false"), "", 1)
     for name, capacity in packs:
         one = packing.packed(items, name, capacity)
         out = one if out is None else out.unionByName(one)
@@ -176,7 +176,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels"))
+    return reading.levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels")).distinct()
 
 
 def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
