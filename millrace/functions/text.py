@@ -67,7 +67,7 @@ def without_tags(c: Column | str) -> Column:
 
 
 def masked_emails(c: Column | str, mask: str = "[email]") -> Column:
-    return F.regexp_replace(col(c), r"\b[\w.+-]+@[\w-]+\.[\w.-]{2,}\b", mask)
+    return F.when(F.contains(col(c), F.lit("@")), F.regexp_replace(col(c), r"\b[\w.+-]+@[\w-]+\.[\w.-]{2,}\b", mask)).otherwise(col(c))
 
 
 def word_shingles(c: Column | str, size: int = 5, pattern: str = "[a-z0-9]+") -> Column:
