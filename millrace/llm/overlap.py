@@ -1,22 +1,17 @@
-"""Problem 1: evaluation records that occur again in training, by an edit-distance segment join.
-
-Texts are cut into passages at content-defined places (local minima of a hash
-of neighbouring words), so that an edit or a moved sentence changes only the
-passages it touches.  A passage is a string whose letters are words:
-
-* every evaluation passage is cut into k + 1 segments;
-* training passages give the substrings that could equal such a segment: for
-  each length within k and each position whose shifts add up to at most k;
-* passages that share a segment are compared by banded dynamic programming.
-
-Segments that many training passages have are the last to be looked up: an
-evaluation text looks up its rarest passages until they hold ``coverage`` of
-it.  A pair of similarity s shares at least s of the evaluation text, hence
-some looked-up passage if coverage > 1 - s.  Training substrings are first
-held against a bitmap of fixed size of the evaluation segments in question.
-
-Texts of at most ``short`` words also look up every shingle as it stands, so
-that a pair without a passage within k edits isn't lost.
+"""Problem 1: evaluation records that occur again in training, by an exact set-similarity join.
+
+The distinct shingles of a text are put in one order that holds for all texts:
+those that no evaluation text has, then the others from rare to frequent, as a
+sketch of fixed size counts them in training.  Of n shingles at least the share
+``threshold`` is in a linked text, so two linked texts have a shingle in common
+among the first n - ceil(threshold * n) + 1 of each (prefix filter): no linked
+pair is missed, however its edits are spread.
+
+Two linked texts of x and y shingles share at least threshold / (1 + threshold)
+* (x + y).  A pair is dropped only if it can't reach that: by a common shingle's
+places (what comes before and after it in the shorter text), and by the number
+of common shingles found and what comes after the last.  The exact similarity
+decides on all others.
 """
 
 from __future__ import annotations
@@ -25,91 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import classes as C
 from . import words as W
 from .storage import store
 
-REACH = 5
 BITS = 25
-
-
-def passages(w: np.ndarray, rows: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of every passage in w, and its row; a passage has more than ``reach`` words but at a row's ends."""
-    n = np.diff(rows)
-    pad = reach + 1
-    place = np.arange(len(w)) + np.repeat(np.arange(len(n)) * pad, n)
-    value = np.full(len(w) + pad * len(n) + pad, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    if len(w) > 1:
-        with np.errstate(over="ignore"):
-            value[place[1:]] = W.mix64(w[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w[1:].astype(np.uint64)) >> np.uint64(1)
-    value[place[rows[:-1][n > 0]]] = 0xFFFFFFFFFFFFFFFF
-    low = value.copy()
-    for k in range(1, reach + 1):
-        low[k:] = np.minimum(low[k:], value[:-k])
-        low[:-k] = np.minimum(low[:-k], value[k:])
-    own = value[place]
-    cut = (own == low[place]) & (own != np.uint64(0xFFFFFFFFFFFFFFFF))
-    cut[rows[:-1][n > 0]] = True
-    begin = np.flatnonzero(cut)
-    end = np.append(begin[1:], len(w))
-    return begin, end, np.searchsorted(rows, begin, side="right") - 1
-
-
-class _Substrings:
-    """Hashes of any substrings of a sequence of words."""
-
-    def __init__(self, w: np.ndarray) -> None:
-        self.up, self.down = W._powers(1 << max(12, (len(w) + 1).bit_length()))
-        with np.errstate(over="ignore"):
-            self.total = np.zeros(len(w) + 1, np.uint64)
-            np.cumsum(W.mix64(w.astype(np.uint64) + np.uint64(7)) * self.up[: len(w)], out=self.total[1:])
-
-    def __call__(self, begin: np.ndarray, length: np.ndarray, tag: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = (self.total[begin + length] - self.total[begin]) * self.down[begin]
-            return W.mix64(h ^ W.mix64(tag.astype(np.uint64)))
-
-
-def _segment(length: np.ndarray, k: int, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place and size of the i-th of k + 1 segments of passages of the given lengths."""
-    small, more = length // (k + 1), length % (k + 1)
-    late = np.maximum(0, i - (k + 1 - more))
-    return i * small + late, small + (i >= k + 1 - more)
-
-
-def _cells(w: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The words of passages as one binary value each, two bytes a word: equal words stay equal, and unequal ones that become so cost only a look at the texts."""
-    n = end - begin
-    at = np.concatenate([[0], np.cumsum(n)])
-    index = np.arange(at[-1]) + np.repeat(begin - at[:-1], n)
-    values = np.ascontiguousarray((w[index] >> np.uint32(7)).astype(np.uint16))
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(values)])
-
-
-def _uncelled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = W.raw(column.cast(pa.large_binary()))
-    return np.frombuffer(data.tobytes(), np.uint16).astype(np.uint32), offsets // 2
-
-
-SCHEMA = "rid long, key long, passage long, size int, total int, cells binary"
-
-
-def _rows(rid: np.ndarray, key: np.ndarray, passage: np.ndarray, size: np.ndarray, total: np.ndarray, cells: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(key.view(np.int64)), pa.array(passage.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(total.astype(np.int32)), cells], ["rid", "key", "passage", "size", "total", "cells"])
-
-
-def _shingle_rows(w: np.ndarray, rows: np.ndarray, rid: np.ndarray, limit: int, size: int) -> pa.RecordBatch:
-    s, at = W.shingles(w.astype(np.uint64), rows, size)
-    n = np.where(np.diff(rows) <= limit, np.diff(at), 0)
-    owner = np.repeat(np.arange(len(n)), n)
-    index = np.repeat(at[:-1], n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    with np.errstate(over="ignore"):
-        key = W.mix64(s[index] + np.uint64(0xABCDEF))
-    one = np.ones(len(owner), np.int64)
-    return _rows(rid[owner], key, index - at[owner] + (1 << 20), one, n[owner], C._binary(np.empty(0, np.uint32), np.zeros(len(owner) + 1, np.int64)))
+COUNTERS = 22  # bits of a shingle's place in the sketch
+SLACK = 1e-6  # for rounding; only ever admits more
 
 
 def _set_in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -117,62 +37,19 @@ def _set_in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _only(batch: pa.RecordBatch, bits: np.ndarray | None) -> pa.RecordBatch:
-    return batch if bits is None else batch.filter(pa.array(_set_in(bits, batch.column(1).to_numpy().view(np.uint64))))
-
+def _shingles(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    w, rows = C.unpack(batch.column(1))
+    return W.shingles(w.astype(np.uint64), rows, size)
 
-def looked_up(classes: DataFrame, k: int, short: int, size: int, chosen: np.ndarray | None = None) -> DataFrame:
-    """Segments of the evaluation passages (and shingles of short texts).
 
-    Given a bitmap, only segments whose bit is set, with the passages' words; else all, without.
-    """
-    shared = classes.sparkSession.sparkContext.broadcast(None if chosen is None else chosen.tobytes())
+def asked(evaluation: DataFrame, size: int) -> DataFrame:
+    """(key): the shingles of the evaluation classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if shared.value is None else np.frombuffer(shared.value, np.uint64)
         for batch in batches:
-            w, rows = C.unpack(batch.column(1))
-            rid, n = batch.column(0).to_numpy(), np.diff(rows)
-            begin, end, row = passages(w, rows)
-            use = n[row] > short
-            begin, end, row = begin[use], end[use], row[use]
-            hashes, length = _Substrings(w), end - begin
-            cells = _cells(w, begin, end if bits is not None else begin)
-            for i in range(k + 1):
-                at, long = _segment(length, k, i)
-                yield _only(_rows(rid[row], hashes(begin + at, long, length * 16 + i), begin - rows[row], length, n[row], cells), bits)
-            yield _only(_shingle_rows(w, rows, rid, short, size), bits)
-
-    return classes.select("rid", "words").mapInArrow(run, SCHEMA)
-
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_shingles(batch, size)[0]).view(np.int64))], ["key"])
 
-def offered(classes: DataFrame, k: int, short: int, size: int, bitmap: np.ndarray, cells: bool) -> DataFrame:
-    """Substrings of the training passages at allowed positions whose bit is set, with or without the passages' words."""
-    shared = classes.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint64)
-        for batch in batches:
-            w, rows = C.unpack(batch.column(1))
-            rid, n = batch.column(0).to_numpy(), np.diff(rows)
-            begin, end, row = passages(w, rows)
-            hashes, length = _Substrings(w), end - begin
-            for other in range(-k, k + 1):  # evaluation length less own length
-                theirs = length + other
-                for i in range(k + 1):
-                    at, long = _segment(np.maximum(theirs, 1), k, i)
-                    for shift in range(-k, k + 1):
-                        if abs(shift) + abs(shift + other) > k:
-                            continue
-                        p = np.flatnonzero((theirs > 0) & (at + shift >= 0) & (at + shift + long <= length))
-                        key = hashes(begin[p] + at[p] + shift, long[p], theirs[p] * 16 + i)
-                        found = _set_in(bits, key)
-                        p, key = p[found], key[found]
-                        if len(p):
-                            yield _rows(rid[row[p]], key, begin[p] - rows[row[p]], length[p], n[row[p]], _cells(w, begin[p], end[p] if cells else begin[p]))
-            yield _only(_shingle_rows(w, rows, rid, 2 * short, size), bits)
-
-    return classes.select("rid", "words").mapInArrow(run, SCHEMA)
+    return evaluation.select("rid", "words").mapInArrow(run, "key long")
 
 
 def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -183,6 +60,47 @@ def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def sketch(training: DataFrame, size: int, bitmap: np.ndarray) -> np.ndarray:
+    """How frequent the shingles of the bitmap are in training: a level of 0 to 254 for each of 2 ** COUNTERS places, 0 only where there are none."""
+    shared = training.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint64)
+        for batch in batches:
+            key, _ = _shingles(batch, size)
+            place, n = np.unique((key[_set_in(bits, key)] & np.uint64((1 << COUNTERS) - 1)).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n)], ["place", "n"])
+
+    counts = training.select("rid", "words").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    level = F.least(F.lit(254), F.floor(F.log2(F.col("n") + 1) * 8)).cast("long")
+    rows = counts.withColumn("level", level).groupBy(F.shiftright("place", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(level, (place & 7) * 8)")).alias("set")).toPandas()
+    out = np.zeros(1 << (COUNTERS - 3), np.int64)
+    out[rows["at"].to_numpy()] = rows["set"].to_numpy()
+    return out.view(np.uint8)
+
+
+def posted(classes: DataFrame, size: int, threshold: float, bitmap: np.ndarray, levels: np.ndarray) -> DataFrame:
+    """(rid, key, place, total): the first of a class's shingles, if both sides can have them, with their places in the order and the number of all."""
+    shared = classes.sparkSession.sparkContext.broadcast((bitmap.tobytes(), levels.tobytes()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, level = np.frombuffer(shared.value[0], np.uint64), np.frombuffer(shared.value[1], np.uint8)
+        for batch in batches:
+            s, at = _shingles(batch, size)
+            rank = np.where(_set_in(bits, s), level[(s & np.uint64((1 << COUNTERS) - 1)).astype(np.int64)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+            s = (rank << np.uint64(56)) | (s >> np.uint64(8))  # sorts by the order
+            own = [np.unique(s[a:b]) for a, b in zip(at[:-1], at[1:])]
+            n = np.array([len(x) for x in own], np.int64)
+            first = np.where(n > 0, n - np.ceil(threshold * n - SLACK).astype(np.int64) + 1, 0)
+            rid, total = np.repeat(batch.column(0).to_numpy(), first), np.repeat(n, first)
+            key = np.concatenate([s[:0], *(x[:k] for x, k in zip(own, first))])
+            place = np.arange(len(key)) - np.repeat(np.cumsum(first) - first, first)
+            both = key >= np.uint64(2 << 56)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[both]), pa.array(key[both].view(np.int64)), pa.array(place[both].astype(np.int32)), pa.array(total[both].astype(np.int32))], ["rid", "key", "place", "total"])
+
+    return classes.select("rid", "words").mapInArrow(run, "rid long, key long, place int, total int")
+
+
 def within(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, k: int, block: int = 8192) -> np.ndarray:
     """Which pairs of sequences are at most k insertions, deletions or substitutions apart.
 
@@ -223,37 +141,20 @@ def within(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, k: int,
     return out
 
 
-def matched(hits: DataFrame, k: int) -> DataFrame:
-    """The hits (a, b, passage, size, total) whose passages are at most k edits apart; empty passages stand for a whole equal shingle."""
+def candidates(evaluation: DataFrame, training: DataFrame, threshold: float, size: int = 3) -> DataFrame:
+    """Pairs (a, b) of an evaluation and a training class, with all whose similarity is at least ``threshold``."""
+    bits = bitmap(asked(evaluation, size))
+    levels = sketch(training, size, bits)
+    mine, theirs = (posted(side, size, threshold, bits, levels) for side in (evaluation, training))
+    hits = mine.select(F.col("rid").alias("a"), "key", F.col("place").alias("i"), F.col("total").alias("x")).join(theirs.select(F.col("rid").alias("b"), "key", F.col("place").alias("j"), F.col("total").alias("y")), "key")
+    need = (F.col("x") + F.col("y")) * (threshold / (1 + threshold)) - SLACK
+    after = F.least(F.col("x") - F.col("i"), F.col("y") - F.col("j")) - 1
+    hits = hits.filter((F.col("a") != F.col("b")) & (F.least("i", "j") + 1 + after >= need))
+    # A class may come from several partitions: its hits then count more than once, which only ever admits more.
+    shared = hits.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(after).alias("after"), F.max(need).alias("need"))
+    return store(shared.filter(F.col("n") + F.col("after") >= F.col("need")).select("a", "b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = within(*_uncelled(batch.column(5)), *_uncelled(batch.column(6)), k)
-            yield batch.select([0, 1, 2, 3, 4]).filter(pa.array(keep))
-
-    return hits.select("a", "b", "passage", "size", "total", "x", "y").mapInArrow(run, "a long, b long, passage long, size int, total int")
-
-
-def candidates(evaluation: DataFrame, training: DataFrame, k: int = 1, coverage: float = 0.7, short: int = 24, size: int = 3, least: float = 0.12) -> DataFrame:
-    """Pairs (a, b) of an evaluation and a training class that share passages within k edits, ``least`` of the evaluation text at least."""
-    asked = looked_up(evaluation, k, short, size).select("rid", "key", "passage", "size", "total")
-    counts = offered(training, k, short, size, bitmap(asked), False).groupBy("key").agg(F.count("*").alias("df"))
-    segments = asked.join(counts, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = Window.partitionBy("rid").orderBy("cost", "passage").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = store(
-        segments.groupBy("rid", "passage", "total").agg(F.sum("df").alias("cost"), F.max("size").alias("size"), F.collect_set("key").alias("keys"))
-        .withColumn("before", F.coalesce(F.sum("size").over(rarest), F.lit(0)))
-        .filter((F.col("before") < F.col("total") * coverage) & (F.col("cost") > 0))
-        .select("rid", F.explode("keys").alias("key"), "passage")
-    )
-    bits = bitmap(chosen)
-    mine = looked_up(evaluation, k, short, size, bits).join(chosen, ["rid", "key", "passage"], "left_semi").select(F.col("rid").alias("a"), "key", "passage", "size", "total", F.col("cells").alias("x"))
-    theirs = offered(training, k, short, size, bits, True).select(F.col("rid").alias("b"), "key", F.col("cells").alias("y"))
-    hits = mine.join(theirs, "key").filter("a <> b")
-    shared = matched(hits, k).distinct().groupBy("a", "b").agg(F.sum("size").alias("size"), F.max("total").alias("total"))
-    return store(shared.filter(F.col("size") >= F.col("total") * least).select("a", "b"))
-
-
-def overlaps(evaluation: DataFrame, training: DataFrame, classes: DataFrame, threshold: float = 0.8, size: int = 5, k: int = 1, coverage: float = 0.7, short: int = 24) -> DataFrame:
-    """(a, b, similarity): linked pairs of different evaluation and training classes."""
-    return C.similar(candidates(evaluation, training, k, coverage, short, size), classes, threshold, size)
+
+def overlaps(evaluation: DataFrame, training: DataFrame, classes: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """(a, b, similarity): all linked pairs of different evaluation and training classes."""
+    return C.similar(candidates(evaluation, training, threshold, size), classes, threshold, size)

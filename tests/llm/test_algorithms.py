@@ -211,3 +211,19 @@ def test_numbering_of_a_hot_group(spark):
     for g in {r.g for r in rows}:
         own = sorted(r["rank"] for r in rows if r.g == g)
         assert own == list(range(len(own)))
+
+
+def test_overlaps_with_scattered_edits_are_all_found(spark):
+    rng = random.Random(5)
+    texts = {}
+    for i in range(240):
+        own = [f"w{rng.randrange(3000)}" for _ in range((4, 30, 60, 100, 200, 400)[i % 6])]
+        texts[f"e{i}"] = " ".join(own)
+        for at in rng.sample(range(len(own)), max(1, round(len(own) * rng.uniform(0.05, 0.1)))):
+            own[at] = "new" + own[at]
+        texts[f"t{i}"] = " ".join(own)
+    df = spark.createDataFrame([("eval" if k[0] == "e" else "train", k, v) for k, v in texts.items()], "tbl string, key string, text string")
+    member = {r.rid: r.key for r in classes.members(df).collect()}
+    e, t = (classes.class_words(df.filter(f"tbl = '{s}'")) for s in ("eval", "train"))
+    links = {(member[r.a], member[r.b]) for r in overlap.overlaps(e, t, classes.class_words(df), 0.6, 3).collect()}
+    assert links == {(f"e{i}", f"t{i}") for i in range(240) if similarity(texts[f"e{i}"], texts[f"t{i}"]) >= 0.6} and len(links) > 100
