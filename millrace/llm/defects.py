@@ -8,7 +8,8 @@ There are no labelled pairs, so labelling rules tag the clauses of a sample
 first and the field learns from those tags; it sees more than the rules do
 (person, negation, place, overlap, language, how often a word ends a
 sentence), and a clause's neighbours count.  How words end sentences is
-counted in the same sample.
+counted over all distinct pairs, and a pair is judged by the counts of the
+others.
 
 Word lists are fixed values.  A null or blank response, or one that only
 stands for nothing, has an empty answer.  A null or blank prompt can't be
@@ -17,6 +18,7 @@ copied and has no language.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,13 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import prose
+from . import overlap, prose
+from . import words as W
 from .crf import Chain
 from .sampling import bounded
+from .storage import store
 
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-SAMPLE = 6000  # most pairs in which the ends of sentences are counted
+SAMPLE = 6000  # most pairs of which those to tag are taken
 TAGGED = 1500  # most of them that rules tag for the field to learn from
 
 NOTHING = frozenset("none null nil nan na n/a n.a empty blank todo tbd tba undefined missing pending unanswered void".split()) | {"no answer", "no response", "not available", "not applicable", "no content", "no output", "to do", "to be done", "to be determined", "kein", "keine", "sans réponse", "aucune", "ninguna", "ninguno", "sin respuesta", "keine antwort", "answer", "your answer here", "answer here", "insert answer here", "placeholder", "lorem ipsum", "left blank", "intentionally left blank"}
@@ -127,6 +132,29 @@ class Ends:
         if clause[-1:] in ".!?" and words:
             self.last.update(tuple(w[-n:]) for n in (1, 2, 3))
 
+    @classmethod
+    def grams(cls, words: list[str]) -> list[tuple[str, ...]]:
+        """The last word, the last two and the last three."""
+        w = ["", "", *cls.form(words)]
+        return [tuple(w[-n:]) for n in (1, 2, 3)]
+
+    @classmethod
+    def apart(cls, words: list[str], counts: list[tuple[int, int]], own: list[tuple[str, list[str]]]) -> Ends:
+        """What others than the clauses ``own`` tell of the grams of ``words``; counts: how often each occurs, and ends a sentence, in all."""
+        out, grams = cls(), cls.grams(words)
+        for gram, (n, last) in zip(grams, counts):
+            out.all[gram], out.last[gram] = n, last
+        for clause, ws in own:
+            w = ["", "", *cls.form(ws)]
+            for i in range(3, len(w) + 1):
+                if w[i - 1] == grams[0][0]:
+                    for n, gram in enumerate(grams, 1):
+                        if tuple(w[i - n : i]) == gram:
+                            out.all[gram] -= 1
+                            out.last[gram] -= i == len(w) and clause[-1:] in ".!?"
+        out.all, out.last = +out.all, +out.last
+        return out
+
     def likely(self, words: list[str]) -> float:
         """Probability that a sentence may end after these words."""
         if not words:
@@ -143,12 +171,15 @@ FEATURES = 31
 
 
 def self_cut(ends: Ends, words: list[str]) -> bool:
-    """Whether the last of several words is one that the sample doesn't know, though it is no name or number."""
+    """Whether the last of several words is one that no other pair has, though it is no name or number."""
     return len(words) > 1 and words[-1].islower() and (words[-1],) not in ends.all
 
 
-def describe(question: str | None, answer: str, ends: Ends) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Features of a response's clauses, their numbers of words, the tags that the rules give them, and the share of the prompt's word pairs that it repeats."""
+def describe(question: str | None, answer: str, ends: Ends, counts: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Features of a response's clauses, their numbers of words, the tags that the rules give them, and the share of the prompt's word pairs that it repeats.
+
+    Given counts of its last grams in all pairs, these less its own take the place of ``ends``.
+    """
     found = clauses(answer)
     q = [w.lower() for w in prose.WORDS.findall(question or "")]
     pairs = set(zip(q, q[1:]))
@@ -159,6 +190,9 @@ def describe(question: str | None, answer: str, ends: Ends) -> tuple[np.ndarray,
     open_fence = "```" in answer and answer.count("```") % 2 == 1 or "~~~" in answer and answer.count("~~~") % 2 == 1
     words = [prose.WORDS.findall(c) for c, _, _ in found]
     lower = [[w.lower() for w in ws] for ws in words]
+    if counts is not None and found:
+        end = Ends.grams(words[-1])[0][0]
+        ends = Ends.apart(words[-1], counts, [(c, ws) for (c, code, _), ws, low in zip(found, words, lower) if not code and (end in low or end in ("#", "^"))])
     votes = [{} if code else languages(ws) for ws, (_, code, _) in zip(lower, found)]
     total: dict[str, int] = {}
     for v in votes:
@@ -233,21 +267,22 @@ class Tagger:
     def __init__(self) -> None:
         self.ends, self.chain = Ends(), Chain(FEATURES, 5)
 
-    def fit(self, pairs: list[tuple[str | None, str | None]], tagged: int = TAGGED) -> None:
-        real = [(q, a) for q, a in pairs if not is_nothing(a)]
-        for _, a in real:
-            for clause, code, _ in clauses(a):
+    def fit(self, pairs: list[tuple[str | None, str | None]], tagged: int = TAGGED, counts: list[list[tuple[int, int]]] | None = None) -> None:
+        """Learn from the pairs; sentence ends are counted in them if no counts of each pair's last grams are given."""
+        real = [(q, a, n) for (q, a), n in zip(pairs, counts or [None] * len(pairs)) if not is_nothing(a)]
+        for _, a, n in real:
+            for clause, code, _ in clauses(a) if n is None else ():
                 if not code:
                     self.ends.add(clause, prose.WORDS.findall(clause))
-        described = [d for d in (describe(q, a, self.ends) for q, a in real[:tagged]) if len(d[0])]
+        described = [d for d in (describe(q, a, self.ends, n) for q, a, n in real[:tagged]) if len(d[0])]
         if described:
             rows = np.concatenate([[0], np.cumsum([len(d[0]) for d in described])])
             self.chain.fit(np.concatenate([d[0] for d in described]), rows, np.concatenate([d[2] for d in described]))
 
-    def judge(self, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
+    def judge(self, pairs: list[tuple[str | None, str | None]], counts: list[list[tuple[int, int]]] | None = None) -> list[str | None]:
         """The defect of every pair, or None."""
         out: list[str | None] = ["empty_answer" if is_nothing(a) else None for _, a in pairs]
-        keep = [(i, d) for i, d in ((i, describe(*pairs[i], self.ends)) for i, known in enumerate(out) if known is None) if len(d[0])]
+        keep = [(i, d) for i, d in ((i, describe(*pairs[i], self.ends, counts and counts[i])) for i, known in enumerate(out) if known is None) if len(d[0])]
         if not keep:
             return out
         rows = np.concatenate([[0], np.cumsum([len(d[0]) for _, d in keep])])
@@ -257,19 +292,99 @@ class Tagger:
         return out
 
 
+class _Later(dict):
+    """Numbers of words that aren't the first of a sentence, by their forms' numbers."""
+
+    def __init__(self, ids: dict[str, int]) -> None:
+        self.ids = ids
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = self.ids.setdefault(Ends.form(["-", word])[1], len(self.ids))
+        return number
+
+
+def _keys(sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams that end at each word (words x 3), and each sentence's offset in the words."""
+    flat: list[int] = []
+    ids: dict[str, int] = {"": 0}
+    later = _Later(ids)
+    for ws in sentences:
+        flat += (0, 0, *(ids.setdefault(x, len(ids)) for x in Ends.form(ws[:1])))
+        flat += map(later.__getitem__, ws[1:])
+    index = np.array(flat, np.int64)
+    value = np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in ids], np.uint64)[index]
+    at = np.flatnonzero(index)
+    out = np.empty((len(at), 3), np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(at), np.uint64)
+        for n in range(3):
+            total = W.mix64(total * np.uint64(3) + value[at - n] + np.uint64(n + 1))
+            out[:, n] = total
+    return out, np.concatenate([[0], np.cumsum([len(ws) for ws in sentences])]).astype(np.int64)
+
+
+def last_grams(pairs: DataFrame) -> DataFrame:
+    """(row, k0, k1, k2): the last grams of every response of (row, answer) that has a last word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = [(row, ws) for row, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not is_nothing(a) and (found := clauses(a)) and (ws := prose.WORDS.findall(found[-1][0]))]
+            keys, at = _keys([ws for _, ws in last])
+            keys = keys[at[1:] - 1].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([row for row, _ in last], pa.int64()), *(pa.array(np.ascontiguousarray(keys[:, n])) for n in range(3))], ["row", "k0", "k1", "k2"])
+
+    return pairs.select("row", "answer").mapInArrow(run, "row long, k0 long, k1 long, k2 long")
+
+
+def gram_counts(pairs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(key, n, last): how often grams whose bit is set occur in all responses, and end a sentence there."""
+    shared = pairs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint64)
+        for batch in batches:
+            own = [(c, ws) for a in batch.column(0).to_pylist() if not is_nothing(a) for c, code, _ in clauses(a) if not code and (ws := prose.WORDS.findall(c))]
+            keys, at = _keys([ws for _, ws in own])
+            closing = np.zeros(len(keys), bool)
+            closing[at[1:] - 1] = [c[-1:] in ".!?" for c, _ in own]
+            flat, closing = keys.reshape(-1), np.repeat(closing, 3)
+            some = overlap._set_in(bits, flat)
+            key, index, n = np.unique(flat[some], return_inverse=True, return_counts=True)
+            last = np.bincount(index, closing[some], len(key)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(last)], ["key", "n", "last"])
+
+    return pairs.select("answer").mapInArrow(run, "key long, n long, last long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("last").alias("last"))
+
+
+def counted(pairs: DataFrame) -> DataFrame:
+    """The rows of (row, tbl, id, question, answer) with ``counts``: of the last word, the last two and the last three of its response, how often they occur and end a sentence in all rows."""
+    grams = store(last_grams(pairs))
+    wanted = grams.select("row", F.posexplode(F.array("k0", "k1", "k2")).alias("at", "key"))
+    counts = gram_counts(pairs, overlap.bitmap(wanted))
+    each = wanted.join(counts, "key", "left").groupBy("row").agg(*(F.coalesce(F.max(F.when(F.col("at") == i, F.col(c))), F.lit(0)).alias(f"{c}{i}") for i in range(3) for c in ("n", "last")))
+    return pairs.join(each.select("row", F.array(*(f"{c}{i}" for i in range(3) for c in ("n", "last"))).alias("counts")), "row", "left")
+
+
+def _twos(counts: list[int] | None) -> list[tuple[int, int]]:
+    return list(zip(counts[::2], counts[1::2])) if counts else [(0, 0)] * 3
+
+
 def judged(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(tbl, id, defect) of every defective pair of (tbl, id, question, answer)."""
-    drawn = bounded(pairs.select("tbl", "id", "question", "answer"), ["tbl", "id", "question", "answer"], sample)
+    columns = ["tbl", "id", "question", "answer"]
+    one = store(pairs.select(*columns).distinct().withColumn("row", F.xxhash64(*columns)))
+    rows = store(counted(one).select(*columns, "counts"))
+    drawn = bounded(rows, columns, sample)
     tagger = Tagger()
-    tagger.fit([(r["question"], r["answer"]) for r in drawn])
-    shared = pairs.sparkSession.sparkContext.broadcast(tagger)  # of the sample's vocabulary
+    tagger.fit([(r["question"], r["answer"]) for r in drawn], counts=[_twos(r["counts"]) for r in drawn])
+    shared = pairs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                found = shared.value.judge(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())))
+                found = shared.value.judge(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())), [_twos(x) for x in part.column(4).to_pylist()])
                 out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], ["tbl", "id", "defect"])
                 yield out.filter(pa.array([d is not None for d in found], pa.bool_()))
 
-    return pairs.select("tbl", "id", "question", "answer").mapInArrow(run, "tbl string, id string, defect string").distinct()
+    return rows.select(*columns, "counts").mapInArrow(run, "tbl string, id string, defect string").distinct()

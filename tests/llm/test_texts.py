@@ -94,6 +94,28 @@ def test_defects():
     assert tagger.judge([(None, None), (None, "Some answer here."), ("", "word " * 50_000)])[0] == "empty_answer"
 
 
+def test_sentence_ends_are_counted_in_all_other_pairs(spark):
+    plain, special = answers()
+    lists = [(q, "- move the ledger\n- close the shard\n- rebuild the schedule") for q, _ in plain[:60]]
+    cut = [(q, f"- move the ledger\n- close the shard\n- rebuild the sch{'abcdefghij'[i]}e") for i, (q, _) in enumerate(plain[:10])]
+    given = plain + lists + cut + [(q, a) for q, a, _ in special]
+    rows = [(i, "records", f"r{i}", q, a) for i, (q, a) in enumerate(given)]
+    df = spark.createDataFrame(rows, "row long, tbl string, id string, question string, answer string")
+    ends = defects.Ends()
+    for _, a in given:
+        for clause, code, _ in defects.clauses(a) if not defects.is_nothing(a) else ():
+            if not code:
+                ends.add(clause, prose.WORDS.findall(clause))
+    for r in defects.counted(df).collect():
+        found = defects.clauses(r.answer) if not defects.is_nothing(r.answer) else []
+        last = prose.WORDS.findall(found[-1][0]) if found else []
+        assert (r.counts or []) == ([n for gram in defects.Ends.grams(last) for n in (ends.all[gram], ends.last[gram])] if last else [])
+    got = {r.id: r.defect for r in defects.judged(df.drop("row").unionByName(df.drop("row"))).collect()}
+    at = len(plain) + len(lists)
+    assert [got.get(f"r{i}") for i in range(at, at + len(cut))] == ["truncated_answer"] * len(cut)
+    assert not any(f"r{i}" in got for i in range(len(plain), at))
+
+
 NAMES = pii.Gazetteer(["Anna", "Felix", "June", "Will"], ["Corvellan", "Grunevald"])
 
 
