@@ -36,6 +36,9 @@ _AT = r"(?: ?[\[({] ?at ?[\])}] ?| ?@ ?)"
 EMAIL = re.compile(rf"(?i)(?<![\w.+%@/-]){_LOCAL}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]*[A-Za-z][A-Za-z0-9-]*)+|(?<![\w.+%@/-]){_LOCAL} at [A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+")
 PHONE = re.compile(r"(?i)(?<![\w.@+/-])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){0,4}\d?(?:,? ?(?:ext|extension|x)\.? ?\d{1,6})?(?![\w@/-]|\.\d)|(?<![\w.@+/-])\d{10}(?:,? ?(?:ext|extension|x)\.? ?\d{1,6})?(?![\w@-]|\.\d)")
 NUMBER = re.compile(r"(?<![\w.@+/-])(?:[A-Z]{1,3}\d{6,9}[A-Z]?|[a-z]{2}\d{7}|\d{6,9}[A-Za-z]|\d{3}[- ]\d{2}[- ]\d{4}|\d{6}[-+]\d{3,5}|\d{2,3}(?:[. ]\d{3}){2,3}(?:-\d{1,2})?|\d{2}(?: \d{2,3}){3,5}|\d{8,12})(?![\w@/-]|\.\d)")
+_STREETS = "weg|straße|strasse|str\\.|gasse|platz|allee|damm|ufer|ring|stieg|steig"
+_BEFORE = "rue|avenue|boulevard|place|quai|chemin"
+_SPANISH = "Calle|Avenida|Plaza|Paseo"
 _KIND = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Terrace|Boulevard|Blvd|Drive|Court|Ct|Way|Place|Pl|Square|Sq|Row|Quay|Crescent|Gardens|Grove|Mews|Parade|Highway|Parkway|Walk|Hill|Gate)"
 _UNIT = r"(?:Flat|Apt|Apartment|Unit|Suite|Room|Floor)\.? ?#?[0-9A-Z]{1,6}"
 _W = r"[A-ZÀ-Ý][\w'’-]*"
@@ -44,20 +47,22 @@ _PLACE = rf"(?:, {_UNIT})?(?:, {_TOWN}(?:,? \d{{4,6}}(?![\w-]))?)?"
 ADDRESS = re.compile(
     rf"(?:{_UNIT},? )?(?<![\w.-])\d{{1,5}}[A-Za-z]?,? (?:{_W} ){{1,3}}{_KIND}\b\.?{_PLACE}"
     rf"|P\.? ?O\.? Box \d+(?:, {_TOWN}(?:,? \d{{4,6}}(?![\w-]))?)?"
-    rf"|(?<![\w-])(?:{_W} ){{0,2}}[A-ZÀ-Ý][\w-]*(?:weg|straße|strasse|str\.|gasse|platz|allee|damm|ufer|ring|stieg|steig) \d{{1,4}}[a-z]?(?:, {_UNIT})?(?:, (?:\d{{4,6}} )?{_TOWN})?"
-    rf"|(?<![\w-])\d{{1,4}},? (?:rue|avenue|boulevard|place|quai|chemin) (?:de |du |des |la |le )*{_W}(?: {_W})?(?:, (?:\d{{4,6}} )?{_TOWN})?"
-    rf"|(?:Calle|Avenida|Plaza|Paseo) (?:de |del |la )*{_W}(?: {_W})?,? \d{{1,4}}(?:, (?:\d{{4,6}} )?{_TOWN})?",
+    rf"|(?<![\w-])(?:{_W} ){{0,2}}[A-ZÀ-Ý][\w-]*(?:{_STREETS}) \d{{1,4}}[a-z]?(?:, {_UNIT})?(?:, (?:\d{{4,6}} )?{_TOWN})?"
+    rf"|(?<![\w-])\d{{1,4}},? (?:{_BEFORE}) (?:de |du |des |la |le )*{_W}(?: {_W})?(?:, (?:\d{{4,6}} )?{_TOWN})?"
+    rf"|(?:{_SPANISH}) (?:de |del |la )*{_W}(?: {_W})?,? \d{{1,4}}(?:, (?:\d{{4,6}} )?{_TOWN})?",
 )
 _ADDRESS_ANY = re.compile(ADDRESS.pattern, re.IGNORECASE)
 
 _NAME = r"[^\W\d_](?:[\w'’]|-(?=\w))*"
 _INITIAL = r"[A-Za-zÀ-Ý]\."
 _TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|Sra?|Sir|Dame)\.? )?"
-LED = re.compile(
-    rf"(?i)(?:\b(?:ask|customer|client|patient|spoke with|met with|talked to|my name is|i am|this is|contact for [^:.\n]{{1,40}}:|from:|to:|owner:|name=|name:|author:|assignee:|signed,?|approved by|written by|reviewed by|dear|thanks for the help,|thank you,?)|\bregards,?|\bcheers,?|\bsincerely,?|\bby)\s+{_TITLE}(?=[^\W\d_])|\b(?:owner|name|user|author|assignee)=(?=[^\W\d_])|\b(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|Sra)\.? (?=[^\W\d_])"
-)
+_LEADS = r"ask|customer|client|patient|spoke with|met with|talked to|my name is|i am|this is|contact for [^:.\n]{1,40}:|from:|to:|owner:|name=|name:|author:|assignee:|signed,?|approved by|written by|reviewed by|dear|thanks for the help,|thank you,?|regards,?|cheers,?|sincerely,?|by"
+_FIELDS = "owner|name|user|author|assignee"
+_TITLES = "Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|Sra"
+_FOLLOWS = "can be reached|signed the|wants to|last week"
+LED = re.compile(rf"(?i)\b(?:{_LEADS})\s+{_TITLE}(?=[^\W\d_])|\b(?:{_FIELDS})=(?=[^\W\d_])|\b(?:{_TITLES})\.? (?=[^\W\d_])")
 _WEAK = re.compile(r"(?i)(?:by|ask|to:|this is|i am|dear)\s+$")
-FOLLOWED = re.compile(r"(?i)(?: \(\x00+\))? (?:can be reached|signed the|wants to|last week)\b| [<(]\x00")
+FOLLOWED = re.compile(r"(?i)(?: \(\x00+\))? (?:" + _FOLLOWS + r")\b| [<(]\x00")
 _TOKEN = re.compile(rf"{_INITIAL}(?! ?[a-z]{{2}})|{_NAME}")
 
 NUMBER_WORDS = "passport|identity|national id|tax number|tax id|tin|ssn|social security|citizen|person_?id|personal (?:id|number)|id card|driver|licen[cs]e no|nif|dni|bsn"
@@ -80,22 +85,43 @@ LABELERS = {
 class Gazetteer:
     def __init__(self, given: list[str], family: list[str]) -> None:
         self.given, self.family = frozenset(x.lower() for x in given), frozenset(x.lower() for x in family)
+        self.patterns = self._patterns()  # apart, as RE2 is slow on one of that size
 
     def compiled(self) -> str:
-        """An RE2 pattern of all texts that may hold any span."""
-        leads = r"(?i:\b(?:customer|client|spoke with|met with|talked to|name is|contact for|regards|approved by|written by|reviewed by|thank you|thanks for the help)\b|\bfrom: |owner[:=]|author[:=]|name[:=]|can be reached|signed the|last week|\b(?:dr|mr|mrs|ms|prof)\. )|\bAsk [A-Z]|\bASK [A-Z]"
-        parts = sorted(self.given | self.family)
-        plain = "|".join(re.escape(x).replace("\\-", "-") for x in parts if x not in WORDS_TOO) or "[^\\s\\S]"
-        capital = "|".join(f"{x.capitalize()}|{x.upper()}" for x in parts if x in WORDS_TOO) or "[^\\s\\S]"
-        kinds = "street|st|road|rd|avenue|ave|lane|ln|close|terrace|boulevard|blvd|drive|court|ct|way|place|pl|square|row|quay|crescent|gardens|grove|mews|parade|highway|parkway|walk|hill|gate"
-        return (
-            rf"@|(?i:[\[({{] ?at ?[\])}}]| at \S+ dot )|\d[\d ().-]{{5,}}\d|[A-Z]{{1,3}}\d{{6,}}|[a-z]{{2}}\d{{7}}|\d{{6,}}[A-Za-z]|(?i:\bbox \d|(?:weg|straße|strasse|str\.|gasse|platz|allee|damm|ufer|ring) \d|\d,? (?:rue|avenue|boulevard|place|quai|chemin) |(?:calle|avenida|plaza|paseo) )"
-            rf"|\d[A-Za-z]?,? (?:[A-ZÀ-Ýa-z][\w'’-]* ){{1,3}}(?i:{kinds})\b|{leads}|\b(?i:{plain})\b|\b(?:{capital})\b"
-        )
-
-
-#: Name parts that are ordinary words too, when written small.
-WORDS_TOO = frozenset("will mark rose hope art bill grace faith june dean may rosa una jasper wanda viola daisy ivy lily olive pearl ruby violet frank jack pat rob sue drew chase hunter mason carter cooper young king long green brown white black gray stone wood hill field brook lake rivers".split())
+        """One RE2 pattern of all texts that may hold any span."""
+        return "|".join(f"(?:{p})" for p in self.patterns)
+
+    def _patterns(self) -> list[str]:
+        """RE2 patterns; every text that holds a span matches one of them.
+
+        They come from the lists of the operator's own patterns, without what
+        only narrows these.  RE2's \\d, \\s, \\w and \\b know ASCII only, hence the classes.
+        """
+        edge, space = r"(?:^|[^\p{L}\p{N}_])", r"[\p{Z}\x00-\x20\x{85}]"
+        led = rf"(?i:{edge}(?:{_folded(_LEADS)}){space}+{_folded(_TITLE)}|{edge}(?:{_folded(_FIELDS)})=|{edge}(?:{_folded(_TITLES)})\.? )"
+        out = [
+            r"@|(?i:[\[({] ?at ?[\])}]| at \S+ dot )|[<(]\x00",
+            r"\p{Nd}(?:[ .()+-]{0,3}\p{Nd}){6}",
+            rf"(?i:box \p{{Nd}}|(?:{_folded(_STREETS)}) \p{{Nd}}|\p{{Nd}},? (?:{_folded(_BEFORE)}) |(?:{_folded(_SPANISH)}) )",
+            rf"\p{{Nd}}\p{{L}}?,? (?:[\p{{L}}×÷][^ ]* ){{1,3}}(?i:{_folded(_KIND)})(?:[^\p{{L}}\p{{N}}_]|$)",
+            rf"(?i: (?:{_folded(_FOLLOWS)}))",
+            rf"{led}[^\p{{Ll}}\p{{Lo}}\p{{Nd}}_]",  # a word after a lead is taken if it begins large,
+            rf"^[^\p{{Lu}}\p{{Lt}}]*{led}[^\p{{Lu}}\p{{Lt}}]*$",  # or in a text without large letters
+        ]
+        parts = "|".join(_folded(re.escape(x).replace("\\-", "-")) for x in sorted(self.given | self.family))
+        return [*out, rf"(?i:(?:^|[^\p{{L}}])(?:{parts})(?:[^\p{{L}}\p{{N}}_]|$))"] if parts else out
+
+    def triggered(self, texts: pa.Array) -> pa.Array:
+        """Whether a text may hold a span."""
+        out = pc.match_substring_regex(texts, self.patterns[0])
+        for pattern in self.patterns[1:]:
+            out = pc.or_(out, pc.match_substring_regex(texts, pattern))
+        return out
+
+
+def _folded(pattern: str) -> str:
+    """For RE2, which doesn't take dotless and dotted i for equal as Python does."""
+    return re.sub("[iI]\u0307?", lambda m: "[iıİ]" if len(m.group()) == 1 else "(?:[iıİ]\u0307|İ)", pattern)
 
 
 _CLAUSE = re.compile(r"(?<!\bno)(?<!\bNo)(?<!\bDr)(?<!\bSt)(?<!\bnr)[.?!] |\n")
@@ -273,9 +299,8 @@ def proposed(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Gazetteer(*shared.value)
-        trigger = own.compiled()
         for batch in batches:
-            batch = batch.filter(pc.match_substring_regex(batch.column(3), trigger))
+            batch = batch.filter(own.triggered(batch.column(3)))
             out: list[tuple] = []
             for tbl, row, part, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for kind, start, end, votes in spans(text, own):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from millrace.llm import boosting, conversations, crf, defects, linear, pages, pii, prose, reading, tokens
 
@@ -212,3 +213,20 @@ def test_token_counts_of_long_texts(monkeypatch):
     whole = len(tokenizer.encode_ordinary(text))
     monkeypatch.setattr(tokens, "PART", 500)
     assert tokens.count(text, tokenizer) == whole and tokens.count(None, tokenizer) == 0 and tokens.count("", tokenizer) == 0
+
+
+@pytest.mark.parametrize("text", [
+    "Cheers, Zsolt Quorn", "assignee: Zsolt Quorn", "user=Zsolt", "Herr Quorn came.", "Frau Quorn came.", "The patient Quorn left.", "cheers, zsolt quorn", "signed\u00a0Zsolt Quorn", "THİS IS Quorn", "by Sir Quorn",
+    "Zsolt Quorn wants to go", "Hirschsteig 12, 80331 Quorn", "12 Cafébar Street", "123456+1234", "id ١٢٣٤٥٦٧٨٩", "we ask will about it", "3Émile came", "I saw Zoé.", "Quorn (\x00",
+])
+def test_every_text_with_a_span_is_searched(text):
+    names = pii.Gazetteer(["Anna", "Will", "Émile", "Zoé"], ["Corvellan"])
+    assert pii.spans(text, names) and names.triggered(pa.array([text])).to_pylist() == [True]
+
+
+def test_texts_that_are_not_searched_have_no_spans():
+    rng = random.Random(4)
+    parts = ["Anna", "will", "Quorn", "zsolt", "12", "1234567", "+49 ", "street", "Hirschsteig", "by", "Dear", "dr.", "user=", "at", "dot", "(", ", ", ". ", "é", "Éa", "box", "rue", "Calle", "wants to", "this is", "the", "and", "-", "\n", "\u00a0"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(1, 7))) for _ in range(6000)]
+    rest = [t for t, hit in zip(texts, NAMES.triggered(pa.array(texts)).to_pylist()) if not hit]
+    assert len(rest) > 300 and not [t for t in rest if pii.spans(t, NAMES)]
