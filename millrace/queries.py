@@ -396,6 +396,12 @@ def metadata_hashes(spark, d):
     return rows.select("metadata", V.stable_hash("metadata").alias("raw"))
 
 
+@query()
+def metadata_value_hashes(spark, d):
+    """Hash of the canonical JSON of every metadata value; null where it can't be parsed."""
+    return table(spark, d, "conversations").select("metadata").distinct().select("metadata", V.stable_hash("metadata").alias("hash"))
+
+
 @query()
 def prepared_corpus(spark, d):
     """The corpus pipeline over records: rows by reason, part and label."""
