@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbers_within(df: DataFrame, group: list[str], key: str, name: str, width: int = 4096) -> DataFrame:
-    """Number from 0 of every row within its group, in the order of a whole-numbered key.
+def numbers_within(df: DataFrame, group: list[str], key: str, name: str, width: int = 4096, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Number from 0 of every row within its group, in the order of a whole-numbered key (not null), rows of equal keys in the order of ``ties``.
 
     A group is parted by ranges of the key; parts are counted, the counts
     before a part added, and rows numbered within a part.
@@ -16,7 +16,7 @@ def numbers_within(df: DataFrame, group: list[str], key: str, name: str, width:
     counts = parts.groupBy(*group, "_part").agg(F.count("*").alias("_count"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_part", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*group, "_part").orderBy(key)
+    inside = Window.partitionBy(*group, "_part").orderBy(key, *ties)
     return parts.withColumn("_own", F.row_number().over(inside) - 1).join(offsets, [*group, "_part"]).withColumn(name, F.col("_own") + F.col("_offset")).drop("_part", "_own", "_offset")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import values as V
-from .operators import corpus, ledger, pairs, records, retrieval
+from .operators import corpus, ledger, pairs, ranking, records, retrieval
 from .plans import prepare
 from .streaming import streams
 
@@ -336,6 +336,16 @@ def transcripts(spark, d):
     return m.join(some, "conversation_id", "left_semi").select("conversation_id", "id", (F.row_number().over(Window.partitionBy("conversation_id").orderBy("at", "id")) - 1).alias("turn"))
 
 
+@query()
+def all_transcripts(spark, d):
+    """Turns of all conversations, in order; instants that can't be read come last."""
+    at = F.coalesce(F.unix_micros(V.instant("created_at")), F.lit((1 << 62)))
+    m = table(spark, d, "messages").select("conversation_id", "id", at.alias("at")).distinct()
+    known = table(spark, d, "conversations").select(F.col("id").alias("conversation_id")).distinct()
+    # Parts of an hour, so that a hot conversation is numbered by many tasks.
+    return ranking.numbers_within(m.join(known, "conversation_id", "left_semi"), ["conversation_id"], "at", "turn", 3_600_000_000, ("id",)).select("conversation_id", "id", "turn")
+
+
 @query("select signature, count(distinct hash) texts, min(hash) first_hash from near_signatures group by 1")
 def signature_index(spark, d):
     return table(spark, d, "near_signatures").groupBy("signature").agg(F.count_distinct("hash").alias("texts"), F.min("hash").alias("first_hash"))
