@@ -1,4 +1,4 @@
-"""The corpus pipeline: filter, classify, deduplicate, split, mix and count, as one lazy plan."""
+"""The first half of the corpus pipeline: filter, classify, deduplicate and split, as one lazy plan; normalization, mixture, interleaving and statistics aren't part of it."""
 
 from __future__ import annotations
 
