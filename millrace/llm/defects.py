@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import overlap, prose
@@ -369,12 +369,17 @@ def _twos(counts: list[int] | None) -> list[tuple[int, int]]:
     return list(zip(counts[::2], counts[1::2])) if counts else [(0, 0)] * 3
 
 
+def shuffled(rows: DataFrame, columns: list[str], sample: int) -> list[Row]:
+    """A bounded sample in the order of the rows' hash, so that the first ones are a sample of all tables too."""
+    return sorted(bounded(rows, columns, sample), key=lambda r: r["row"])
+
+
 def judged(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(tbl, id, defect) of every defective pair of (tbl, id, question, answer)."""
     columns = ["tbl", "id", "question", "answer"]
     one = store(pairs.select(*columns).distinct().withColumn("row", F.xxhash64(*columns)))
-    rows = store(counted(one).select(*columns, "counts"))
-    drawn = bounded(rows, columns, sample)
+    rows = store(counted(one).select("row", *columns, "counts"))
+    drawn = shuffled(rows, columns, sample)
     tagger = Tagger()
     tagger.fit([(r["question"], r["answer"]) for r in drawn], counts=[_twos(r["counts"]) for r in drawn])
     shared = pairs.sparkSession.sparkContext.broadcast(tagger)

@@ -230,3 +230,10 @@ def test_texts_that_are_not_searched_have_no_spans():
     texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(1, 7))) for _ in range(6000)]
     rest = [t for t, hit in zip(texts, NAMES.triggered(pa.array(texts)).to_pylist()) if not hit]
     assert len(rest) > 300 and not [t for t in rest if pii.spans(t, NAMES)]
+
+
+def test_tagged_pairs_come_from_both_tables(spark):
+    columns = ["tbl", "id", "question", "answer"]
+    rows = spark.createDataFrame([(t, f"{t}{i}", "q", "a") for t in ("instruction_pairs", "records") for i in range(100)], columns).selectExpr("xxhash64(tbl, id, question, answer) as row", "*")
+    first = [r.tbl for r in defects.shuffled(rows, columns, 1000)[:60]]
+    assert 15 < first.count("records") < 45
