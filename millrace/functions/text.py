@@ -70,18 +70,32 @@ def masked_emails(c: Column | str, mask: str = "[email]") -> Column:
     return F.when(F.contains(col(c), F.lit("@")), F.regexp_replace(col(c), r"\b[\w.+-]+@[\w-]+\.[\w.-]{2,}\b", mask)).otherwise(col(c))
 
 
-def word_shingles(c: Column | str, size: int = 5, pattern: str = "[a-z0-9]+") -> Column:
-    """Distinct runs of ``size`` words of the normalized text; fewer words make one shingle; no word, none."""
-    words = F.regexp_extract_all(normalized(c), F.lit(f"({pattern})"))
+def runs(words: Column, size: int, whole: Column | None = None) -> Column:
+    """Distinct runs of ``size`` neighbouring words, joined by blanks; fewer words make one run (or ``whole``, if given); no word, none."""
 
     def of(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " "))
+        some = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(size)]))
         few = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
-        return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(few)
+        return F.when(F.size(w) >= size, F.array_distinct(some)).otherwise(few if whole is None else F.when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>")))
 
     return bound(words, of)
 
 
+def word_shingles(c: Column | str, size: int = 5, pattern: str = "[a-z0-9]+") -> Column:
+    """Distinct runs of ``size`` words of the normalized text; fewer words make one shingle; no word, none."""
+    return runs(F.regexp_extract_all(normalized(c), F.lit(f"({pattern})")), size)
+
+
+def word_runs(c: Column | str, size: int = 5) -> Column:
+    """Distinct runs of ``size`` words (letters, digits and underscores of any script) of a text as it is; one of fewer words is its own run."""
+    return runs(F.regexp_extract_all(col(c), F.lit(r"((?U)\w+)")), size, col(c))
+
+
+def space_shingles(c: Column | str, size: int = 6) -> Column:
+    """Distinct runs of ``size`` parts of the normalized text between blanks."""
+    return runs(F.filter(F.split(normalized(c), " "), lambda w: w != ""), size)
+
+
 def jaccard(a: Column | str, b: Column | str) -> Column:
     """Share of common elements of two arrays; 0 if either is empty."""
     x, y = col(a), col(b)
@@ -124,15 +138,30 @@ def identifier_parts(token: Column) -> Column:
     return F.filter(F.split(marked, r"[._]+"), lambda p: p != "")
 
 
-def terms(c: Column | str) -> Column:
-    """Index terms of a text, repeated as they occur; an empty array for null."""
+def raw_tokens(c: Column | str) -> Column:
+    """Words of a text as the tokenizer sees them; an empty array for null."""
+    return F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit("([A-Za-z0-9][A-Za-z0-9_+#.-]*)"))
+
+
+def terms_of(token: Column) -> Column:
+    """Index terms of one word: its stem, if it has 2 to 40 letters and is no stop word, then the stems of its parts."""
     stop = F.array(*map(F.lit, STOP_WORDS))
-    raw = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit("([A-Za-z0-9][A-Za-z0-9_+#.-]*)"))
+    whole = F.lower(token)
+    own = F.when((F.length(whole) >= 2) & (F.length(whole) <= 40) & ~whole.isin(*STOP_WORDS), F.array(stem(whole))).otherwise(F.array().cast("array<string>"))
+    parts = F.filter(F.transform(identifier_parts(token), F.lower), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w) & (w != whole))
+    # Only words with a joint or a large letter within have parts of their own.
+    return F.when(token.rlike("[._]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"), F.concat(own, F.transform(parts, stem))).otherwise(own)
+
+
+def terms(c: Column | str) -> Column:
+    """Index terms of a text, repeated as they occur; an empty array for null. For long texts explode ``raw_tokens`` and use ``terms_of``."""
+    return F.flatten(F.transform(raw_tokens(c), terms_of))
+
+
+def unique_terms(c: Column | str) -> Column:
+    return F.array_distinct(terms(c))
 
-    def of(token: Column) -> Column:
-        whole = F.lower(token)
-        own = F.filter(F.array(whole), lambda w: (F.length(w) >= 2) & (F.length(w) <= 40) & ~F.array_contains(stop, w))
-        parts = F.filter(F.transform(identifier_parts(token), F.lower), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w) & (w != whole))
-        return F.transform(F.concat(own, parts), stem)
 
-    return F.flatten(F.transform(raw, of))
+def content_hash(c: Column | str) -> Column:
+    """SHA-256 of a text as it is."""
+    return F.sha2(col(c), 256)

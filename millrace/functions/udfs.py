@@ -5,12 +5,15 @@ from __future__ import annotations
 import ast
 import difflib
 import json
+import math
 import operator
 import re
 import unicodedata
+import warnings
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -92,29 +95,63 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+@F.pandas_udf(DoubleType())
+def sequence_ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """``sequence_ratio`` where it may reach ``least``; null where the characters that both texts have rule it out."""
+    counts: dict[str, np.ndarray] = {}
+    matcher, out = difflib.SequenceMatcher(None), []
+
+    def bins(t: str) -> np.ndarray:
+        if t not in counts:
+            if len(counts) > 5000:
+                counts.clear()
+            counts[t] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 1023, minlength=1024)
+        return counts[t]
+
+    last = None
+    for x, y, low in zip(a, b, least):
+        if x is None or y is None or 2 * np.minimum(bins(x), bins(y)).sum() < low * (len(x) + len(y)) - 1e-9:
+            out.append(None)
+            continue
+        if y != last:
+            matcher.set_seq2(y)
+            last = y
+        matcher.set_seq1(x)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype=float)
+
+
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}
+LONGEST, DEEPEST, POWER, LARGEST = 200, 32, 12, 10**100  # fixed values: characters, nesting, exponent, value
+
+
+def _sound(x: float) -> float:
+    if not (math.isfinite(x) if isinstance(x, float) else abs(x) <= LARGEST):
+        raise ValueError("too large")
+    return x
 
 
 def evaluated(expression: str) -> float | None:
-    """Value of an arithmetic expression of numbers; None for anything else, powers over 12 or nesting over 32."""
+    """Value of an arithmetic expression of numbers; None for anything else, and beyond the bounds of length, nesting, powers and values."""
 
     def value(node: ast.AST, depth: int) -> float:
-        if depth > 32:
+        if depth > DEEPEST:
             raise ValueError("nested too deeply")
-        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            return node.value
-        if isinstance(node, ast.UnaryOp) and type(node.op) in _OPERATORS:
-            return _OPERATORS[type(node.op)](value(node.operand, depth + 1))
-        if isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
-            left, right = value(node.left, depth + 1), value(node.right, depth + 1)
-            if isinstance(node.op, ast.Pow) and abs(right) > 12:
-                raise ValueError("power too large")
-            return _OPERATORS[type(node.op)](left, right)
+        match node:
+            case ast.Constant(value=x) if type(x) in (int, float):
+                return _sound(x)
+            case ast.UnaryOp(op=sign, operand=x) if type(sign) in _OPERATORS:
+                return _OPERATORS[type(sign)](value(x, depth + 1))
+            case ast.BinOp(left=x, op=sign, right=y) if type(sign) in _OPERATORS:
+                x, y = value(x, depth + 1), value(y, depth + 1)
+                if isinstance(sign, ast.Pow) and abs(y) > POWER:
+                    raise ValueError("power too large")
+                return _sound(_OPERATORS[type(sign)](x, y))
         raise ValueError("not arithmetic")
 
     try:
-        return float(value(ast.parse(expression.strip(), mode="eval").body, 0))
-    except (ValueError, SyntaxError, ZeroDivisionError, OverflowError, RecursionError, TypeError):
+        return float(value(ast.parse(expression.strip(), mode="eval").body, 1)) if 0 < len(expression) <= LONGEST else None
+    except (ValueError, SyntaxError, ZeroDivisionError, OverflowError, RecursionError, TypeError, MemoryError):
         return None
 
 
@@ -143,6 +180,41 @@ def python_code(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None, []) if t is None else code_facts(t) for t in text], columns=["code", "imports"])
 
 
+#: Calls and modules that code isn't to be run with.
+UNSAFE_CALLS = frozenset("eval exec compile __import__ system popen remove rmdir unlink removedirs rmtree chmod chown kill fork setuid".split())
+UNSAFE_MODULES = frozenset("socket shutil subprocess ctypes urllib http ftplib smtplib multiprocessing pty signal".split())
+
+
+def refusal(code: str) -> str:
+    """Why code isn't to be run: the first unsafe call or import, breadth first; empty if there is none or it can't be parsed."""
+
+    def why(node: ast.AST) -> str | None:
+        match node:
+            case ast.Call(func=ast.Name(id=name)) if name in UNSAFE_CALLS:
+                return f"calls {name}()"
+            case ast.Call(func=ast.Attribute(attr=name)) if name in UNSAFE_CALLS:
+                return f"calls .{name}()"
+            case ast.Import(names=names):
+                return next((f"imports {n.name}" for n in names if n.name.partition(".")[0] in UNSAFE_MODULES), None)
+            case ast.ImportFrom(module=str(name)) if name.partition(".")[0] in UNSAFE_MODULES:
+                return f"imports {name}"
+        return None
+
+    try:
+        return next(filter(None, map(why, ast.walk(ast.parse(code)))), "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return ""
+
+
+@F.pandas_udf(StructType([StructField("code", StringType()), StructField("imports", ArrayType(StringType())), StructField("refusal", StringType())]))
+def code_report(text: pd.Series) -> pd.DataFrame:
+    """Python code in a text, what it imports, and why it isn't to be run."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # of invalid escapes in the code looked at
+        found = [(None, []) if t is None else code_facts(t) for t in text]
+        return pd.DataFrame([(c, i, refusal(c) if c else "") for c, i in found], columns=["code", "imports", "refusal"])
+
+
 def first_json(text: str) -> str | None:
     """The first JSON object or array in a text, as canonical JSON."""
     decoder = json.JSONDecoder()
@@ -160,10 +232,52 @@ def embedded_json(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else first_json(t) for t in text])
 
 
-FUNCTIONS = {"html_text": html_text, "html_links": html_links, "nfkc": nfkc, "sequence_ratio": sequence_ratio, "calculated": calculated, "python_code": python_code, "embedded_json": embedded_json}
+@F.pandas_udf(StringType())
+def leading_json(text: pd.Series) -> pd.Series:
+    """The JSON value that begins at the first bracket of a text, as canonical JSON; null if none begins there."""
+
+    def at(t: str) -> str | None:
+        m = re.search(r"[{\[]", t)
+        try:
+            return json.dumps(json.JSONDecoder().raw_decode(t, m.start())[0], sort_keys=True, separators=(",", ":"), ensure_ascii=False) if m else None
+        except (ValueError, RecursionError):
+            return None
+
+    return pd.Series([None if t is None else at(t) for t in text])
+
+
+@F.pandas_udf(StringType())
+def pretty_json(text: pd.Series) -> pd.Series:
+    """JSON text with sorted keys, indented by two; what can't be parsed stays as it is."""
+
+    def pretty(t: str) -> str:
+        try:
+            return json.dumps(json.loads(t), indent=2, sort_keys=True, ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return t
+
+    return pd.Series([None if t is None else pretty(t) for t in text])
+
+
+FUNCTIONS = {"html_text": html_text, "html_links": html_links, "nfkc": nfkc, "sequence_ratio": sequence_ratio, "calculated": calculated, "python_code": python_code, "embedded_json": embedded_json, "leading_json": leading_json, "pretty_json": pretty_json, "code_report": code_report}
 
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to SQL."""
     for name, function in FUNCTIONS.items():
         spark.udf.register(name, function)
+    spark.udtf.register("chunk_text", chunk_table())
+
+
+def chunk_table():
+    """A table function: chunk_text(text) gives (ordinal, chunk)."""
+    from pyspark.sql.functions import udtf
+
+    from ..operators.retrieval import chunks
+
+    @udtf(returnType="ordinal: int, chunk: string")
+    class ChunkText:
+        def eval(self, text: str):
+            yield from enumerate(chunks(text))
+
+    return ChunkText

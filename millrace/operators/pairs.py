@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, containment, contains_any, stripped, word_shingles
+from ..functions.text import bound, col, containment, contains_any, stripped, word_shingles
+from ..functions.values import parsed
+from .ranking import numbers_within, previous_within
 
 #: Names and patterns of secrets.
 SECRETS = (
@@ -41,22 +43,26 @@ def redacted(c: Column | str) -> Column:
     return out
 
 
-def extracted(messages: DataFrame, most: int = 40) -> DataFrame:
+def extracted(messages: DataFrame, most: int = 40, width: int = 3_600_000_000) -> DataFrame:
     """(conversation_id, user_id, assistant_id, instruction, response) of transcripts (conversation_id, id, role, content, at).
 
     An assistant message answers the last user message before it, if no other
     assistant message came between; others' messages don't count; blank
-    answers give no pair; at most ``most`` pairs a conversation.
+    answers give no pair; at most ``most`` pairs a conversation.  Messages
+    without an instant come last.  Conversations are worked on in parts of
+    ``width`` microseconds, so a hot one is many tasks' work.
     """
-    order = Window.partitionBy("conversation_id").orderBy("at", "id")
-    turns = messages.filter(F.col("role").isin("user", "assistant")).withColumn("_role", F.lag("role").over(order)).withColumn("_text", F.lag("content").over(order)).withColumn("_id", F.lag("id").over(order))
-    pairs = turns.filter((F.col("role") == "assistant") & (F.col("_role") == "user") & (stripped(F.coalesce("content", F.lit(""))) != ""))
-    return pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).select("conversation_id", F.col("_id").alias("user_id"), F.col("id").alias("assistant_id"), F.col("_text").alias("instruction"), F.col("content").alias("response"))
+    micros = F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(1 << 62))
+    turns = messages.filter(F.col("role").isin("user", "assistant") & F.col("conversation_id").isNotNull()).select("conversation_id", "id", "role", "content", micros.alias("_at"))
+    with_last = previous_within(turns, ["conversation_id"], "_at", F.struct("role", "content", "id"), "_last", width, ("id",))
+    pairs = with_last.filter((F.col("role") == "assistant") & (F.col("_last.role") == "user") & (stripped(F.coalesce("content", F.lit(""))) != ""))
+    first = numbers_within(pairs, ["conversation_id"], "_at", "_n", width, ("id",)).filter(F.col("_n") < most)
+    return first.select("conversation_id", F.col("_last.id").alias("user_id"), F.col("id").alias("assistant_id"), F.col("_last.content").alias("instruction"), F.col("content").alias("response"))
 
 
 def is_tool_dump(c: Column | str) -> Column:
     """Whether a whole text is a JSON object or array."""
-    return F.coalesce(stripped(c).rlike(r"^[{\[]") & F.try_parse_json(col(c)).isNotNull(), F.lit(False))
+    return F.coalesce(stripped(c).rlike(r"^[{\[]") & parsed(c).isNotNull(), F.lit(False))
 
 
 def reject_reason(instruction: Column | str, response: Column | str, shortest: int = 24, longest: int = 4000, least: int = 80, most: int = 8000) -> Column:
@@ -89,14 +95,14 @@ SIGNALS = (
 
 
 def domain(instruction: Column | str, response: Column | str, least: int = 5) -> Column:
-    """The domain with most hits, ``least`` of them; the first of equals; null if none."""
-    text = F.lower(F.concat_ws(" ", col(instruction), col(response)))
-    hits = [F.regexp_count(text, F.lit(pattern)) for _, pattern in DOMAINS]
-    best = F.greatest(*hits)
-    out = F.lit(None).cast("string")
-    for (name, _), n in reversed(list(zip(DOMAINS, hits))):
-        out = F.when((n == best) & (n >= least), name).otherwise(out)
-    return out
+    """The domain with most hits, ``least`` of them; the first of equals; null if none. Each vocabulary is counted once."""
+    names = F.array(*[F.lit(name) for name, _ in DOMAINS])
+
+    def of(text: Column) -> Column:
+        hits = F.array(*[F.regexp_count(text, F.lit(pattern)) for _, pattern in DOMAINS])
+        return bound(hits, lambda h: F.when(F.array_max(h) >= least, F.get(names, F.array_position(h, F.array_max(h)).cast("int") - 1)))
+
+    return bound(F.lower(F.concat_ws(" ", col(instruction), col(response))), of)
 
 
 def signal_score(response: Column | str) -> Column:
@@ -129,7 +135,18 @@ def heuristic_score(goal: Column | str, answer: Column | str, steps: Column | in
     return F.when(stripped(a) == "", 0.0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), points)) / 100.0)
 
 
+def effective_score(human: Column | str, auto: Column | str) -> Column:
+    """From 0 to 1: a fifth of the human score if there is one, else the automatic score."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(col(human) / 5.0, col(auto))))
+
+
 def verdict(human: Column | str, auto: Column | str) -> Column:
     """exemplar from 0.75, warning up to 0.25, else ordinary, by a human score of 5 if there is one."""
     score = F.coalesce(col(human) / 5.0, col(auto))
     return F.when(score >= 0.75, "exemplar").when(score <= 0.25, "warning").when(score.isNotNull(), "ordinary")
+
+
+def record(instruction: Column | str, response: Column | str) -> Column:
+    """A pair as the messages of a record."""
+    said = lambda who, what: F.struct(F.lit(who).alias("role"), F.coalesce(col(what), F.lit("")).alias("content"))
+    return F.array(said("user", instruction), said("assistant", response))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, col, terms, token_estimate
+from ..functions.text import bound, col, raw_tokens, terms_of, token_estimate
 from ..functions.values import document_id
+from .ranking import best_within
 
 CHUNK_TOKENS, OVERLAP_TOKENS = 220, 40  # fixed values
 K1, B = 1.5, 0.75  # fixed values
@@ -85,11 +86,17 @@ def chunked(documents: DataFrame, uri: str, text: str, limit: int = CHUNK_TOKENS
     return rows.select(F.concat_ws(":", "document_id", "ordinal").alias("chunk_id"), "document_id", "ordinal", "text", token_estimate("text").alias("token_estimate"))
 
 
-def postings(chunk_rows: DataFrame, words: Column | None = None) -> DataFrame:
-    """(term, chunk_id, document_id, tf, length) of chunks (chunk_id, document_id, text)."""
-    words = terms("text") if words is None else words
-    exploded = chunk_rows.select("chunk_id", "document_id", token_estimate("text").alias("length"), F.explode(words).alias("term"))
-    return exploded.groupBy("term", "chunk_id", "document_id", "length").agg(F.count("*").alias("tf"))
+def postings(chunk_rows: DataFrame, raw: Column | None = None, of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(term, chunk_id, document_id, tf, length) of chunks (chunk_id, document_id, text).
+
+    ``raw`` gives the words of a text, ``of`` the terms of a word.  Words are
+    counted before they become terms, so that each different word of a chunk is
+    stemmed once, as a row and not within an array.
+    """
+    raw = raw_tokens("text") if raw is None else raw
+    words = chunk_rows.select("chunk_id", "document_id", token_estimate("text").alias("length"), F.explode(raw).alias("w")).groupBy("chunk_id", "document_id", "length", "w").agg(F.count("*").alias("n"))
+    terms_ = words.select("chunk_id", "document_id", "length", "n", F.explode((of or terms_of)(F.col("w"))).alias("term"))
+    return terms_.groupBy("term", "chunk_id", "document_id", "length").agg(F.sum("n").alias("tf"))
 
 
 def index_stats(chunk_rows: DataFrame) -> DataFrame:
@@ -97,16 +104,18 @@ def index_stats(chunk_rows: DataFrame) -> DataFrame:
     return chunk_rows.agg(F.count_distinct("document_id").alias("documents"), F.count("*").alias("chunks"), F.sum(token_estimate("text")).alias("tokens"), F.round(F.avg(token_estimate("text")), 6).alias("mean_tokens"))
 
 
-def scored(index: DataFrame, chunk_rows: DataFrame, query: DataFrame) -> DataFrame:
+def scored(index: DataFrame, chunk_rows: DataFrame, query: DataFrame, small: bool = False) -> DataFrame:
     """(query_id, chunk_id, document_id, score, terms): BM25 of every chunk that has a term of a query (query_id, term).
 
     Counts and the mean length are those of the whole index.  Terms of queries
     are looked up by a join; frequencies are counted for those terms only.
+    ``small`` says that the queries are few enough to be sent to every task.
     """
     totals = chunk_rows.agg(F.count("*").alias("n"), F.avg(token_estimate("text")).alias("mean"))  # one row
     wanted = query.select("query_id", "term").distinct()
-    hits = index.join(wanted, "term")
-    frequency = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    some = index.join(F.broadcast(wanted.select("term").distinct()) if small else wanted.select("term").distinct(), "term", "left_semi")
+    hits = some.join(wanted, "term")
+    frequency = some.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))
     parts = hits.join(frequency, "term").join(F.broadcast(totals)).withColumn("s", idf * F.col("tf") * (K1 + 1) / norm)
@@ -114,10 +123,9 @@ def scored(index: DataFrame, chunk_rows: DataFrame, query: DataFrame) -> DataFra
 
 
 def best(scores: DataFrame, k: int = 8) -> DataFrame:
-    """The k best chunks of every query: score descending, then chunk_id; found by a bounded aggregate, not a sort of all."""
-    top = scores.groupBy("query_id", F.pmod(F.xxhash64("chunk_id"), F.lit(32)).alias("_b")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_id", "document_id", "terms"))), 1, k).alias("t"))
-    merged = top.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("t"))), 1, k).alias("t"))
-    return merged.select("query_id", F.posexplode("t").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.chunk_id", "x.document_id", (-F.col("x.s")).alias("score"), "x.terms")
+    """The k best chunks of every query: score descending, then chunk_id. Each share of a query's hits keeps its own best first."""
+    ranked = best_within(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    return ranked.select("query_id", "rank", "chunk_id", "document_id", "score", "terms")
 
 
 def snippet(text: Column | str, wanted: Column | str, sentences: int = 2) -> Column:
@@ -147,3 +155,23 @@ def contexts(ranked: DataFrame, chunk_rows: DataFrame, budget: int = 800, per_do
 
     done = F.aggregate("hits", start, take)
     return hits.select("query_id", done.alias("c")).select("query_id", "c.chunks", "c.tokens")
+
+
+def message(context: Column | str) -> Column:
+    """(role, content) of a context as a message for a model; null where it is empty."""
+    text = col(context)
+    # Fixed value: what is said before the passages.
+    return F.when(text.isNotNull() & (text != ""), F.struct(F.lit("system").alias("role"), F.concat(F.lit("Relevant passages:\n"), text).alias("content")))
+
+
+def replaced(documents: DataFrame, uri: str, text: str, order: str) -> DataFrame:
+    """For every address the newest document that isn't blank: a blank one leaves the version before in its place."""
+    rows = documents.filter(F.col(uri).isNotNull() & ~F.coalesce(F.regexp_replace(text, r"(?U)\s+", "") == "", F.lit(True)))
+    columns = [c for c in rows.columns if c != uri]
+    newest = rows.groupBy(uri).agg(F.max_by(F.struct(*columns), F.struct(F.col(order).alias("o"), F.xxhash64(text))).alias("_r"))
+    return newest.select(uri, "_r.*")
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
+    """``rows`` less those of the keys that are gone: deletion of a document with its chunks and postings, or of any parent with its children."""
+    return rows.join(gone.select(F.col(gone_key).alias(key)).distinct(), key, "left_anti")

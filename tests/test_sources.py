@@ -48,3 +48,12 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, "2024-01-01 00:10:00", "e", 1.0), (1, "2024-01-01 00:20:00", "e", 2.0), (1, "2024-01-01 02:00:00", "e", 4.0)], "user_id int, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted((r.events, r.total) for r in streams.tumbling(events).collect()) == [(1, 4.0), (2, 3.0)]
     assert sorted(r.events for r in streams.sessions(events).collect()) == [1, 2]
+
+
+def test_capped_runs(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1.txt").write_text("a\nb\nc\n")
+    for wanted in (3, 4, 4):
+        assert streams.capped_run(spark, str(source), str(tmp_path / "out"), str(tmp_path / "c"), 4) == wanted
+        (source / f"{wanted}x{len(list(source.iterdir()))}.txt").write_text("d\ne\n")
