@@ -1,4 +1,4 @@
-"""Tasks (task_id, depends_on, status, position) and the order their dependencies give."""
+"""Tasks (task_id, depends_on, status, position) and the order their dependencies give. Rows without an id are no tasks; a repeated row counts once."""
 
 from __future__ import annotations
 
@@ -10,20 +10,20 @@ LARGEST = 1_000_000  # most tasks of one plan that are ordered on the driver; a
 
 def edges(tasks: DataFrame) -> DataFrame:
     """(task_id, needs) of dependencies on tasks that are there; others are ignored."""
-    all_ = tasks.select("task_id", F.explode("depends_on").alias("needs")).distinct()
+    all_ = tasks.filter("task_id is not null").select("task_id", F.explode("depends_on").alias("needs")).distinct()
     return all_.join(tasks.select(F.col("task_id").alias("needs")), "needs", "left_semi").select("task_id", "needs")
 
 
 def ready(tasks: DataFrame) -> DataFrame:
     """(task_id, position) of pending tasks all of whose known dependencies are done."""
     open_ = edges(tasks).join(tasks.filter("status <> 'done' or status is null").select(F.col("task_id").alias("needs")), "needs", "left_semi").select("task_id").distinct()
-    return tasks.filter("status = 'pending'").join(open_, "task_id", "left_anti").select("task_id", "position")
+    return tasks.filter("status = 'pending' and task_id is not null").distinct().join(open_, "task_id", "left_anti").select("task_id", "position")
 
 
 def dependents(tasks: DataFrame) -> DataFrame:
     """(task_id, dependents): how many tasks wait for each."""
     n = edges(tasks).groupBy(F.col("needs").alias("task_id")).agg(F.count("*").alias("dependents"))
-    return tasks.select("task_id").join(n, "task_id", "left").select("task_id", F.coalesce("dependents", F.lit(0)).alias("dependents"))
+    return tasks.select("task_id").filter("task_id is not null").distinct().join(n, "task_id", "left").select("task_id", F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
 
 def progress(tasks: DataFrame) -> DataFrame:
@@ -37,10 +37,10 @@ def ordered(tasks: DataFrame, largest: int = LARGEST) -> DataFrame:
     Depth-first order is sequential by nature, so one plan is ordered on the
     driver; a plan over ``largest`` tasks is refused, not cut.
     """
-    rows = tasks.select("position", "task_id", "depends_on").limit(largest + 1).collect()
+    rows = tasks.filter("task_id is not null").select(F.coalesce("position", F.lit(1 << 62)).alias("position"), "task_id", "depends_on").limit(largest + 1).collect()
     if len(rows) > largest:
         raise ValueError(f"a plan of more than {largest} tasks isn't ordered on the driver")
-    needs = {r["task_id"]: r["depends_on"] or [] for r in sorted(rows)}
+    needs = {r["task_id"]: r["depends_on"] or [] for r in sorted(rows, key=lambda r: (r["position"], r["task_id"]))}
     place: dict[str, int] = {}
     path: dict[str, None] = {}
     for root in needs:
@@ -65,7 +65,7 @@ def levels(tasks: DataFrame) -> DataFrame:
     from ..storage import store
 
     open_ = store(edges(tasks))
-    waiting = store(tasks.select("task_id").distinct())
+    waiting = store(tasks.select("task_id").filter("task_id is not null").distinct())
     out, level = None, 0
     while not waiting.isEmpty():
         free = store(waiting.join(open_.select("task_id").distinct(), "task_id", "left_anti"))

@@ -158,7 +158,7 @@ def calculated_values(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), udfs.calculated(x).alias("value"))
 
 
-@query("select user_id, epoch_ms(ts) / 1000.0 as seconds, count(*) n from events group by all")
+@query("select user_id, (epoch_us(ts) // 1000) / 1000.0 as seconds, count(*) n from events group by all")
 def id_times(spark, d):
     """Sortable ids made of events, and the times read from them again."""
     made = table(spark, d, "events").select("user_id", V.sortable_id("run", F.col("ts"), F.col("user_id") % 4096, F.col("user_id")).alias("key"))

@@ -274,10 +274,15 @@ def round_robin(spark, d):
     return corpus.interleaved(table(spark, d, "documents").filter("source is not null"), "source", "doc_id").select("doc_id", "source", "round")
 
 
-@query("with t as (select case upper(replace(replace(trim(task_type), '-', '_'), ' ', '_')) when 'AGENT_TRAJECTORIES' then 'AGENT_TRAJECTORY' when 'WEB_TASKS' then 'WEB_TASK' when 'TOOL_USAGE' then 'TOOL_USE' else upper(replace(replace(trim(task_type), '-', '_'), ' ', '_')) end category from (select task_type from records union all values ('web-tasks'), (' Tool Usage '), ('agent trajectories'))) select category, count(*) n from t group by 1")
+_SPELLED = "case id_ when 0 then task_type when 1 then lower(replace(task_type, '_', '-')) else ' ' || replace(task_type, '_', ' ') || case when task_type in ('WEB_TASK', 'AGENT_TRAJECTORY') then 's' else '' end end"
+_UPPER = "upper(replace(replace(trim(x), '-', '_'), ' ', '_'))"
+
+
+@query(f"with s as (select task_type, coalesce(length(id), 0) % 3 id_ from records), t as (select {_SPELLED} x from s), u as (select {_UPPER} c from t) select case c when 'AGENT_TRAJECTORIES' then 'AGENT_TRAJECTORY' when 'WEB_TASKS' then 'WEB_TASK' when 'TOOL_USAGE' then 'TOOL_USE' else c end category, count(*) n from u group by 1")
 def canonical_categories(spark, d):
-    more = spark.createDataFrame([("web-tasks",), (" Tool Usage ",), ("agent trajectories",)], "task_type string")
-    return corpus.counted(table(spark, d, "records").select("task_type").unionByName(more).select(V.canonical_category("task_type").alias("category")), "category")
+    """Labels spelled in three ways (by the length of ids), and counted by category."""
+    rows = table(spark, d, "records").withColumn("id_", F.coalesce(F.length("id"), F.lit(0)) % 3)
+    return corpus.counted(rows.select(V.canonical_category(F.expr(_SPELLED)).alias("category")), "category")
 
 
 _PLAIN = f"(select * replace (list_transform(messages, lambda m: {{'role': m.role, 'content': m.content, 'calls': []}}) as messages) from {ONE} where id is not null)"
