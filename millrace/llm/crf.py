@@ -14,6 +14,20 @@ def _padded(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.arange(longest)[None, :] < n[:, None]
 
 
+def _blocks(n: np.ndarray, cells: int = 1 << 16) -> list[np.ndarray]:
+    """Sequences that have elements, in blocks of similar length that hold at most ``cells`` elements when padded; a longer one is a block alone."""
+    order = np.argsort(n, kind="stable")[int((n == 0).sum()) :]
+    size = n[order]
+    out, at = [], 0
+    while at < len(order):
+        # A block may double in length.
+        high = int(np.searchsorted(size, 2 * size[at], "left"))
+        most = max(1, cells // int(size[high - 1]))
+        out.append(order[at : min(high, at + most)])
+        at += len(out[-1])
+    return out
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
@@ -47,8 +61,7 @@ class Chain:
         """Maximum conditional likelihood with an L2 penalty, by Adam over sequences of similar length together."""
         n, k = np.diff(rows), len(self.start)
         groups = []
-        for low, high in ((1, 2), (2, 4), (4, 8), (8, 16), (16, 1 << 30)):
-            own = np.flatnonzero((n >= low) & (n < high))
+        for own in _blocks(n):
             if len(own):
                 index = np.concatenate([np.arange(rows[i], rows[i + 1]) for i in own])
                 at = np.concatenate([[0], np.cumsum(n[own])])
@@ -72,10 +85,8 @@ class Chain:
     def best(self, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The most likely tag of every element, by sequences (Viterbi)."""
         n, out = np.diff(rows), np.zeros(len(x), np.int64)
-        for low, high in ((1, 4), (4, 16), (16, 128), (128, 1 << 40)):
-            own = np.flatnonzero((n >= low) & (n < high))
-            for i in range(0, len(own), max(1, 4096 // low)):
-                part = own[i : i + max(1, 4096 // low)]
+        for part in _blocks(n):
+            if len(part):
                 index = np.concatenate([np.arange(rows[j], rows[j + 1]) for j in part])
                 at = np.concatenate([[0], np.cumsum(n[part])])
                 score, mask = _padded(x[index] @ self.emission, at)

@@ -371,7 +371,7 @@ def _twos(counts: list[int] | None) -> list[tuple[int, int]]:
 
 def shuffled(rows: DataFrame, columns: list[str], sample: int) -> list[Row]:
     """A bounded sample in the order of the rows' hash, so that the first ones are a sample of all tables too."""
-    return sorted(bounded(rows, columns, sample), key=lambda r: r["row"])
+    return sorted(bounded(rows, columns, sample, "answer"), key=lambda r: r["row"])
 
 
 def judged(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:

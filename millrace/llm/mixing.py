@@ -3,10 +3,9 @@
 Documents are counted by source and exact length, once, over the whole table;
 only that histogram comes to the driver (as many rows as there are different
 lengths, not documents).  Each source gets its budget of tokens: whole
-repetitions of the source first, and of what remains a subset of documents.
-The subset takes the same share of every length and leaves a small rest, for
-which bounded-knapsack dynamic programming over the documents left finds the
-sum nearest to it.  Which documents of a length are drawn is decided by a
+repetitions of the source first, and of what remains a subset of documents,
+chosen by bounded-knapsack dynamic programming: over all of them where that
+fits, else after an equal share of every length.  Which documents of a length are drawn is decided by a
 seeded hash.
 
 The total defaults to the largest at which every source with documents can
@@ -64,29 +63,60 @@ class Draw:
     tokens: int = 0
 
 
-def draw(histogram: dict[int, int], budget: int, cap: int, limit: int = 1 << 17) -> Draw:
-    """The draw of one source nearest to the budget from below, within its cap."""
+WINDOW = 1 << 17  # budget of the dynamic programming that follows the proportional part
+WHOLE = 1 << 30  # bits of all its steps up to which the programming covers every document
+
+
+def nearest(lengths: list[int], counts: list[int], goal: int) -> dict[int, int]:
+    """How many items of each length to take so that their sum is as near to the goal as any; the smaller of two equally near."""
+    below = knapsack(lengths, counts, goal)
+    gap = goal - sum(k * n for k, n in below.items())
+    if not gap:
+        return below
+    # A sum above the goal leaves out a sum of the rest that is below what is over it.
+    whole = sum(k * n for k, n in zip(lengths, counts))
+    if whole < goal:
+        return below
+    top = min(whole, goal + gap - 1)
+    above = knapsack(lengths, counts, top)
+    over = sum(k * n for k, n in above.items())
+    while over > goal:  # the nearest above: each step asks for less
+        best, top = above, over - 1
+        above = knapsack(lengths, counts, top)
+        if (over := sum(k * n for k, n in above.items())) <= goal:
+            return best
+    return below
+
+
+def draw(histogram: dict[int, int], budget: int, cap: int, window: int = WINDOW, whole: int = WHOLE) -> Draw:
+    """The draw of one source nearest to the budget, within its cap.
+
+    Where all steps of the programming over every document fit in ``whole``
+    bits, it covers all of them: no sum is nearer.  A larger source first gives
+    the same share of every length, less as many documents of each as the
+    ``window`` holds, and the programming chooses among those and the others
+    left; where it meets the budget, no sum is nearer either.  (With lengths as
+    many and various as documents have it does; that it may not is why the
+    report gives the actual shares.)
+    """
     supply = sum(k * n for k, n in histogram.items())
     if not supply or budget <= 0:
         return Draw(budget, 0)
     repeats = min(budget // supply, cap)
     out = Draw(budget, int(repeats), {}, int(repeats * supply))
-    rest = budget - out.tokens if repeats < cap else 0
-    for length, n in histogram.items():
-        if take := n * rest // supply:
-            out.more[length] = int(take)
+    rest = int(budget - out.tokens) if repeats < cap else 0
+    steps = sum(int(n).bit_length() for n in histogram.values())
+    if rest * steps > whole:
+        share = {length: int(n * rest // supply) for length, n in histogram.items()}
+        gap = rest - sum(k * n for k, n in share.items())
+        back = 1 << 20  # documents of each length that are chosen anew
+        while back and gap + sum(k * min(n, back) for k, n in share.items()) > window:
+            back //= 2
+        out.more = {k: n - min(n, back) for k, n in share.items() if n > min(n, back)}
     gap = rest - sum(k * n for k, n in out.more.items())
-    # Longest first until the rest suits the dynamic programming; half of it is left to that, for choice.
-    for length in sorted(histogram, reverse=True):
-        if gap <= limit:
-            break
-        take = min(histogram[length] - out.more.get(length, 0), (gap - limit // 2) // length)
-        if take > 0:
-            out.more[length] = out.more.get(length, 0) + int(take)
-            gap -= take * length
-    if 0 < gap <= 2 * limit:
-        left = {k: n - out.more.get(k, 0) for k, n in histogram.items() if k <= gap and n > out.more.get(k, 0)}
-        for length, n in knapsack(list(left), list(left.values()), int(gap)).items():
+    if gap > 0:
+        left = {k: n - out.more.get(k, 0) for k, n in histogram.items() if n > out.more.get(k, 0)}
+        for length, n in nearest(list(left), list(left.values()), gap).items():
             out.more[length] = out.more.get(length, 0) + n
     out.tokens += sum(k * n for k, n in out.more.items())
     return out

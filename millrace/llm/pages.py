@@ -229,7 +229,7 @@ def decode(score: np.ndarray, block: np.ndarray, cost: float = DEPART) -> np.nda
 
 
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> Boosted | None:
-    rows = bounded(pages, ["fetch_id"], sample)
+    rows = bounded(pages, ["fetch_id"], sample, "text")
     own = [Page(r["uri"], r["text"], r["title"], r["content_type"], r["stats"]) for r in rows]
     x, y = np.concatenate([p.x for p in own] or [np.zeros((0, len(NAMES)))]), np.concatenate([p.label for p in own] or [np.zeros(0)])
     if not (y >= 0).any():

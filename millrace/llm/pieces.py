@@ -10,7 +10,10 @@ adding up the pieces of the ranges before.
 
 Boundaries by rank: paragraph, line, sentence, word, any place.  A piece ends
 at the best boundary of its latter half; the next begins at the best boundary
-within the overlap before that end.
+within the overlap before that end, or with the whole overlap where there is
+none.  A joint is such an end too: the piece after it begins within the
+overlap before it, so it differs from other ends only in its place, near a
+multiple of the range's size.
 """
 
 from __future__ import annotations
@@ -72,11 +75,21 @@ def cut(text: str, tokens: int = TOKENS, overlap: int = OVERLAP) -> list[tuple[i
             return out
         end = _best(places, ranks, begin + most // 2, begin + most) or _best(places, ranks, begin + back, begin + most) or begin + most
         out.append((begin, end))
-        following = _best(places, ranks, max(begin, end - back) - 1, end - 1)
-        i, j = np.searchsorted(places, max(begin + 1, end - back)), np.searchsorted(places, end)
-        if i < j:  # the earliest of the best, so that the overlap is as large as possible
-            following = int(places[i + int(np.argmax(ranks[i:j]))])
-        begin = following if following is not None and begin < following < end else end
+        begin = _back(places, ranks, begin, end, back)
+
+
+def _back(places: np.ndarray, ranks: np.ndarray, begin: int, end: int, back: int) -> int:
+    """Where the piece after one from ``begin`` to ``end`` begins: at the earliest of the best boundaries within the overlap, else with the whole overlap."""
+    low = max(begin + 1, end - back)
+    i, j = np.searchsorted(places, low), np.searchsorted(places, end)
+    return int(places[i + int(np.argmax(ranks[i:j]))]) if i < j else min(low, end)
+
+
+def _opening(text: str, first: int, overlap: int) -> int:
+    """Where the first piece after a joint begins: within the overlap before it."""
+    low = max(0, first - longest(overlap))
+    places, ranks = boundaries(text[low:first])
+    return low + _back(places, ranks, -1, first - low, 4 * overlap) if overlap and first else first
 
 
 def _stretches(length: int, size: int) -> Iterator[tuple[int, int]]:
@@ -91,7 +104,8 @@ def stretch_pieces(read, index: int, length: int, tokens: int, overlap: int, siz
     text = read(low, end)
     first = 0 if begin == 0 else joint(text, begin - low, 0)
     last = len(text) if end == length else joint(text, len(text), max(first, len(text) - halo))
-    return [(low + first + a, low + first + b, text[first + a : first + b]) for a, b in cut(text[first:last], tokens, overlap)]
+    start = _opening(text, first, overlap) if begin else 0
+    return [(low + start + a, low + start + b, text[start + a : start + b]) for a, b in cut(text[start:last], tokens, overlap)]
 
 
 PIECES = "key string, stretch int, begin long, end long, text string"
@@ -165,9 +179,10 @@ def split_files(spark: SparkSession, paths: list[str], tokens: int = TOKENS, ove
                 text = before + own
                 first = 0 if index == 0 else joint(text, len(before), max(0, len(before) - longest(tokens)))
                 last = len(text) if end == length else joint(text, len(text), max(first, len(text) - longest(tokens)))
-                for a, b in cut(text[first:last], tokens, overlap):
-                    begin = low + head + len(text[: first + a].encode())
-                    out.append((path, index, begin, begin + len(text[first + a : first + b].encode()), text[first + a : first + b]))
+                start = _opening(text, first, overlap) if index else 0
+                for a, b in cut(text[start:last], tokens, overlap):
+                    begin = low + head + len(text[: start + a].encode())
+                    out.append((path, index, begin, begin + len(text[start + a : start + b].encode()), text[start + a : start + b]))
             columns = zip(*out) if out else ([],) * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["key", "stretch", "begin", "end", "text"])
 

@@ -1,26 +1,5 @@
 """Intermediate tables in the folder that the cluster names in spark.checkpoint.dir."""
 
-from __future__ import annotations
+from ..storage import clean, folder, store
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder; one of this machine is set only where the session names none (tests, local mode)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def store(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and read them from there; survives the loss of executors."""
-    at = f"{folder(df.sparkSession)}/millrace/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+__all__ = ["clean", "folder", "store"]
