@@ -7,10 +7,11 @@ classes only, so a group of copies costs as much as one text, however large.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,44 +42,84 @@ def fold(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def _hashed(texts: DataFrame, once: bool, output: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """output(batch, rid, words, rows) over all rows of (tbl, key, text) that have a word.
+def hashed(texts: DataFrame) -> DataFrame:
+    """(tbl, key, rid, words): the class of every row of (tbl, key, text) whose text has a word, and its words, four bytes each.
 
-    Rows met again in a partition, or with ``once`` also other rows of a class
-    met there, are left out; so are null keys and texts without words.
+    One pass over the texts, stored.  Rows and classes met again in a batch are
+    given once (``words`` is null for the others of a class), so what a task
+    keeps is bounded; null keys and texts without words are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        classes: set[int] = set()
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, row in enumerate(zip(*(c.to_pylist() for c in (batch.columns[2:] if once else batch.columns)))):
-                if (h := hash(row)) not in seen:
-                    seen.add(h)
-                    keep[i] = True
-            batch = batch.filter(pa.array(keep))
             hashes, rows = W.words(batch.column(2))
             rid = W.rowid(hashes, rows)
-            keep = np.diff(rows) > 0
-            if once:
-                for i, r in enumerate(rid.tolist()):
-                    if r in classes:
-                        keep[i] = False
-                    classes.add(r)
-            yield output(batch, rid, fold(hashes), rows).filter(pa.array(keep))
+            some, seen, classes = np.diff(rows) > 0, set(), set()
+            first = np.zeros(batch.num_rows, bool)
+            for i, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), rid.tolist())):
+                if some[i] and row not in seen:
+                    seen.add(row)
+                    first[i] = row[2] not in classes
+                    classes.add(row[2])
+                else:
+                    some[i] = False
+            words = pc.if_else(pa.array(first), _binary(fold(hashes), rows), pa.scalar(None, pa.binary()))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rid), words], ["tbl", "key", "rid", "words"])
+            yield out.filter(pa.array(some))
 
-    return texts.filter("key is not null and text is not null").select("tbl", "key", "text").mapInArrow(run, schema)
+    return store(texts.filter("key is not null and text is not null").select("tbl", "key", "text").mapInArrow(run, "tbl string, key string, rid long, words binary"))
 
 
-def members(texts: DataFrame) -> DataFrame:
-    """(tbl, key, rid): the class of every row of (tbl, key, text) whose text has a word."""
-    return _hashed(texts, False, lambda batch, rid, words, rows: pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rid)], ["tbl", "key", "rid"]), "tbl string, key string, rid long")
+def members(rows: DataFrame) -> DataFrame:
+    """(tbl, key, rid) of hashed rows, each once."""
+    return rows.select("tbl", "key", "rid").distinct()
 
 
-def class_words(texts: DataFrame) -> DataFrame:
-    """(rid, words) of the classes of (tbl, key, text), four bytes a word; a class once for every partition that has it."""
-    return _hashed(texts, True, lambda batch, rid, words, rows: pa.RecordBatch.from_arrays([pa.array(rid), _binary(words, rows)], ["rid", "words"]), "rid long, words binary")
+def class_words(rows: DataFrame) -> DataFrame:
+    """(rid, words) of the classes of hashed rows; a class once for every batch that had it."""
+    return rows.filter("words is not null").select("rid", "words")
+
+
+SKETCH = 8  # numbers of 64 bits
+
+
+def sketches(classes: DataFrame, size: int) -> DataFrame:
+    """(rid, total, k0, ...): the number of a class's shingles, and a set of 64 * SKETCH bits, one for each shingle's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, at = unpack(batch.column(1))
+            s, rows = W.shingles(w.astype(np.uint64), at, size)
+            own = np.repeat(np.arange(batch.num_rows), np.diff(rows))
+            order = np.lexsort((s, own))
+            s, own = s[order], own[order]
+            fresh = np.ones(len(s), bool)
+            fresh[1:] = (s[1:] != s[:-1]) | (own[1:] != own[:-1])
+            total = np.bincount(own[fresh], minlength=batch.num_rows)
+            low = W.mix64(s) & np.uint64(64 * SKETCH - 1)
+            bits = np.zeros((batch.num_rows, SKETCH), np.uint64)
+            np.bitwise_or.at(bits, (own, (low >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (low & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(SKETCH))], ["rid", "total", *(f"k{k}" for k in range(SKETCH))])
+
+    return classes.select("rid", "words").mapInArrow(run, "rid long, total int, " + ", ".join(f"k{k} long" for k in range(SKETCH)))
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, threshold: float, size: int = 3) -> DataFrame:
+    """The pairs (a, b) whose similarity can reach the threshold as far as sketches tell; none that does is dropped.
+
+    Every bit in which two sketches differ stands for a shingle that only one
+    text has, so texts of x and y shingles share at most (x + y - bits) / 2;
+    they must share threshold / (1 + threshold) * (x + y).
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    some = store(sketches(classes, size).join(wanted, "rid", "left_semi").dropDuplicates(["rid"]))
+    side = lambda end, mark: some.select(F.col("rid").alias(end), F.col("total").alias(f"{mark}n"), *[F.col(f"k{k}").alias(f"{mark}{k}") for k in range(SKETCH)])
+    both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    apart = F.lit(0)
+    for k in range(SKETCH):
+        apart = apart + F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}")))
+    total = F.col("xn") + F.col("yn")
+    return both.filter((total - apart) / 2 >= total * (threshold / (1 + threshold)) - 1e-6).select("a", "b")
 
 
 def set3(words: np.ndarray, size: int = 3) -> np.ndarray:
@@ -103,6 +144,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def similar(pairs: DataFrame, classes: DataFrame, threshold: float, size: int = 3) -> DataFrame:
     """The pairs (a, b, ...) of classes whose shingle sets have a Jaccard similarity of at least ``threshold``."""
+    pairs = store(plausible(pairs, classes, threshold, size))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     some = store(classes.select("rid", "words").join(wanted, "rid", "left_semi").dropDuplicates(["rid"]))
     left = some.select(F.col("rid").alias("a"), F.col("words").alias("wa"))

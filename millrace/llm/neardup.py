@@ -45,16 +45,17 @@ def posted(classes: DataFrame, coordinates: int = 40, values: int = 3, size: int
     return classes.select("rid", "words").mapInArrow(run, "rid long, token long")
 
 
-def candidates(posts: DataFrame, matches: int = 2) -> DataFrame:
+def candidates(posts: DataFrame, matches: int = 2, block: int = 5000) -> DataFrame:
     """Pairs (a, b), a < b, with at least ``matches`` equal coordinates."""
     placed = posts.repartition("token")  # one exchange for the count and the join
     frequent = placed.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     shared = placed.join(frequent, "token").groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("n", "token"))).alias("t")).filter(F.size("t") >= matches)
-    prefix = shared.select("rid", F.explode(F.slice("t", F.lit(1), F.size("t") - (matches - 1))).alias("p"), "t").select("rid", F.col("p.token").alias("token"), F.transform("t", lambda x: x["token"]).alias("all"))
+    prefix = shared.select("rid", F.explode(F.slice("t", F.lit(1), F.size("t") - (matches - 1))).alias("p"), "t").select("rid", F.col("p.token").alias("token"), F.ceil(F.col("p.n") / block).cast("int").alias("blocks"), F.transform("t", lambda x: x["token"]).alias("all"))
     prefix = store(prefix)
-    a = prefix.select(F.col("rid").alias("a"), "token", F.col("all").alias("x"))
-    b = prefix.select(F.col("rid").alias("b"), "token", F.col("all").alias("y"))
-    hits = a.join(b, "token").filter("a < b")
+    # A frequent token's posts lie in blocks; each of them meets all blocks.
+    a = prefix.select(F.col("rid").alias("a"), "token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("all").alias("x"))
+    b = prefix.select(F.col("rid").alias("b"), "token", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), F.col("all").alias("y"))
+    hits = a.join(b, ["token", "block"]).filter("a < b")
     return store(hits.filter(F.size(F.array_intersect("x", "y")) >= matches).select("a", "b").distinct())
 
 

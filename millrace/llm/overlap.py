@@ -8,10 +8,11 @@ among the first n - ceil(threshold * n) + 1 of each (prefix filter): no linked
 pair is missed, however its edits are spread.
 
 Two linked texts of x and y shingles share at least threshold / (1 + threshold)
-* (x + y).  A pair is dropped only if it can't reach that: by a common shingle's
-places (what comes before and after it in the shorter text), and by the number
-of common shingles found and what comes after the last.  The exact similarity
-decides on all others.
+* (x + y), all of them at or behind their first common shingle in both orders.
+A pair is dropped only if it can't reach that: by the places of its common
+shingles, by their number and what comes after the last of them, and by how
+far bit sets of the two texts differ.  The exact similarity decides on all
+others.
 """
 
 from __future__ import annotations
@@ -141,16 +142,25 @@ def within(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, k: int,
     return out
 
 
-def candidates(evaluation: DataFrame, training: DataFrame, threshold: float, size: int = 3) -> DataFrame:
-    """Pairs (a, b) of an evaluation and a training class, with all whose similarity is at least ``threshold``."""
+def candidates(evaluation: DataFrame, training: DataFrame, threshold: float, size: int = 3, block: int = 20_000) -> DataFrame:
+    """Pairs (a, b) of an evaluation and a training class, with all whose similarity is at least ``threshold``.
+
+    A key's own first byte tells how frequent it is in training, so a frequent
+    one is parted in blocks without a count: training's posts of it lie in
+    blocks by class, and evaluation's meet all blocks.
+    """
     bits = bitmap(asked(evaluation, size))
     levels = sketch(training, size, bits)
     mine, theirs = (posted(side, size, threshold, bits, levels) for side in (evaluation, training))
-    hits = mine.select(F.col("rid").alias("a"), "key", F.col("place").alias("i"), F.col("total").alias("x")).join(theirs.select(F.col("rid").alias("b"), "key", F.col("place").alias("j"), F.col("total").alias("y")), "key")
-    need = (F.col("x") + F.col("y")) * (threshold / (1 + threshold)) - SLACK
+    blocks = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), (F.shiftrightunsigned("key", 56) - 1) / 8) / block)).cast("int")
+    left = mine.select(F.col("rid").alias("a"), "key", F.col("place").alias("i"), F.col("total").alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    right = theirs.select(F.col("rid").alias("b"), "key", F.col("place").alias("j"), F.col("total").alias("y"), F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("block"))
+    hits = left.join(right, ["key", "block"])
+    need = F.ceil((F.col("x") + F.col("y")) * (threshold / (1 + threshold)) - SLACK)
+    # The first common shingle has all others behind it in both texts.
+    hits = hits.filter((F.col("a") != F.col("b")) & (F.col("i") + need <= F.col("x")) & (F.col("j") + need <= F.col("y")))
     after = F.least(F.col("x") - F.col("i"), F.col("y") - F.col("j")) - 1
-    hits = hits.filter((F.col("a") != F.col("b")) & (F.least("i", "j") + 1 + after >= need))
-    # A class may come from several partitions: its hits then count more than once, which only ever admits more.
+    # A class may come from several batches: its hits then count more than once, which only ever admits more.
     shared = hits.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(after).alias("after"), F.max(need).alias("need"))
     return store(shared.filter(F.col("n") + F.col("after") >= F.col("need")).select("a", "b"))
 

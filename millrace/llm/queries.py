@@ -31,24 +31,58 @@ def _expanded(members: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("tbl", F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b")).distinct()
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = _table(spark, sf_dir, "near_signatures").select(F.lit("near_signatures").alias("tbl"), F.col("hash").alias("key"), "text")
-    texts = _record_texts(spark, sf_dir).unionByName(near)
-    return _expanded(store(C.members(texts).distinct()), neardup.links(C.class_words(texts), threshold=0.6, size=3))
+    return _record_texts(spark, sf_dir).unionByName(near)
 
 
-def _cross_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id_eval, id_train) of every record of an evaluation split and its counterparts in train."""
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.hashed(_all_texts(spark, sf_dir))
+    return _expanded(store(C.members(rows)), neardup.links(C.class_words(rows), threshold=0.6, size=3))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, key, class_id, links): every text with the class of its equals and the number of other classes it is linked with; groups of copies aren't expanded to pairs."""
+    rows = C.hashed(_all_texts(spark, sf_dir))
+    return _with_links(C.members(rows), neardup.links(C.class_words(rows), threshold=0.6, size=3))
+
+
+def _with_links(members: DataFrame, links: DataFrame) -> DataFrame:
+    counts = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
+    return members.join(counts, "rid", "left").select("tbl", "key", F.col("rid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed records of the evaluation splits (tbl eval) and of train."""
     split = F.lower(F.trim("split"))
     side = F.when(split == "train", "train").when(split.isin("validation", "test"), "eval")
-    texts = _table(spark, sf_dir, "records").select(side.alias("tbl"), F.col("id").alias("key"), C.message_text("messages").alias("text")).filter("tbl is not null")
-    evaluation, training = (C.class_words(texts.filter(F.col("tbl") == side)) for side in ("eval", "train"))
-    links = overlap.overlaps(evaluation, training, C.class_words(texts), threshold=0.6, size=3).select("a", "b")
-    m = store(C.members(texts).distinct())
+    return C.hashed(_table(spark, sf_dir, "records").select(side.alias("tbl"), F.col("id").alias("key"), C.message_text("messages").alias("text")).filter("tbl is not null"))
+
+
+def _side_links(rows: DataFrame) -> DataFrame:
+    """(a, b) of linked or equal classes, a of evaluation and b of train. A class's words may stand with a row of the other side, so sides take them by class."""
+    sides = rows.select("tbl", "rid").distinct()
+    words = store(C.class_words(rows).join(sides, "rid"))
+    evaluation, training = (words.filter(F.col("tbl") == side).select("rid", "words") for side in ("eval", "train"))
+    equal = sides.filter("tbl = 'eval'").select(F.col("rid").alias("a")).join(sides.filter("tbl = 'train'").select(F.col("rid").alias("b")), F.col("a") == F.col("b"))
+    return overlap.overlaps(evaluation, training, C.class_words(rows), threshold=0.6, size=3).select("a", "b").unionByName(equal)
+
+
+def _cross_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id_eval, id_train) of every record of an evaluation split and its counterparts in train."""
+    rows = _sides(spark, sf_dir)
+    m = store(C.members(rows))
     left = m.filter("tbl = 'eval'").select(F.col("key").alias("id_eval"), F.col("rid").alias("a"))
     right = m.filter("tbl = 'train'").select(F.col("key").alias("id_train"), F.col("rid").alias("b"))
-    equal = left.select("a").distinct().join(right.select("b").distinct(), F.col("a") == F.col("b"))
-    return links.unionByName(equal).join(left, "a").join(right, "b").filter("id_eval <> id_train").select("id_eval", "id_train").distinct()
+    return _side_links(rows).join(left, "a").join(right, "b").filter("id_eval <> id_train").select("id_eval", "id_train").distinct()
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, key, class_id, links): every record of train and of the evaluation splits with the class of its equals and the number of classes of the other side it is linked with."""
+    rows = _sides(spark, sf_dir)
+    links = store(_side_links(rows))
+    counts = links.groupBy(F.lit("eval").alias("tbl"), F.col("a").alias("rid")).agg(F.count("*").alias("links")).unionByName(links.groupBy(F.lit("train").alias("tbl"), F.col("b").alias("rid")).agg(F.count("*").alias("links")))
+    return C.members(rows).join(counts, ["tbl", "rid"], "left").select("tbl", "key", F.col("rid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +140,11 @@ def p3_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.assembled(_table(spark, sf_dir, "messages"), _table(spark, sf_dir, "conversations"))
 
 
+def p3_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments, paths and overlaps of every conversation."""
+    return conversations.assembly(_table(spark, sf_dir, "messages"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "memory_chunks").filter("chunk_id is not null").groupBy("chunk_id").agg(F.max("text").alias("text"))
     return pieces.split_texts(chunks.select(F.col("chunk_id").alias("key"), "text"))
@@ -186,7 +225,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_assembled": p3_assembled, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_classes": p1_classes, "p3_assembly": p3_assembly, "p5_classes": p5_classes, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_assembled": p3_assembled, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
 
 
 def oracle_sql() -> dict[str, str]:

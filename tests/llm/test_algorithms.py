@@ -70,9 +70,9 @@ def test_near_duplicates_equal_brute_force(spark, size, threshold):
     texts = corpus(5)
     rows = [("t", k, v) for k, v in texts.items()] + [("t", "d0", texts["d0"]), ("t", None, "x")]
     df = spark.createDataFrame(rows, "tbl string, key string, text string")
-    member = {r.key: r.rid for r in classes.members(df).collect()}
+    member = {r.key: r.rid for r in classes.members(classes.hashed(df)).collect()}
     assert set(member) == {k for k, v in texts.items() if shingles(v)}
-    links = {frozenset((r.a, r.b)) for r in neardup.links(classes.class_words(df), threshold, size).collect()}
+    links = {frozenset((r.a, r.b)) for r in neardup.links(classes.class_words(classes.hashed(df)), threshold, size).collect()}
     for a in member:
         for b in member:
             if a < b:
@@ -84,9 +84,9 @@ def test_overlaps_find_pairs_across_splits(spark):
     texts = corpus(11, 80)
     side = {k: "eval" if hash_part(k) else "train" for k in texts}
     df = spark.createDataFrame([(side[k], k, v) for k, v in texts.items()], "tbl string, key string, text string")
-    member = {r.key: r.rid for r in classes.members(df).collect()}
-    e, t = (classes.class_words(df.filter(f"tbl = '{s}'")) for s in ("eval", "train"))
-    links = {(r.a, r.b) for r in overlap.overlaps(e, t, classes.class_words(df), 0.6, 3).collect()}
+    member = {r.key: r.rid for r in classes.members(classes.hashed(df)).collect()}
+    e, t = (classes.class_words(classes.hashed(df.filter(f"tbl = '{s}'"))) for s in ("eval", "train"))
+    links = {(r.a, r.b) for r in overlap.overlaps(e, t, classes.class_words(classes.hashed(df)), 0.6, 3).collect()}
     wanted = {(member[a], member[b]) for a in member for b in member if side[a] == "eval" and side[b] == "train" and member[a] != member[b] and similarity(texts[a], texts[b]) >= 0.6}
     assert links <= wanted and len(links) >= 0.97 * len(wanted) and wanted
 
@@ -223,7 +223,7 @@ def test_overlaps_with_scattered_edits_are_all_found(spark):
             own[at] = "new" + own[at]
         texts[f"t{i}"] = " ".join(own)
     df = spark.createDataFrame([("eval" if k[0] == "e" else "train", k, v) for k, v in texts.items()], "tbl string, key string, text string")
-    member = {r.rid: r.key for r in classes.members(df).collect()}
-    e, t = (classes.class_words(df.filter(f"tbl = '{s}'")) for s in ("eval", "train"))
-    links = {(member[r.a], member[r.b]) for r in overlap.overlaps(e, t, classes.class_words(df), 0.6, 3).collect()}
+    member = {r.rid: r.key for r in classes.members(classes.hashed(df)).collect()}
+    e, t = (classes.class_words(classes.hashed(df.filter(f"tbl = '{s}'"))) for s in ("eval", "train"))
+    links = {(member[r.a], member[r.b]) for r in overlap.overlaps(e, t, classes.class_words(classes.hashed(df)), 0.6, 3).collect()}
     assert links == {(f"e{i}", f"t{i}") for i in range(240) if similarity(texts[f"e{i}"], texts[f"t{i}"]) >= 0.6} and len(links) > 100
