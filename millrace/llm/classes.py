@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .bits import having
 from .storage import store
 
 def message_text(messages: Column | str) -> Column:
@@ -90,16 +91,15 @@ def sketches(classes: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             w, at = unpack(batch.column(1))
             s, rows = W.shingles(w.astype(np.uint64), at, size)
-            own = np.repeat(np.arange(batch.num_rows), np.diff(rows))
-            order = np.lexsort((s, own))
-            s, own = s[order], own[order]
+            own = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(rows))
+            each = np.sort((own << np.uint64(40)) | (s >> np.uint64(24)))
             fresh = np.ones(len(s), bool)
-            fresh[1:] = (s[1:] != s[:-1]) | (own[1:] != own[:-1])
-            total = np.bincount(own[fresh], minlength=batch.num_rows)
-            low = W.mix64(s) & np.uint64(64 * SKETCH - 1)
-            bits = np.zeros((batch.num_rows, SKETCH), np.uint64)
-            np.bitwise_or.at(bits, (own, (low >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (low & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(SKETCH))], ["rid", "total", *(f"k{k}" for k in range(SKETCH))])
+            fresh[1:] = each[1:] != each[:-1]
+            total = np.bincount((each[fresh] >> np.uint64(40)).astype(np.int64), minlength=batch.num_rows)
+            bits = np.zeros((batch.num_rows, 64 * SKETCH), bool)
+            bits[own.astype(np.int64), (W.mix64(s) & np.uint64(64 * SKETCH - 1)).astype(np.int64)] = True
+            numbers = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total.astype(np.int32)), *(pa.array(np.ascontiguousarray(numbers[:, k])) for k in range(SKETCH))], ["rid", "total", *(f"k{k}" for k in range(SKETCH))])
 
     return classes.select("rid", "words").mapInArrow(run, "rid long, total int, " + ", ".join(f"k{k} long" for k in range(SKETCH)))
 
@@ -109,17 +109,18 @@ def plausible(pairs: DataFrame, classes: DataFrame, threshold: float, size: int
 
     Every bit in which two sketches differ stands for a shingle that only one
     text has, so texts of x and y shingles share at most (x + y - bits) / 2;
-    they must share threshold / (1 + threshold) * (x + y).
+    they must share threshold / (1 + threshold) * (x + y).  One shingle is allowed for, as the
+    number of shingles is counted by 40 bits of their hashes.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    some = store(sketches(classes, size).join(wanted, "rid", "left_semi").dropDuplicates(["rid"]))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
+    some = store(sketches(having(classes.select("rid", "words"), "rid", wanted.select(F.col("rid").alias("key"))), size).dropDuplicates(["rid"]))
     side = lambda end, mark: some.select(F.col("rid").alias(end), F.col("total").alias(f"{mark}n"), *[F.col(f"k{k}").alias(f"{mark}{k}") for k in range(SKETCH)])
     both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b")
     apart = F.lit(0)
     for k in range(SKETCH):
         apart = apart + F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}")))
     total = F.col("xn") + F.col("yn")
-    return both.filter((total - apart) / 2 >= total * (threshold / (1 + threshold)) - 1e-6).select("a", "b")
+    return both.filter((total - apart) / 2 >= total * (threshold / (1 + threshold)) - 1).select("a", "b")
 
 
 def set3(words: np.ndarray, size: int = 3) -> np.ndarray:
@@ -145,8 +146,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def similar(pairs: DataFrame, classes: DataFrame, threshold: float, size: int = 3) -> DataFrame:
     """The pairs (a, b, ...) of classes whose shingle sets have a Jaccard similarity of at least ``threshold``."""
     pairs = store(plausible(pairs, classes, threshold, size))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    some = store(classes.select("rid", "words").join(wanted, "rid", "left_semi").dropDuplicates(["rid"]))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
+    some = store(having(classes.select("rid", "words"), "rid", wanted.select(F.col("rid").alias("key"))).dropDuplicates(["rid"]))
     left = some.select(F.col("rid").alias("a"), F.col("words").alias("wa"))
     right = some.select(F.col("rid").alias("b"), F.col("words").alias("wb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "wa", "wb")

@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from . import overlap, prose
+from . import prose
 from . import words as W
+from .bits import bitmap, set_in
 from .crf import Chain
 from .sampling import bounded
 from .storage import store
@@ -336,9 +337,9 @@ def last_grams(pairs: DataFrame) -> DataFrame:
     return pairs.select("row", "answer").mapInArrow(run, "row long, k0 long, k1 long, k2 long")
 
 
-def gram_counts(pairs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def gram_counts(pairs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(key, n, last): how often grams whose bit is set occur in all responses, and end a sentence there."""
-    shared = pairs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    shared = pairs.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
@@ -348,7 +349,7 @@ def gram_counts(pairs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             closing = np.zeros(len(keys), bool)
             closing[at[1:] - 1] = [c[-1:] in ".!?" for c, _ in own]
             flat, closing = keys.reshape(-1), np.repeat(closing, 3)
-            some = overlap._set_in(bits, flat)
+            some = set_in(bits, flat)
             key, index, n = np.unique(flat[some], return_inverse=True, return_counts=True)
             last = np.bincount(index, closing[some], len(key)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(last)], ["key", "n", "last"])
@@ -360,7 +361,7 @@ def counted(pairs: DataFrame) -> DataFrame:
     """The rows of (row, tbl, id, question, answer) with ``counts``: of the last word, the last two and the last three of its response, how often they occur and end a sentence in all rows."""
     grams = store(last_grams(pairs))
     wanted = grams.select("row", F.posexplode(F.array("k0", "k1", "k2")).alias("at", "key"))
-    counts = gram_counts(pairs, overlap.bitmap(wanted))
+    counts = gram_counts(pairs, bitmap(wanted))
     each = wanted.join(counts, "key", "left").groupBy("row").agg(*(F.coalesce(F.max(F.when(F.col("at") == i, F.col(c))), F.lit(0)).alias(f"{c}{i}") for i in range(3) for c in ("n", "last")))
     return pairs.join(each.select("row", F.array(*(f"{c}{i}" for i in range(3) for c in ("n", "last"))).alias("counts")), "row", "left")
 

@@ -26,18 +26,13 @@ from pyspark.sql import functions as F
 
 from . import classes as C
 from . import words as W
+from .bits import bitmap, set_in
 from .storage import store
 
-BITS = 25
 COUNTERS = 22  # bits of a shingle's place in the sketch
 SLACK = 1e-6  # for rounding; only ever admits more
 
 
-def _set_in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    low = key & np.uint64((1 << BITS) - 1)
-    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
-
-
 def _shingles(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     w, rows = C.unpack(batch.column(1))
     return W.shingles(w.astype(np.uint64), rows, size)
@@ -53,14 +48,6 @@ def asked(evaluation: DataFrame, size: int) -> DataFrame:
     return evaluation.select("rid", "words").mapInArrow(run, "key long")
 
 
-def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """A set of the keys' low bits: 2 ** (bits - 3) bytes at any size of the input."""
-    rows = keys.select((F.col("key").bitwiseAND((1 << bits) - 1)).alias("low")).groupBy(F.shiftright("low", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("set")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[rows["at"].to_numpy()] = rows["set"].to_numpy()
-    return out.view(np.uint64)
-
-
 def sketch(training: DataFrame, size: int, bitmap: np.ndarray) -> np.ndarray:
     """How frequent the shingles of the bitmap are in training: a level of 0 to 254 for each of 2 ** COUNTERS places, 0 only where there are none."""
     shared = training.sparkSession.sparkContext.broadcast(bitmap.tobytes())
@@ -69,7 +56,7 @@ def sketch(training: DataFrame, size: int, bitmap: np.ndarray) -> np.ndarray:
         bits = np.frombuffer(shared.value, np.uint64)
         for batch in batches:
             key, _ = _shingles(batch, size)
-            place, n = np.unique((key[_set_in(bits, key)] & np.uint64((1 << COUNTERS) - 1)).astype(np.int32), return_counts=True)
+            place, n = np.unique((key[set_in(bits, key)] & np.uint64((1 << COUNTERS) - 1)).astype(np.int32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n)], ["place", "n"])
 
     counts = training.select("rid", "words").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
@@ -80,15 +67,16 @@ def sketch(training: DataFrame, size: int, bitmap: np.ndarray) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def posted(classes: DataFrame, size: int, threshold: float, bitmap: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """(rid, key, place, total): the first of a class's shingles, if both sides can have them, with their places in the order and the number of all."""
-    shared = classes.sparkSession.sparkContext.broadcast((bitmap.tobytes(), levels.tobytes()))
+def posted(classes: DataFrame, size: int, threshold: float, bitmap: np.ndarray, levels: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+    """(rid, key, place, total): the first of a class's shingles, if both sides can have them (``only``: if their bit is set there), with their places in the order and the number of all."""
+    shared = classes.sparkSession.sparkContext.broadcast((bitmap.tobytes(), levels.tobytes(), None if only is None else only.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, level = np.frombuffer(shared.value[0], np.uint64), np.frombuffer(shared.value[1], np.uint8)
+        asked_for = None if shared.value[2] is None else np.frombuffer(shared.value[2], np.uint64)
         for batch in batches:
             s, at = _shingles(batch, size)
-            rank = np.where(_set_in(bits, s), level[(s & np.uint64((1 << COUNTERS) - 1)).astype(np.int64)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+            rank = np.where(set_in(bits, s), level[(s & np.uint64((1 << COUNTERS) - 1)).astype(np.int64)].astype(np.uint64) + np.uint64(1), np.uint64(0))
             s = (rank << np.uint64(56)) | (s >> np.uint64(8))  # sorts by the order
             own = [np.unique(s[a:b]) for a, b in zip(at[:-1], at[1:])]
             n = np.array([len(x) for x in own], np.int64)
@@ -97,6 +85,8 @@ def posted(classes: DataFrame, size: int, threshold: float, bitmap: np.ndarray,
             key = np.concatenate([s[:0], *(x[:k] for x, k in zip(own, first))])
             place = np.arange(len(key)) - np.repeat(np.cumsum(first) - first, first)
             both = key >= np.uint64(2 << 56)
+            if asked_for is not None:
+                both &= set_in(asked_for, key)
             yield pa.RecordBatch.from_arrays([pa.array(rid[both]), pa.array(key[both].view(np.int64)), pa.array(place[both].astype(np.int32)), pa.array(total[both].astype(np.int32))], ["rid", "key", "place", "total"])
 
     return classes.select("rid", "words").mapInArrow(run, "rid long, key long, place int, total int")
@@ -151,7 +141,8 @@ def candidates(evaluation: DataFrame, training: DataFrame, threshold: float, siz
     """
     bits = bitmap(asked(evaluation, size))
     levels = sketch(training, size, bits)
-    mine, theirs = (posted(side, size, threshold, bits, levels) for side in (evaluation, training))
+    mine = store(posted(evaluation, size, threshold, bits, levels))
+    theirs = posted(training, size, threshold, bits, levels, bitmap(mine))
     blocks = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), (F.shiftrightunsigned("key", 56) - 1) / 8) / block)).cast("int")
     left = mine.select(F.col("rid").alias("a"), "key", F.col("place").alias("i"), F.col("total").alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     right = theirs.select(F.col("rid").alias("b"), "key", F.col("place").alias("j"), F.col("total").alias("y"), F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("block"))

@@ -52,37 +52,34 @@ def _with_links(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(counts, "rid", "left").select("tbl", "key", F.col("rid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed records of the evaluation splits (tbl eval) and of train."""
-    split = F.lower(F.trim("split"))
-    side = F.when(split == "train", "train").when(split.isin("validation", "test"), "eval")
-    return C.hashed(_table(spark, sf_dir, "records").select(side.alias("tbl"), F.col("id").alias("key"), C.message_text("messages").alias("text")).filter("tbl is not null"))
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hashed records of the evaluation splits, and of train."""
+    texts = _table(spark, sf_dir, "records").select(F.lower(F.trim("split")).alias("split"), F.col("id").alias("key"), C.message_text("messages").alias("text"))
+    part = lambda name, *splits: C.hashed(texts.filter(F.col("split").isin(*splits)).select(F.lit(name).alias("tbl"), "key", "text"))
+    return part("eval", "validation", "test"), part("train", "train")
 
 
-def _side_links(rows: DataFrame) -> DataFrame:
-    """(a, b) of linked or equal classes, a of evaluation and b of train. A class's words may stand with a row of the other side, so sides take them by class."""
-    sides = rows.select("tbl", "rid").distinct()
-    words = store(C.class_words(rows).join(sides, "rid"))
-    evaluation, training = (words.filter(F.col("tbl") == side).select("rid", "words") for side in ("eval", "train"))
-    equal = sides.filter("tbl = 'eval'").select(F.col("rid").alias("a")).join(sides.filter("tbl = 'train'").select(F.col("rid").alias("b")), F.col("a") == F.col("b"))
-    return overlap.overlaps(evaluation, training, C.class_words(rows), threshold=0.6, size=3).select("a", "b").unionByName(equal)
+def _side_links(evaluation: DataFrame, training: DataFrame) -> DataFrame:
+    """(a, b) of linked or equal classes, a of evaluation and b of train."""
+    e, t = C.class_words(evaluation), C.class_words(training)
+    equal = evaluation.select(F.col("rid").alias("a")).distinct().join(training.select(F.col("rid").alias("b")).distinct(), F.col("a") == F.col("b"))
+    return overlap.overlaps(e, t, e.unionByName(t), threshold=0.6, size=3).select("a", "b").unionByName(equal)
 
 
 def _cross_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id_eval, id_train) of every record of an evaluation split and its counterparts in train."""
-    rows = _sides(spark, sf_dir)
-    m = store(C.members(rows))
-    left = m.filter("tbl = 'eval'").select(F.col("key").alias("id_eval"), F.col("rid").alias("a"))
-    right = m.filter("tbl = 'train'").select(F.col("key").alias("id_train"), F.col("rid").alias("b"))
-    return _side_links(rows).join(left, "a").join(right, "b").filter("id_eval <> id_train").select("id_eval", "id_train").distinct()
+    evaluation, training = _sides(spark, sf_dir)
+    left = C.members(evaluation).select(F.col("key").alias("id_eval"), F.col("rid").alias("a"))
+    right = C.members(training).select(F.col("key").alias("id_train"), F.col("rid").alias("b"))
+    return _side_links(evaluation, training).join(left, "a").join(right, "b").filter("id_eval <> id_train").select("id_eval", "id_train").distinct()
 
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, key, class_id, links): every record of train and of the evaluation splits with the class of its equals and the number of classes of the other side it is linked with."""
-    rows = _sides(spark, sf_dir)
-    links = store(_side_links(rows))
+    evaluation, training = _sides(spark, sf_dir)
+    links = store(_side_links(evaluation, training))
     counts = links.groupBy(F.lit("eval").alias("tbl"), F.col("a").alias("rid")).agg(F.count("*").alias("links")).unionByName(links.groupBy(F.lit("train").alias("tbl"), F.col("b").alias("rid")).agg(F.count("*").alias("links")))
-    return C.members(rows).join(counts, ["tbl", "rid"], "left").select("tbl", "key", F.col("rid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return C.members(evaluation).unionByName(C.members(training)).join(counts, ["tbl", "rid"], "left").select("tbl", "key", F.col("rid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
