@@ -48,10 +48,12 @@ class Boosted:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log-odds."""
-        b, out, rows = self.binned(x), np.full(len(x), self.base), np.arange(len(x))
+        # Features by row, so that a tree's look-ups lie side by side.
+        b, out = np.ascontiguousarray(self.binned(x).T), np.full(len(x), self.base)
+        rows = np.arange(len(x))
         for feature, cut, value in self.model:
-            node = np.zeros(len(x), np.int64)
+            node = np.zeros(len(x), np.int32)
             for _ in range(self.depth):
-                node = 2 * node + 1 + (b[rows, feature[node]] > cut[node])
+                node = 2 * node + 1 + (b[feature[node], rows] > cut[node])
             out += value[node - ((1 << self.depth) - 1)]
         return out

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .band import within
 from .bits import having
 from .storage import store
 
@@ -143,8 +144,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def similar(pairs: DataFrame, classes: DataFrame, threshold: float, size: int = 3) -> DataFrame:
-    """The pairs (a, b, ...) of classes whose shingle sets have a Jaccard similarity of at least ``threshold``."""
+def _picked(values: np.ndarray, rows: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences of some rows."""
+    parts = [values[rows[i] : rows[i + 1]] for i in some]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+def similar(pairs: DataFrame, classes: DataFrame, threshold: float, size: int = 3, edits: int = 0) -> DataFrame:
+    """The pairs (a, b, similarity) of classes whose shingle sets have a Jaccard similarity of at least ``threshold``.
+
+    ``edits``: texts at most so many words apart, as banded dynamic programming
+    finds, and so long that this links them, have the similarity that follows
+    from it as the lower bound; all others have their own.
+    """
     pairs = store(plausible(pairs, classes, threshold, size))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
     some = store(having(classes.select("rid", "words"), "rid", wanted.select(F.col("rid").alias("key"))).dropDuplicates(["rid"]))
@@ -162,7 +174,16 @@ def similar(pairs: DataFrame, classes: DataFrame, threshold: float, size: int =
                     sets[p] = set3(x[xs[i] : xs[i + 1]], size)
                 if q not in sets:
                     sets[q] = set3(y[ys[i] : ys[i + 1]], size)
-                value[i] = jaccard(sets[p], sets[q])
+                least = min(len(sets[p]), len(sets[q])) - size * edits, min(len(sets[p]), len(sets[q])) + size * edits
+                if edits and least[0] >= threshold * least[1]:
+                    value[i] = -least[0] / least[1]
+                else:
+                    value[i] = jaccard(sets[p], sets[q])
+            if len(long := np.flatnonzero(value < 0)):
+                near = np.zeros(len(value), bool)
+                near[long] = within(*_picked(x, xs, long), *_picked(y, ys, long), edits)
+                for i in long:
+                    value[i] = -value[i] if near[i] else jaccard(sets[batch.column(0)[i].as_py()], sets[batch.column(1)[i].as_py()])
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], ["a", "b", "similarity"])
             yield out.filter(pa.array(value >= threshold - 1e-12))
 

@@ -1,18 +1,24 @@
-"""Problem 1: evaluation records that occur again in training, by an exact set-similarity join.
-
-The distinct shingles of a text are put in one order that holds for all texts:
-those that no evaluation text has, then the others from rare to frequent, as a
-sketch of fixed size counts them in training.  Of n shingles at least the share
-``threshold`` is in a linked text, so two linked texts have a shingle in common
-among the first n - ceil(threshold * n) + 1 of each (prefix filter): no linked
-pair is missed, however its edits are spread.
-
-Two linked texts of x and y shingles share at least threshold / (1 + threshold)
-* (x + y), all of them at or behind their first common shingle in both orders.
-A pair is dropped only if it can't reach that: by the places of its common
-shingles, by their number and what comes after the last of them, and by how
-far bit sets of the two texts differ.  The exact similarity decides on all
-others.
+"""Problem 1: evaluation records that occur again in training, by a segment join.
+
+A text of n segments (its distinct runs of ``size`` words) that is linked with
+another shares at least the part ``threshold`` of them, so edits spoil at most
+k = n - ceil(threshold * n).  Of the k + 1 segments that come first in one
+order for all texts, at least one is left unspoilt, however the edits are
+spread: evaluation's are looked up among training's.  The order is from rare
+to frequent, as a sketch of fixed size counts segments in training, so that
+what is looked up is rare.
+
+Segments may match only at allowed places: two linked texts of x and y segments
+share at least threshold / (1 + threshold) * (x + y), all of them at or behind
+their first common one in both orders.  Pairs of which the places and number of
+the common segments, or bit sets of both texts, rule that out are dropped.  No
+linked pair is.
+
+The others are verified: banded dynamic programming over the words finds texts
+that are at most ``EDITS`` insertions, deletions or substitutions apart (each
+spoils ``size`` segments at most, which links long texts); the exact
+similarity decides on what it leaves open, as texts may be linked whose parts
+were put in another order.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from .bits import bitmap, set_in
 from .storage import store
 
 COUNTERS = 22  # bits of a shingle's place in the sketch
+EDITS = 4  # of the band
 SLACK = 1e-6  # for rounding; only ever admits more
 
 
@@ -92,46 +99,6 @@ def posted(classes: DataFrame, size: int, threshold: float, bitmap: np.ndarray,
     return classes.select("rid", "words").mapInArrow(run, "rid long, key long, place int, total int")
 
 
-def within(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, k: int, block: int = 8192) -> np.ndarray:
-    """Which pairs of sequences are at most k insertions, deletions or substitutions apart.
-
-    Banded dynamic programming, for a block of pairs of similar length at once:
-    row i holds the distances of the first i letters of x to the first i + d of
-    y, for -k <= d <= k.
-    """
-    n, m = np.diff(xs), np.diff(ys)
-    out = np.zeros(len(n), bool)
-    near = np.flatnonzero(np.abs(n - m) <= k)
-    near = near[np.argsort(n[near], kind="stable")]
-    far, band = k + 1, np.arange(-k, k + 1)
-    for i in range(0, len(near), block):
-        own = near[i : i + block]
-        a, b = n[own], m[own]
-        long = int(a.max())
-        p = np.zeros((len(own), long), np.uint32)
-        q = np.zeros((len(own), long + 2 * k + 1), np.uint32)
-        for target, source, start, size, shift in ((p, x, xs, a, 0), (q, y, ys, b, k)):
-            row = np.repeat(np.arange(len(own)), size)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            target[row, place + shift] = source[np.repeat(start[own], size) + place]
-        last = np.broadcast_to(np.where(band >= 0, band, far), (len(own), 2 * k + 1)).copy()
-        result = np.where(a == 0, b, far)
-        for r in range(1, long + 1):
-            column = r + band[None, :]
-            real = (column >= 0) & (column <= b[:, None])
-            same = p[:, r - 1][:, None] == q[:, r - 1 : r + 2 * k]
-            new = np.where(column > 0, last + ~same, far)
-            new[:, :-1] = np.minimum(new[:, :-1], last[:, 1:] + 1)
-            new = np.where(column == 0, np.minimum(r, far), new)
-            for d in range(1, 2 * k + 1):
-                new[:, d] = np.minimum(new[:, d], new[:, d - 1] + 1)
-            last = np.minimum(np.where(real, new, far), far)
-            ends = a == r
-            result[ends] = last[np.flatnonzero(ends), (b - a)[ends] + k]
-        out[own] = result <= k
-    return out
-
-
 def candidates(evaluation: DataFrame, training: DataFrame, threshold: float, size: int = 3, block: int = 20_000) -> DataFrame:
     """Pairs (a, b) of an evaluation and a training class, with all whose similarity is at least ``threshold``.
 
@@ -157,5 +124,5 @@ def candidates(evaluation: DataFrame, training: DataFrame, threshold: float, siz
 
 
 def overlaps(evaluation: DataFrame, training: DataFrame, classes: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """(a, b, similarity): all linked pairs of different evaluation and training classes."""
-    return C.similar(candidates(evaluation, training, threshold, size), classes, threshold, size)
+    """(a, b, similarity): all linked pairs of different evaluation and training classes; similarity is a lower bound where the band settled it."""
+    return C.similar(candidates(evaluation, training, threshold, size), classes, threshold, size, EDITS)

@@ -19,6 +19,7 @@ empty texts have no lines; blank lines are never given.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,8 +33,10 @@ from .boosting import Boosted
 from .sampling import bounded
 
 SAMPLE = 1500  # most pages whose lines the trees are fitted to
+TOGETHER = 500  # pages whose lines are scored at once
 DEPART = 1.0  # cost of a line that departs from its block, in log-odds
 
+_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"\d[\d.,]*")
 _WORD = re.compile(r"[^\W\d_][\w'’-]*")
 _INNER = re.compile(r"(?<=[a-z,] )[A-ZÀ-Ý][a-zà-ÿ'’-]+\b(?= [a-z])")
@@ -60,11 +63,16 @@ def site(name: str) -> str:
     return max(parts[-1:] or [""], key=len)
 
 
+@functools.lru_cache(1)
+def _named(name: str) -> re.Pattern:
+    return re.compile(re.escape(name), re.I)
+
+
 def template(line: str, name: str) -> str:
     """A line without numbers, the site's own name and other names within it."""
     out = line.strip()
     if len(name) > 3:
-        out = re.sub(re.escape(name), "~", out, flags=re.I)
+        out = _named(name).sub("~", out)
     if not out.isupper():
         out = _INNER.sub("~", out)
     return _NUMBER.sub("0", out.lower())
@@ -73,7 +81,7 @@ def template(line: str, name: str) -> str:
 def skeleton(line: str) -> str:
     """The pattern of a line's words: function words, X for names, w for other words, 0 for numbers."""
     out = []
-    for i, w in enumerate(re.findall(r"[^\s]+", _READ.sub("", line).strip(" —–-"))[:16]):
+    for i, w in enumerate(re.findall(r"[^\s]+", _READ.sub("", line).strip(" —–-"))):
         bare = w.strip(".,:;()\"'")
         if bare.lower() in KEPT:
             out.append(bare.lower())
@@ -84,11 +92,52 @@ def skeleton(line: str) -> str:
     return " ".join(out)
 
 
+KNOWN = 1 << 15  # lines of which the facts are kept: sites repeat theirs on every page
+SHORT = 300  # longer lines are looked at anew each time
+
+
+def kept_for_short(of):
+    """Keep what a function gave for short lines that come again, for a bounded number of them."""
+    again = functools.lru_cache(KNOWN)(of)
+
+    @functools.wraps(of)
+    def one(line: str, *more: str):
+        return again(line, *more) if len(line) <= SHORT else of(line, *more)
+
+    return one
+
+
+@kept_for_short
+def line_facts(x: str) -> tuple[float, ...]:
+    """What a line's own text shows: words, characters, ends, links, digits, capitals, reading time, function words, shouting, question, code."""
+    words = _WORD.findall(x)
+    n, chars = max(len(words), 1), len(x)
+    return (
+        len(words), chars, x[-1] in ".!?", x.endswith(("…", "...")), x[-1] in ":;,", len(_LINKS.findall(x)), len(_DIGIT.findall(x)) / chars, sum(w[0].isupper() for w in words) / n,
+        bool(_READ.search(x)), sum(w.lower() in KEPT for w in words) / n, x.isupper(), x.endswith("?"), bool(_CODE.search(x)),
+    )
+
+
+@kept_for_short
+def slugged(x: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "-", x).strip("-")
+
+
 def _hash(kind: str, text: str) -> int:
     raw = text.encode()
     return (zlib.crc32(kind.encode() + raw) << 31) ^ zlib.crc32(raw + b"#" + kind.encode())
 
 
+@kept_for_short
+def hashed_template(line: str, name: str) -> int:
+    return _hash("t", template(line, name))
+
+
+@kept_for_short
+def hashed_skeleton(line: str) -> int:
+    return _hash("s", skeleton(line))
+
+
 def looked_up(pages: DataFrame) -> DataFrame:
     """(fetch_id, line, host, page, same, pattern): hashes of every line that isn't blank; line 0 is the title's pattern."""
     kind = dict(pages.dtypes)["fetch_id"]
@@ -103,14 +152,14 @@ def looked_up(pages: DataFrame) -> DataFrame:
                     out.append((fetch, 0, own, page, 0, _hash("s", skeleton(title))))
                 for i, line in enumerate(text.split("\n"), 1):
                     if line.strip():
-                        out.append((fetch, i, own, page, _hash("t", template(line, name)), _hash("s", skeleton(line))))
+                        out.append((fetch, i, own, page, hashed_template(line, name), hashed_skeleton(line)))
             types = (batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 6, types)], ["fetch_id", "line", "host", "page", "same", "pattern"])
 
     return pages.select("fetch_id", "uri", "text", "title").mapInArrow(run, f"fetch_id {kind}, line int, host long, page long, same long, pattern long")
 
 
-STATS = "stats array<struct<line:int,hosts:long,pages:long,own:long,titles:long>>"
+STATS = "stats array<struct<line:int,hosts:long,pages:long,own:long,titles:long,pattern:long>>"
 
 
 def described(pages: DataFrame) -> DataFrame:
@@ -124,7 +173,7 @@ def described(pages: DataFrame) -> DataFrame:
     titles = rows.filter("line = 0").select("pattern", "page").distinct().groupBy("pattern").agg(F.count("*").alias("titles"))
     joined = lines.join(inside.filter("own > 1"), ["same", "host"], "left").join(across, "same", "left").join(titles, "pattern", "left")
     one = lambda c: F.coalesce(c, F.lit(1)).cast("long").alias(c)
-    stats = joined.groupBy("fetch_id").agg(F.collect_list(F.struct("line", one("hosts"), one("pages"), one("own"), F.coalesce("titles", F.lit(0)).cast("long").alias("titles"))).alias("stats"))
+    stats = joined.groupBy("fetch_id").agg(F.collect_list(F.struct("line", one("hosts"), one("pages"), one("own"), F.coalesce("titles", F.lit(0)).cast("long").alias("titles"), "pattern")).alias("stats"))
     return pages.select("fetch_id", "uri", "text", "title", "content_type").join(stats, "fetch_id")
 
 
@@ -135,9 +184,9 @@ NAMES = (
 
 
 class Page:
-    """Features of the lines of one page that aren't blank, and the labels that rules give them."""
+    """Features of the lines of one page that aren't blank, and (with ``labels``) the labels that rules give them."""
 
-    def __init__(self, uri: str | None, text: str, title: str | None, content_type: str | None, stats: list) -> None:
+    def __init__(self, uri: str | None, text: str, title: str | None, content_type: str | None, stats: list, labels: bool = True) -> None:
         known = {s["line"]: s for s in stats}
         lines = [(i, x.strip()) for i, x in enumerate(text.split("\n"), 1) if x.strip()]
         self.numbers = np.array([i for i, _ in lines], np.int32)
@@ -148,24 +197,14 @@ class Page:
         own_title = (title or "").strip().lower()
         values = np.array([[known[i][k] if i in known else d for k, d in (("hosts", 1), ("pages", 1), ("own", 1), ("titles", 0))] for i, _ in lines], float).reshape(n, 4)
         hosts, pages, own, titles = values.T
-        words = [_WORD.findall(x) for _, x in lines]
-        size = np.array([len(w) for w in words], float)
-        chars = np.array([len(x) for _, x in lines], float)
-        slug = [re.sub(r"[^a-z0-9]+", "-", x.lower()).strip("-") for _, x in lines]
-        is_title = np.array([bool(own_title) and x.lower() == own_title for _, x in lines], float)
+        facts = np.array([line_facts(x) for _, x in lines]).reshape(n, 13)
+        size, chars, stop, teaser, other, links, digits, capitals, read, kept, shouted, asks, code = facts.T
+        low = [x.lower() for _, x in lines]
+        slug = [slugged(x) for x in low]
+        is_title = np.array([bool(own_title) and x == own_title for x in low], float)
         in_address = np.array([len(s) > 8 and s in address for s in slug], float)
-        code = np.array([bool(_CODE.search(x)) for _, x in lines], float)
-        stop, teaser = np.array([x[-1] in ".!?" for _, x in lines], float), np.array([x.endswith(("…", "...")) for _, x in lines], float)
-        other = np.array([x[-1] in ":;," for _, x in lines], float)
-        links = np.array([len(_LINKS.findall(x)) for _, x in lines], float)
-        digits = np.array([sum(c.isdigit() for c in x) for _, x in lines]) / np.maximum(chars, 1)
-        capitals = np.array([sum(w[0].isupper() for w in ws) for ws in words]) / np.maximum(size, 1)
-        read = np.array([bool(_READ.search(x)) for _, x in lines], float)
-        named = np.array([len(name) > 3 and name in x.lower() for _, x in lines], float)
-        kept = np.array([sum(w.lower() in KEPT for w in ws) for ws in words]) / np.maximum(size, 1)
-        shouted = np.array([x.isupper() for _, x in lines], float)
-        asks = np.array([x.endswith("?") for _, x in lines], float)
-        shape = [skeleton(x) for _, x in lines]
+        named = np.array([len(name) > 3 and name in x for x in low], float)
+        shape = [known[i]["pattern"] if i in known else None for i, _ in lines]
         alike = np.array([float(k > 0 and shape[k] == shape[k - 1] or k + 1 < n and shape[k] == shape[k + 1]) for k in range(n)])
         prose = ((size >= 7) & (stop > 0) & (teaser == 0) & (code == 0)).astype(float)
         kind = np.where(code > 0, 2, np.where(links > 1, 3, np.where(prose > 0, 1, 0)))
@@ -199,6 +238,8 @@ class Page:
             np.clip(order - at, 0, 40) if at >= 0 else np.full(n, 20), np.clip(at - order, 0, 40), kept, before, later, kind, in_block[self.block], order - begins[self.block] if n else order, mean(size), mean(np.log1p(hosts)), mean((titles > 2).astype(float)), mean(np.log1p(own)), near(size, 3), near(size, 9),
             near(np.log1p(hosts), 2), near((titles > 2).astype(float), 2), distance(prose + code > 0), back(prose + code > 0), distance(repeated), back(repeated), np.full(n, n), np.full(n, prose.mean() if n else 0), np.full(n, plain), shouted, asks, alike,
         ], axis=1).astype(np.float32) if n else np.zeros((0, len(NAMES)), np.float32)
+        if not labels:
+            return
         # Labels by rules: 0 not main body, 1 main body, -1 unknown.
         label = np.full(n, -1)
         link = (titles > 2) & (prose == 0) & (code == 0)
@@ -253,12 +294,16 @@ def boilerplate(pages: DataFrame, sample: int = SAMPLE, cost: float = DEPART) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers = [], []
-            for fetch, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                page = Page(*rest)
-                wrong = page.numbers[~decode(shared.value.score(page.x), page.block, cost)]
-                ids += [fetch] * len(wrong)
-                numbers += wrong.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(numbers, pa.int32())], ["fetch_id", "line_no"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                pages_ = [Page(*rest, labels=False) for rest in zip(*(c.to_pylist() for c in part.columns[1:]))]
+                lines = np.array([len(p.numbers) for p in pages_])
+                blocks = np.concatenate([[0], np.cumsum([p.block[-1] + 1 if len(p.block) else 0 for p in pages_])])
+                # All pages' lines are scored and decoded together; blocks of different pages are different.
+                block = np.concatenate([p.block + b for p, b in zip(pages_, blocks)])
+                wrong = ~decode(shared.value.score(np.concatenate([p.x for p in pages_])), block.astype(np.int64), cost)
+                page = np.repeat(np.arange(len(pages_)), lines)[wrong]
+                numbers = np.concatenate([p.numbers for p in pages_])[wrong]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(page)), pa.array(numbers.astype(np.int32))], ["fetch_id", "line_no"])
 
     return known.select("fetch_id", "uri", "text", "title", "content_type", "stats").mapInArrow(run, f"fetch_id {kind}, line_no int")

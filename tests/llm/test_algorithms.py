@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from millrace.llm import classes, mixing, neardup, numbering, overlap, packing, pieces, words
+from millrace.llm import band, classes, mixing, neardup, numbering, overlap, packing, pieces, words
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -109,7 +109,7 @@ def test_banded_distance(k, rows):
     def flat(values):
         return np.array([v for x in values for v in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in values])])
 
-    got = overlap.within(*flat([a for a, _ in rows]), *flat([b for _, b in rows]), k)
+    got = band.within(*flat([a for a, _ in rows]), *flat([b for _, b in rows]), k)
     assert got.tolist() == [distance(a, b) <= k for a, b in rows]
 
 
