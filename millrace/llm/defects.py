@@ -44,6 +44,7 @@ SELF = frozenset("puedo i me my mine myself we us our i'm i'd i'll i've je j'ai
 NOT = frozenset("not no cannot can't won't don't unable never neither nor refuse decline declining couldn't wouldn't shouldn't isn't aren't mustn't without ne pas no nicht kein keine nie puedo impossible".split())
 SORRY = frozenset("sorry apologize apologise apologies apology regret regrets unfortunately désolé désolée siento lamento leid leider malheureusement pardon".split())
 HELP = frozenset("help helping assist assisting answer answering discuss discussing talk comfortable permitted allowed inappropriate guidelines policy able go turn leave rather something steps touching provide share comply respond répondre aider ayudar responder helfen beantworten topic subjects".split())
+MARKED = SELF | NOT | SORRY | HELP
 LEAD = frozenset("you asked question answer q a prompt instruction the was is vous avez demandé usted preguntó sie fragten réponse respuesta antwort frage pregunta".split())
 TAIL = frozenset("the a an and or but that which who of to in on at by for with from as if when while because since until whenever unless although though than so is are was were be been has have had can could will would should must may might not its their this these those each every very such le la les de du des et ou que qui un une pour par avec sur dans est el los las y o en con por para del al der die das und oder dass ein eine einen mit von für auf wird ist".split())
 
@@ -81,15 +82,34 @@ def clauses(text: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def last_clause(text: str) -> str | None:
+    """The last clause of a response; None if it has none. Without fences only the last lines are looked at."""
+    if "```" in text or "~~~" in text:
+        found = clauses(text)
+        return found[-1][0] if found else None
+    end = len(text)
+    while end > 0:
+        begin = text.rfind("\n", 0, end) + 1
+        parts = [p for p in _PART.split(_ITEM.sub("", text[begin:end])) if p and p.strip()]
+        if parts:
+            return parts[-1].strip()
+        end = begin - 1
+    return None
+
+
 def languages(words: list[str]) -> dict[str, int]:
     """Number of words that only one language has, by language."""
     votes: dict[str, int] = {}
-    for w in words:
-        if (own := _COMMON.get(w)) is not None:
-            votes[own] = votes.get(own, 0) + 1
+    for own in filter(None, map(_COMMON.get, words)):
+        votes[own] = votes.get(own, 0) + 1
     return votes
 
 
+def lowered(words: list[str]) -> list[str]:
+    """All words in lower case, by one call."""
+    return " ".join(words).lower().split(" ") if words else []
+
+
 def spoken(votes: dict[str, int], least: int = 2) -> str | None:
     """The language with most votes; None where they are too few or equal."""
     if not votes:
@@ -123,8 +143,9 @@ class Ends:
         self.all: Counter = Counter()
 
     @staticmethod
-    def form(words: list[str]) -> list[str]:
-        return ["#" if w[0].isdigit() else "^" if w[0].isupper() and i else w.lower() for i, w in enumerate(words)]
+    def form(words: list[str], skip: int = 0) -> list[str]:
+        """Numbers and names within a sentence as # and ^, other words in lower case; the first ``skip`` words are left out."""
+        return ["#" if w[0].isdigit() else "^" if w[0].isupper() and i else w.lower() for i, w in enumerate(words) if i >= skip]
 
     def add(self, clause: str, words: list[str]) -> None:
         w = ["", "", *self.form(words)]
@@ -140,19 +161,23 @@ class Ends:
         return [tuple(w[-n:]) for n in (1, 2, 3)]
 
     @classmethod
-    def apart(cls, words: list[str], counts: list[tuple[int, int]], own: list[tuple[str, list[str]]]) -> Ends:
-        """What others than the clauses ``own`` tell of the grams of ``words``; counts: how often each occurs, and ends a sentence, in all."""
+    def apart(cls, words: list[str], counts: list[tuple[int, int]], own: list[tuple[str, list[str], list[str]]]) -> Ends:
+        """What others than the clauses ``own`` (text, words, words in lower case) tell of the grams of ``words``; counts: how often each occurs, and ends a sentence, in all."""
         out, grams = cls(), cls.grams(words)
         for gram, (n, last) in zip(grams, counts):
             out.all[gram], out.last[gram] = n, last
-        for clause, ws in own:
-            w = ["", "", *cls.form(ws)]
-            for i in range(3, len(w) + 1):
-                if w[i - 1] == grams[0][0]:
+        end = grams[0][0]
+        for clause, ws, low in own:
+            if end not in ("#", "^") and end not in low:
+                continue
+            for i, x in enumerate(low):
+                if end == x or end == "^" and ws[i][0].isupper() or end == "#" and x[0].isdigit():
+                    # The word's form and those of the two before it; only the first of a sentence keeps a large letter.
+                    w = ["", "", *cls.form(ws[: i + 1])] if i < 3 else cls.form(["", *ws[i - 2 : i + 1]], 1)
                     for n, gram in enumerate(grams, 1):
-                        if tuple(w[i - n : i]) == gram:
+                        if tuple(w[-n:]) == gram:
                             out.all[gram] -= 1
-                            out.last[gram] -= i == len(w) and clause[-1:] in ".!?"
+                            out.last[gram] -= i == len(ws) - 1 and clause[-1:] in ".!?"
         out.all, out.last = +out.all, +out.last
         return out
 
@@ -182,7 +207,7 @@ def describe(question: str | None, answer: str, ends: Ends, counts: list[tuple[i
     Given counts of its last grams in all pairs, these less its own take the place of ``ends``.
     """
     found = clauses(answer)
-    q = [w.lower() for w in prose.WORDS.findall(question or "")]
+    q = lowered(prose.WORDS.findall(question or ""))
     pairs = set(zip(q, q[1:]))
     asked = spoken(languages(q))
     others = wanted(q, asked)
@@ -190,10 +215,9 @@ def describe(question: str | None, answer: str, ends: Ends, counts: list[tuple[i
     tags, sizes = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
     open_fence = "```" in answer and answer.count("```") % 2 == 1 or "~~~" in answer and answer.count("~~~") % 2 == 1
     words = [prose.WORDS.findall(c) for c, _, _ in found]
-    lower = [[w.lower() for w in ws] for ws in words]
+    lower = [lowered(ws) for ws in words]
     if counts is not None and found:
-        end = Ends.grams(words[-1])[0][0]
-        ends = Ends.apart(words[-1], counts, [(c, ws) for (c, code, _), ws, low in zip(found, words, lower) if not code and (end in low or end in ("#", "^"))])
+        ends = Ends.apart(words[-1], counts, [(c, ws, low) for (c, code, _), ws, low in zip(found, words, lower) if not code])
     votes = [{} if code else languages(ws) for ws, (_, code, _) in zip(lower, found)]
     total: dict[str, int] = {}
     for v in votes:
@@ -206,12 +230,12 @@ def describe(question: str | None, answer: str, ends: Ends, counts: list[tuple[i
         ws, first, last = lower[i], i == 0, i == len(found) - 1
         sizes[i] = max(1, len(ws))
         own = set(ws)
-        person, negation, sorry, helping = not own.isdisjoint(SELF), not own.isdisjoint(NOT), not own.isdisjoint(SORRY), not own.isdisjoint(HELP)
+        marked = own & MARKED  # few clauses have any of these words
+        person, negation, sorry, helping = (not marked.isdisjoint(x) for x in (SELF, NOT, SORRY, HELP)) if marked else (False,) * 4
         if pairs and len(ws) > 1:
-            own_pairs = list(zip(ws, ws[1:]))
-            shared = [x for x in own_pairs if x in pairs]
+            shared = list(filter(pairs.__contains__, zip(ws, ws[1:])))
             repeated.update(shared)
-            echo = len(shared) / len(own_pairs)
+            echo = len(shared) / (len(ws) - 1)
         else:
             echo = float(len(ws) == 1 and ws[0] in q)
         lead = bool(ws) and len(ws) <= 4 and own <= LEAD
@@ -329,7 +353,7 @@ def last_grams(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last = [(row, ws) for row, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not is_nothing(a) and (found := clauses(a)) and (ws := prose.WORDS.findall(found[-1][0]))]
+            last = [(row, ws) for row, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not is_nothing(a) and (last_ := last_clause(a)) is not None and (ws := prose.WORDS.findall(last_))]
             keys, at = _keys([ws for _, ws in last])
             keys = keys[at[1:] - 1].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([row for row, _ in last], pa.int64()), *(pa.array(np.ascontiguousarray(keys[:, n])) for n in range(3))], ["row", "k0", "k1", "k2"])
