@@ -20,8 +20,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,7 @@ from .sampling import bounded
 from .storage import store
 
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-SAMPLE = 6000  # most pairs of which those to tag are taken
-TAGGED = 1500  # most of them that rules tag for the field to learn from
+TAGGED = 1500  # most pairs that rules tag for the field to learn from
 
 NOTHING = frozenset("none null nil nan na n/a n.a empty blank todo tbd tba undefined missing pending unanswered void".split()) | {"no answer", "no response", "not available", "not applicable", "no content", "no output", "to do", "to be done", "to be determined", "kein", "keine", "sans réponse", "aucune", "ninguna", "ninguno", "sin respuesta", "keine antwort", "answer", "your answer here", "answer here", "insert answer here", "placeholder", "lorem ipsum", "left blank", "intentionally left blank"}
 SELF = frozenset("puedo i me my mine myself we us our i'm i'd i'll i've je j'ai me mon mes moi yo mi mí ich mir mich mein meine".split())
@@ -161,11 +163,9 @@ class Ends:
         return [tuple(w[-n:]) for n in (1, 2, 3)]
 
     @classmethod
-    def apart(cls, words: list[str], counts: list[tuple[int, int]], own: list[tuple[str, list[str], list[str]]]) -> Ends:
-        """What others than the clauses ``own`` (text, words, words in lower case) tell of the grams of ``words``; counts: how often each occurs, and ends a sentence, in all."""
-        out, grams = cls(), cls.grams(words)
-        for gram, (n, last) in zip(grams, counts):
-            out.all[gram], out.last[gram] = n, last
+    def within(cls, words: list[str], own: list[tuple[str, list[str], list[str]]]) -> list[int]:
+        """How often the last one, two and three of ``words`` occur, and end a sentence, in the clauses ``own`` (text, words, words in lower case)."""
+        grams, out = cls.grams(words), [0] * 6
         end = grams[0][0]
         for clause, ws, low in own:
             if end not in ("#", "^") and end not in low:
@@ -174,50 +174,89 @@ class Ends:
                 if end == x or end == "^" and ws[i][0].isupper() or end == "#" and x[0].isdigit():
                     # The word's form and those of the two before it; only the first of a sentence keeps a large letter.
                     w = ["", "", *cls.form(ws[: i + 1])] if i < 3 else cls.form(["", *ws[i - 2 : i + 1]], 1)
-                    for n, gram in enumerate(grams, 1):
-                        if tuple(w[-n:]) == gram:
-                            out.all[gram] -= 1
-                            out.last[gram] -= i == len(ws) - 1 and clause[-1:] in ".!?"
-        out.all, out.last = +out.all, +out.last
+                    for n, gram in enumerate(grams):
+                        if tuple(w[-n - 1 :]) == gram:
+                            out[2 * n] += 1
+                            out[2 * n + 1] += i == len(ws) - 1 and clause[-1:] in ".!?"
         return out
 
-    def likely(self, words: list[str]) -> float:
-        """Probability that a sentence may end after these words."""
-        if not words:
-            return 0.5
-        w = ["", "", *self.form(words[-4:] if len(words) > 3 else words)]
-        p = 0.6 if words[-1][:1].isupper() else 0.02
-        for n in (1, 2, 3):
-            gram = tuple(w[-n:])
-            p = (self.last[gram] + 2 * p) / (self.all[gram] + 2)
-        return p
+    def counts(self, words: list[str]) -> list[int]:
+        """The counts of the last one, two and three words."""
+        return [n for gram in self.grams(words) for n in (self.all[gram], self.last[gram])]
+
+
+def likely(counts: list[int], capital: bool) -> float:
+    """Probability that a sentence may end with words of these counts (see ``Ends.counts``), the last of which is a name or not."""
+    p = 0.6 if capital else 0.02
+    for n, last in zip(counts[::2], counts[1::2]):
+        p = (last + 2 * p) / (n + 2)
+    return p
 
 
 FEATURES = 31
 
 
-def self_cut(ends: Ends, words: list[str]) -> bool:
-    """Whether the last of several words is one that no other pair has, though it is no name or number."""
-    return len(words) > 1 and words[-1].islower() and (words[-1],) not in ends.all
+WORDS, CAPITAL, UNKNOWN, DANGLING, LISTED, PLAIN = (1 << i for i in range(6))  # facts of a response's last clause
+ENDING = (27, 28, 29)  # features that need counts of all pairs
+
 
+@dataclass
+class Opened:
+    """What a pair's own text shows; ``closed`` adds what the counts of all pairs tell of the response's end."""
 
-def describe(question: str | None, answer: str, ends: Ends, counts: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Features of a response's clauses, their numbers of words, the tags that the rules give them, and the share of the prompt's word pairs that it repeats.
+    bits: np.ndarray
+    echo: np.ndarray
+    sizes: np.ndarray
+    covered: float
+    facts: int
+    own: list[int]
 
-    Given counts of its last grams in all pairs, these less its own take the place of ``ends``.
-    """
-    found = clauses(answer)
+    def packed(self) -> bytes:
+        """A few bytes a clause."""
+        head = struct.pack("<IfB6I", len(self.sizes), self.covered, self.facts, *self.own)
+        return head + self.sizes.astype("<i4").tobytes() + self.echo.astype("<f4").tobytes() + np.packbits(self.bits, axis=1).tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Opened:
+        n, covered, facts, *own = struct.unpack_from("<IfB6I", data)
+        at = struct.calcsize("<IfB6I")
+        sizes, echo = np.frombuffer(data, "<i4", n, at), np.frombuffer(data, "<f4", n, at + 4 * n)
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, n * ((FEATURES + 7) // 8), at + 8 * n).reshape(n, -1), axis=1)[:, :FEATURES]
+        return cls(bits.astype(bool), echo, sizes, covered, facts, list(own))
+
+    def closed(self, counts: list[int], less: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Features, sizes, the rules' tags and the covered share, given how often the last words occur and end a sentence in all pairs (``less`` this one)."""
+        x = self.bits.astype(np.float32)
+        x[:, 14] = self.echo
+        tags = np.zeros(len(x), np.int64)
+        if not len(x):
+            return x, self.sizes, tags, self.covered
+        others = [max(0, n - m) for n, m in zip(counts, self.own)] if less else counts
+        ending = likely(others, bool(self.facts & CAPITAL)) if self.facts & WORDS else 0.5
+        dangling = self.facts & DANGLING or self.facts & PLAIN and ending < 0.35 or self.facts & LISTED and self.facts & UNKNOWN and others[0] == 0
+        x[:, ENDING[2]] = 1  # within a response nothing ends
+        x[-1, ENDING[0]], x[-1, ENDING[1]], x[-1, ENDING[2]] = bool(dangling), ending < 0.1, ending > 0.4
+        tags[(x[:, 15] > 0) & (self.sizes > 2) & (x[:, 23] == 0)] = ECHO
+        tags[x[:, ENDING[0]] > 0] = UNFINISHED
+        tags[x[:, 18] > 0] = FOREIGN
+        tags[x[:, 12] > 0] = REFUSAL
+        return x, self.sizes, tags, self.covered
+
+
+def opened(question: str | None, answer: str, found: list[tuple[str, bool, bool]] | None = None, words: list[list[str]] | None = None) -> Opened:
+    """The features of a response's clauses (and their words, where known) that its own text and its prompt show."""
+    found = clauses(answer) if found is None else found
     q = lowered(prose.WORDS.findall(question or ""))
     pairs = set(zip(q, q[1:]))
     asked = spoken(languages(q))
     others = wanted(q, asked)
     rows: list[tuple] = []
-    tags, sizes = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+    echoes, sizes = [], []
+    last_facts = 0
     open_fence = "```" in answer and answer.count("```") % 2 == 1 or "~~~" in answer and answer.count("~~~") % 2 == 1
-    words = [prose.WORDS.findall(c) for c, _, _ in found]
+    words = [prose.WORDS.findall(c) for c, _, _ in found] if words is None else words
     lower = [lowered(ws) for ws in words]
-    if counts is not None and found:
-        ends = Ends.apart(words[-1], counts, [(c, ws, low) for (c, code, _), ws, low in zip(found, words, lower) if not code])
+    own_counts = Ends.within(words[-1], [(c, ws, low) for (c, code, _), ws, low in zip(found, words, lower) if not code]) if found and words[-1] else [0] * 6
     votes = [{} if code else languages(ws) for ws, (_, code, _) in zip(lower, found)]
     total: dict[str, int] = {}
     for v in votes:
@@ -228,7 +267,7 @@ def describe(question: str | None, answer: str, ends: Ends, counts: list[tuple[i
     repeated: set = set()
     for i, (clause, code, item) in enumerate(found):
         ws, first, last = lower[i], i == 0, i == len(found) - 1
-        sizes[i] = max(1, len(ws))
+        sizes.append(max(1, len(ws)))
         own = set(ws)
         marked = own & MARKED  # few clauses have any of these words
         person, negation, sorry, helping = (not marked.isdisjoint(x) for x in (SELF, NOT, SORRY, HELP)) if marked else (False,) * 4
@@ -244,32 +283,34 @@ def describe(question: str | None, answer: str, ends: Ends, counts: list[tuple[i
         strange = not code and tongue is not None and asked is not None and tongue != asked
         foreign = strange and tongue not in others
         refusing = (person or negation or helping) and not code and bool(_REFUSAL.search(clause))
-        closed, comma, tail, dangling, ending = True, False, False, False, 0.5
+        closed, comma, tail = True, False, False
         if last:
             closed = clause.rstrip("\"')]}>`*_ ")[-1:] in ".!?…:;" or clause[-1:] == "`" or clause[-1:].isalnum() and bool(_REFERENCE.search(clause.rsplit(None, 1)[-1]))
-            ending = ends.likely(words[i])
             comma = clause[-1:] in ",([-–"
             tail = bool(ws) and ws[-1] in TAIL
+            last_facts = WORDS * bool(ws) | CAPITAL * bool(ws and words[i][-1][:1].isupper()) | UNKNOWN * bool(len(ws) > 1 and words[i][-1].islower())
             if not closed and not (len(found) == 1 and len(ws) <= 4):
                 plain = not code and clause[-1:] not in "`}>)]\"'"
                 # Items of a list often have no full stop; one is cut off if the others have or if it ends in an unknown word.
                 listed = item and not (closed_items and i and found[i - 1][2])
-                dangling = comma or tail or code and open_fence or plain and (self_cut(ends, words[i]) if listed else ending < 0.35)
+                last_facts |= DANGLING * bool(comma or tail or code and open_fence) | (LISTED if listed else PLAIN) * plain
             if code and open_fence or i and _BARE.match(clause):
-                closed, dangling = False, True
+                closed = False
+                last_facts |= DANGLING
+        echoes.append(echo)
         rows.append((
             1, first, last, len(found) == 1, person, negation, person and negation, sorry, sorry and first, helping, person and helping, negation and helping, refusing, refusing and first,
-            echo, echo >= 0.75, lead, strange, foreign, tongue is None, closed, comma, tail, code, code and open_fence and last, item, last and not closed, dangling, ending < 0.1, ending > 0.4, len(ws) <= 4,
+            0, echo >= 0.75, lead, strange, foreign, tongue is None, closed, comma, tail, code, code and open_fence and last, item, last and not closed, 0, 0, 0, len(ws) <= 4,
         ))
-        if refusing:
-            tags[i] = REFUSAL
-        elif foreign:
-            tags[i] = FOREIGN
-        elif dangling:
-            tags[i] = UNFINISHED
-        elif echo >= 0.75 and len(ws) > 2 and not code:
-            tags[i] = ECHO
-    return np.array(rows, np.float32).reshape(len(rows), FEATURES), sizes, tags, len(repeated) / max(1, len(pairs))
+    bits = np.fromiter(chain.from_iterable(rows), bool, len(rows) * FEATURES).reshape(len(rows), FEATURES)
+    return Opened(bits, np.array(echoes, np.float32), np.array(sizes, np.int32), len(repeated) / max(1, len(pairs)), last_facts, own_counts)
+
+
+def describe(question: str | None, answer: str, ends: Ends) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Features of a response's clauses, their numbers of words, the tags that the rules give them, and the share of the prompt's word pairs that it repeats; sentence ends by ``ends``."""
+    last_ = last_clause(answer)
+    o = opened(question, answer)
+    return o.closed(ends.counts(prose.WORDS.findall(last_ or "")) if last_ else [0] * 6, False)
 
 
 def defect(tags: np.ndarray, sizes: np.ndarray, covered: float, leads: np.ndarray) -> str | None:
@@ -292,28 +333,35 @@ class Tagger:
     def __init__(self) -> None:
         self.ends, self.chain = Ends(), Chain(FEATURES, 5)
 
-    def fit(self, pairs: list[tuple[str | None, str | None]], tagged: int = TAGGED, counts: list[list[tuple[int, int]]] | None = None) -> None:
-        """Learn from the pairs; sentence ends are counted in them if no counts of each pair's last grams are given."""
-        real = [(q, a, n) for (q, a), n in zip(pairs, counts or [None] * len(pairs)) if not is_nothing(a)]
-        for _, a, n in real:
-            for clause, code, _ in clauses(a) if n is None else ():
-                if not code:
-                    self.ends.add(clause, prose.WORDS.findall(clause))
-        described = [d for d in (describe(q, a, self.ends, n) for q, a, n in real[:tagged]) if len(d[0])]
+    def learn(self, described: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]) -> None:
+        described = [d for d in described if len(d[0])]
         if described:
             rows = np.concatenate([[0], np.cumsum([len(d[0]) for d in described])])
             self.chain.fit(np.concatenate([d[0] for d in described]), rows, np.concatenate([d[2] for d in described]))
 
-    def judge(self, pairs: list[tuple[str | None, str | None]], counts: list[list[tuple[int, int]]] | None = None) -> list[str | None]:
-        """The defect of every pair, or None."""
+    def decide(self, described: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]) -> list[str | None]:
+        """The defects of described responses, each of which has a clause."""
+        if not described:
+            return []
+        rows = np.concatenate([[0], np.cumsum([len(d[0]) for d in described])])
+        tags = self.chain.best(np.concatenate([d[0] for d in described]), rows)
+        return [defect(tags[rows[k] : rows[k + 1]], sizes, covered, x[:, 16] > 0) for k, (x, sizes, _, covered) in enumerate(described)]
+
+    def fit(self, pairs: list[tuple[str | None, str | None]], tagged: int = TAGGED) -> None:
+        """Learn from the pairs alone, sentence ends too."""
+        real = [(q, a) for q, a in pairs if not is_nothing(a)]
+        for _, a in real:
+            for clause, code, _ in clauses(a):
+                if not code:
+                    self.ends.add(clause, prose.WORDS.findall(clause))
+        self.learn([describe(q, a, self.ends) for q, a in real[:tagged]])
+
+    def judge(self, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
+        """The defect of every pair, or None, by the sentence ends learnt."""
         out: list[str | None] = ["empty_answer" if is_nothing(a) else None for _, a in pairs]
-        keep = [(i, d) for i, d in ((i, describe(*pairs[i], self.ends, counts and counts[i])) for i, known in enumerate(out) if known is None) if len(d[0])]
-        if not keep:
-            return out
-        rows = np.concatenate([[0], np.cumsum([len(d[0]) for _, d in keep])])
-        tags = self.chain.best(np.concatenate([d[0] for _, d in keep]), rows)
-        for k, (i, (x, sizes, _, covered)) in enumerate(keep):
-            out[i] = defect(tags[rows[k] : rows[k + 1]], sizes, covered, x[:, 16] > 0)
+        keep = [(i, d) for i, d in ((i, describe(*pairs[i], self.ends)) for i, known in enumerate(out) if known is None) if len(d[0])]
+        for (i, _), found in zip(keep, self.decide([d for _, d in keep])):
+            out[i] = found
         return out
 
 
@@ -361,14 +409,25 @@ def last_grams(pairs: DataFrame) -> DataFrame:
     return pairs.select("row", "answer").mapInArrow(run, "row long, k0 long, k1 long, k2 long")
 
 
-def gram_counts(pairs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(key, n, last): how often grams whose bit is set occur in all responses, and end a sentence there."""
+READ = "row long, tbl string, id string, opened binary, key long, n long, last long"
+
+
+def read(pairs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """One pass over (row, tbl, id, question, answer): what each pair's text shows (``opened``; null where the answer is nothing), and as rows without ``row`` how often grams whose bit is set occur (key, n, last) in the responses of a batch."""
     shared = pairs.sparkSession.sparkContext.broadcast(wanted.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
         for batch in batches:
-            own = [(c, ws) for a in batch.column(0).to_pylist() if not is_nothing(a) for c, code, _ in clauses(a) if not code and (ws := prose.WORDS.findall(c))]
+            shown, own = [], []
+            for q, a in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if is_nothing(a):
+                    shown.append(None)
+                    continue
+                found = clauses(a)
+                words = [prose.WORDS.findall(c) for c, _, _ in found]
+                shown.append(opened(q, a, found, words).packed())
+                own += [(c, ws) for (c, code, _), ws in zip(found, words) if ws and not code]
             keys, at = _keys([ws for _, ws in own])
             closing = np.zeros(len(keys), bool)
             closing[at[1:] - 1] = [c[-1:] in ".!?" for c, _ in own]
@@ -376,45 +435,61 @@ def gram_counts(pairs: DataFrame, wanted: np.ndarray) -> DataFrame:
             some = set_in(bits, flat)
             key, index, n = np.unique(flat[some], return_inverse=True, return_counts=True)
             last = np.bincount(index, closing[some], len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(last)], ["key", "n", "last"])
+            m, k = batch.num_rows, len(key)
+            none = lambda size, kind: pa.nulls(size, kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(x) for x in (
+                    [batch.column(0), none(k, pa.int64())], [batch.column(1), none(k, pa.string())], [batch.column(2), none(k, pa.string())], [pa.array(shown, pa.binary()), none(k, pa.binary())],
+                    [none(m, pa.int64()), pa.array(key.view(np.int64))], [none(m, pa.int64()), pa.array(n.astype(np.int64))], [none(m, pa.int64()), pa.array(last)],
+                )],
+                ["row", "tbl", "id", "opened", "key", "n", "last"],
+            )
 
-    return pairs.select("answer").mapInArrow(run, "key long, n long, last long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("last").alias("last"))
+    return store(pairs.select("row", "tbl", "id", "question", "answer").mapInArrow(run, READ))
 
 
 def counted(pairs: DataFrame) -> DataFrame:
-    """The rows of (row, tbl, id, question, answer) with ``counts``: of the last word, the last two and the last three of its response, how often they occur and end a sentence in all rows."""
+    """(row, tbl, id, opened, counts) of pairs (row, tbl, id, question, answer): what they show, and of the last word, the last two and the last three of each response, how often they occur and end a sentence in all rows; null where it has no last word."""
     grams = store(last_grams(pairs))
     wanted = grams.select("row", F.posexplode(F.array("k0", "k1", "k2")).alias("at", "key"))
-    counts = gram_counts(pairs, bitmap(wanted))
-    each = wanted.join(counts, "key", "left").groupBy("row").agg(*(F.coalesce(F.max(F.when(F.col("at") == i, F.col(c))), F.lit(0)).alias(f"{c}{i}") for i in range(3) for c in ("n", "last")))
-    return pairs.join(each.select("row", F.array(*(f"{c}{i}" for i in range(3) for c in ("n", "last"))).alias("counts")), "row", "left")
-
-
-def _twos(counts: list[int] | None) -> list[tuple[int, int]]:
-    return list(zip(counts[::2], counts[1::2])) if counts else [(0, 0)] * 3
+    seen = read(pairs, bitmap(wanted))
+    sums = seen.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.sum("last").alias("last"))
+    each = wanted.join(sums, "key", "left").groupBy("row").agg(*(F.coalesce(F.max(F.when(F.col("at") == i, F.col(c))), F.lit(0)).alias(f"{c}{i}") for i in range(3) for c in ("n", "last")))
+    counts = each.select("row", F.array(*(f"{c}{i}" for i in range(3) for c in ("n", "last"))).alias("counts"))
+    return seen.filter("row is not null").select("row", "tbl", "id", "opened").join(counts, "row", "left")
 
 
 def shuffled(rows: DataFrame, columns: list[str], sample: int) -> list[Row]:
     """A bounded sample in the order of the rows' hash, so that the first ones are a sample of all tables too."""
-    return sorted(bounded(rows, columns, sample, "answer"), key=lambda r: r["row"])
+    return sorted(bounded(rows, columns, sample, "opened" if "opened" in rows.columns else None), key=lambda r: r["row"])
+
+
+def _described(data: list[bytes | None], counts: list[list[int] | None]) -> list[tuple[int, tuple]]:
+    """(place, description) of those that have clauses."""
+    found = [(i, Opened.unpacked(x).closed(c or [0] * 6)) for i, (x, c) in enumerate(zip(data, counts)) if x is not None]
+    return [(i, d) for i, d in found if len(d[0])]
 
 
-def judged(pairs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def judged(pairs: DataFrame, sample: int = TAGGED) -> DataFrame:
     """(tbl, id, defect) of every defective pair of (tbl, id, question, answer)."""
     columns = ["tbl", "id", "question", "answer"]
     one = store(pairs.select(*columns).distinct().withColumn("row", F.xxhash64(*columns)))
-    rows = store(counted(one).select("row", *columns, "counts"))
-    drawn = shuffled(rows, columns, sample)
+    rows = store(counted(one))
+    drawn = shuffled(rows.filter("opened is not null"), ["row"], sample)
     tagger = Tagger()
-    tagger.fit([(r["question"], r["answer"]) for r in drawn], counts=[_twos(r["counts"]) for r in drawn])
+    tagger.learn([d for _, d in _described([r["opened"] for r in drawn], [r["counts"] for r in drawn])])
     shared = pairs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                found = shared.value.judge(list(zip(part.column(2).to_pylist(), part.column(3).to_pylist())), [_twos(x) for x in part.column(4).to_pylist()])
+                data = part.column(2).to_pylist()
+                keep = _described(data, part.column(3).to_pylist())
+                found = ["empty_answer" if x is None else None for x in data]
+                for (i, _), why in zip(keep, shared.value.decide([d for _, d in keep])):
+                    found[i] = why
                 out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], ["tbl", "id", "defect"])
                 yield out.filter(pa.array([d is not None for d in found], pa.bool_()))
 
-    return rows.select(*columns, "counts").mapInArrow(run, "tbl string, id string, defect string").distinct()
+    return rows.select("tbl", "id", "opened", "counts").mapInArrow(run, "tbl string, id string, defect string").distinct()

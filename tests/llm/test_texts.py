@@ -108,7 +108,8 @@ def test_sentence_ends_are_counted_in_all_other_pairs(spark):
             if not code:
                 ends.add(clause, prose.WORDS.findall(clause))
     for r in defects.counted(df).collect():
-        found = defects.clauses(r.answer) if not defects.is_nothing(r.answer) else []
+        answer = given[r.row][1]
+        found = defects.clauses(answer) if not defects.is_nothing(answer) else []
         last = prose.WORDS.findall(found[-1][0]) if found else []
         assert (r.counts or []) == ([n for gram in defects.Ends.grams(last) for n in (ends.all[gram], ends.last[gram])] if last else [])
     got = {r.id: r.defect for r in defects.judged(df.drop("row").unionByName(df.drop("row"))).collect()}
