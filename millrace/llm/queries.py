@@ -211,6 +211,28 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(p9_mixture(spark, sf_dir), _table(spark, sf_dir, "mixture_targets"))
 
 
+def p6_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, chunks, largest): chunks of every document before splitting, and whether the largest piece after it keeps the limit."""
+    owner = _table(spark, sf_dir, "memory_chunks").filter("chunk_id is not null").select("chunk_id", "document_id").distinct()
+    sizes = _pieces(spark, sf_dir).groupBy(F.col("key").alias("chunk_id")).agg(F.max(F.floor(F.length("text") / 4)).alias("largest"))
+    return owner.join(sizes, "chunk_id", "left").groupBy("document_id").agg(F.count("*").alias("chunks"), (F.coalesce(F.max("largest"), F.lit(0)) <= pieces.TOKENS).alias("keeps_limit"))
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_name, documents, overfull): documents in containers of each capacity, and containers that hold more than it."""
+    packed = store(p8_packed(spark, sf_dir))
+    sizes = _table(spark, sf_dir, "pack_sizes").select("pack_name", "capacity_tokens").distinct()
+    fill = packed.groupBy("pack_name", "container").agg(F.sum("tokens").alias("n")).join(sizes, "pack_name").groupBy("pack_name").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+    return packed.groupBy("pack_name").agg(F.count_distinct("doc_id").alias("documents")).join(fill, "pack_name")
+
+
+def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, drawn, over_cap): whether each target's source gives documents, and how many of them are repeated more often than allowed."""
+    targets = _table(spark, sf_dir, "mixture_targets")
+    mixed = p9_mixture(spark, sf_dir).join(targets.select("source", "max_repeats"), "source").groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("over_cap"))
+    return targets.select("source").join(mixed, "source", "left").select("source", F.col("over_cap").isNotNull().alias("drawn"), F.coalesce("over_cap", F.lit(0)).alias("over_cap"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_labels")).distinct()
 
@@ -222,7 +244,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p1_classes": p1_classes, "p3_assembly": p3_assembly, "p5_classes": p5_classes, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_assembled": p3_assembled, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_classes": p1_classes, "p3_assembly": p3_assembly, "p5_classes": p5_classes, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_assembled": p3_assembled, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p6_limits": p6_limits, "p8_limits": p8_limits, "p9_limits": p9_limits, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -230,7 +252,19 @@ def oracle_sql() -> dict[str, str]:
     visible = "regexp_matches(coalesce(content, ''), '[^\\p{Z}\\p{Cc}\\p{Cf}]')"
     role = "case lower(regexp_replace(coalesce(role, ''), '^\\s+|\\s+$', '', 'g')) when 'system' then 's' when 'user' then 'u' when 'human' then 'u' when 'assistant' then 'a' when 'gpt' then 'a' when 'tool' then 't' when 'observation' then 't' when 'environment' then 't' else 'x' end"
     at = "(case when regexp_matches(created_at, '(Z|z|[+-][0-9]{2}:?[0-9]{2})$') then created_at else created_at || 'Z' end)::timestamptz"
+    contents = "coalesce(array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), ' '), '')"
+    records = f"(select distinct 'records' tbl, id as key, lower(trim(split)) part, {contents} x from records where id is not null)"
+    near = "(select distinct 'near_signatures' tbl, hash as key, null part, text x from near_signatures where hash is not null and text is not null)"
+    runs = "list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) else [array_to_string(w, ' ')] end)"
+    overlaps = f"w as (select tbl, key, part, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') w from t), s as (select tbl, key, part, {runs} s from w where len(w) > 0), e as (select tbl, key, part, len(s) n, unnest(s) g from s)"
+    joined = "select a.tbl, a.key ka, b.key kb, a.part pa, b.part pb, a.n na, b.n nb, count(*) o from e a join e b on a.tbl = b.tbl and a.g = b.g and a.key < b.key group by all"
+    source = "regexp_replace(lower(trim(source)), '[\\s-]+', '_', 'g')"
     return {
+        "p5_found": f"with t as (select * from {records} union all select * from {near}), {overlaps}, p as ({joined}) select distinct tbl, ka key_a, kb key_b from p where o / (na + nb - o) >= 0.6",
+        "p1_found": f"with t as (select * from {records} where part in ('train', 'validation', 'test')), {overlaps}, p as ({joined}) select distinct ka id_a, kb id_b from p where o / (na + nb - o) >= 0.6 and (pa = 'train') <> (pb = 'train')",
+        "p6_limits": "select document_id, count(*) chunks, true keeps_limit from (select distinct chunk_id, document_id from memory_chunks where chunk_id is not null) group by 1",
+        "p8_limits": "select pack_name, (select count(distinct doc_id) from documents where length(text) > 0) documents, 0::bigint overfull from (select distinct pack_name from pack_sizes)",
+        "p9_limits": f"select source, source in (select {source} from documents where length(text) > 0 and source is not null) drawn, 0::bigint over_cap from mixture_targets",
         "p3_found": f"""
 with one as (select * from messages qualify row_number() over (partition by conversation_id, id order by ingested_at) = 1),
 m as (select conversation_id c, id, {role} r, {visible} v, {at} ts from one),

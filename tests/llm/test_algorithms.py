@@ -227,3 +227,63 @@ def test_overlaps_with_scattered_edits_are_all_found(spark):
     e, t = (classes.class_words(classes.hashed(df.filter(f"tbl = '{s}'"))) for s in ("eval", "train"))
     links = {(member[r.a], member[r.b]) for r in overlap.overlaps(e, t, classes.class_words(classes.hashed(df)), 0.6, 3).collect()}
     assert links == {(f"e{i}", f"t{i}") for i in range(240) if similarity(texts[f"e{i}"], texts[f"t{i}"]) >= 0.6} and len(links) > 100
+
+
+def ranged(text, size=pieces.RANGE, tokens=pieces.TOKENS, overlap=pieces.OVERLAP):
+    read, halo = lambda a, b: text[a:b], pieces.longest(tokens)
+    return [p for i, _ in enumerate(pieces._stretches(len(text), size)) for p in pieces.stretch_pieces(read, i, len(text), tokens, overlap, size, halo)]
+
+
+@pytest.mark.parametrize("text", ["x" * 5000, "y" * 200_000, ("word " * 4 + "\n\n") * 9000, ("A sentence stands here. " * 30 + "\n") * 300])
+def test_pieces_overlap_everywhere(text):
+    out = ranged(text)
+    assert out[0][0] == 0 and out[-1][1] == len(text) and all(text[a:b] == t for a, b, t in out)
+    assert all(b - a <= pieces.longest(pieces.TOKENS) for a, b, _ in out)
+    assert all(0 < out[i][1] - out[i + 1][0] <= pieces.longest(pieces.OVERLAP) and out[i + 1][1] > out[i][1] for i in range(len(out) - 1))
+
+
+def nearest_sum(histogram, budget, cap):
+    supply = sum(k * n for k, n in histogram.items())
+    repeats = min(budget // supply, cap)
+    rest, sums = budget - repeats * supply if repeats < cap else 0, {0}
+    for k, n in histogram.items():
+        sums = {x + k * i for x in sums for i in range(n + 1)}
+    return repeats * supply + min(sums, key=lambda x: (abs(x - rest), x))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 4), min_size=1, max_size=5), st.integers(1, 600), st.integers(1, 3))
+def test_draws_are_nearest(histogram, budget, cap):
+    out = mixing.draw(histogram, budget, cap)
+    assert out.tokens == nearest_sum(histogram, budget, cap)
+    assert all(n <= histogram[k] for k, n in out.more.items())
+
+
+def test_large_draws_meet_the_budget():
+    rng = random.Random(3)
+    histogram = {rng.randint(20, 4000): rng.randint(1, 3000) for _ in range(2500)}
+    total = sum(k * n for k, n in histogram.items())
+    out = mixing.draw(histogram, total * 37 // 100, 2, whole=1 << 20)
+    assert out.tokens == total * 37 // 100 and all(n <= histogram[k] for k, n in out.more.items())
+    assert mixing.draw({1000: 50, 7: 3}, 40003, 2).tokens == 40000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=40, max_size=90), st.lists(st.tuples(st.integers(0, 39), st.sampled_from("xyz"), st.sampled_from("isd")), max_size=4))
+def test_what_a_band_finds_is_linked(text, edits):
+    other = list(text)
+    for place, letter, kind in edits:
+        if kind == "i":
+            other.insert(place, letter)
+        elif kind == "s":
+            other[place % len(other)] = letter
+        else:
+            del other[place % len(other)]
+    batch = pa.array([" ".join(text), " ".join(other)])
+    hashes, rows = words.words(batch)
+    folded = classes.fold(hashes)
+    sets = [classes.set3(folded[a:b]) for a, b in zip(rows[:-1], rows[1:])]
+    value = classes.jaccard(*sets)
+    n = min(map(len, sets))
+    if band.within(folded[rows[0] : rows[1]], np.array([0, rows[1]]), folded[rows[1] :], np.array([0, rows[2] - rows[1]]), 4)[0] and n > 12:
+        assert value >= (n - 12) / (n + 12) - 1e-9

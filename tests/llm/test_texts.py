@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from millrace.llm import boosting, conversations, crf, defects, linear, pages, pii, prose, reading, tokens
 
 
@@ -47,6 +48,26 @@ def test_conversations_equal_a_plain_loop(spark):
     assert {r.conversation_id for r in out} == {c for c, d in expected.items() if d is None}
 
 
+def test_fragments_are_matched_by_suffix_and_prefix(spark):
+    rows = []
+
+    def fragment(conversation, day, numbers):
+        rows.extend((conversation, f"m{i}", "user" if i % 2 == 0 else "assistant", "t", f"2024-01-01T{i:02d}:00:00Z", f"2024-02-{day:02d} 00:00:00") for i in numbers)
+
+    fragment("A", 1, [0, 1, 2]), fragment("A", 2, [2, 3]), fragment("A", 3, [3, 4, 5])  # one path
+    fragment("B", 1, [0, 1]), fragment("B", 2, [1, 2]), fragment("B", 3, [1, 3])  # two followers
+    fragment("C", 1, [0, 1]), fragment("C", 2, [0, 1])  # equal
+    fragment("D", 1, [0, 2]), fragment("D", 2, [1, 3])  # nothing in common
+    fragment("E", 1, [0, 1, 2, 3]), fragment("E", 2, [1, 3, 5])  # common messages that are no suffix
+    df = spark.createDataFrame(rows, "conversation_id string, id string, role string, content string, created_at string, ingested_at string").withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
+    got = {r.conversation_id: (r.fragments, r.paths, r.overlaps) for r in conversations.assembly(df).collect()}
+    assert got == {"A": (3, 1, 2), "B": (3, 3, 2), "C": (2, 1, 1), "D": (2, 2, 0), "E": (2, 2, 0)}
+    known = spark.createDataFrame([(x,) for x in "ABCDEF"], "id string")
+    judged = {r.conversation_id: (r.messages, r.shared, r.defect) for r in conversations.judged(df, known).collect()}
+    assert judged == {"A": (6, 2, None), "B": (4, 1, None), "C": (2, 2, None), "D": (4, 0, None), "E": (5, 2, None), "F": (0, 0, "empty")}
+    assert [r.id for r in conversations.assembled(df, known).filter("conversation_id = 'D'").orderBy("position").collect()] == ["m0", "m1", "m2", "m3"]
+
+
 def test_field_learns_a_chain():
     rng = np.random.default_rng(0)
     rows = np.concatenate([[0], np.cumsum(rng.integers(1, 9, 300))])
