@@ -95,29 +95,51 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+_RUNS, _BINS = (3, 4), 8192  # letters of a run, and numbers by which runs are counted
+
+
+def _run_counts(text: str) -> tuple[np.ndarray, ...]:
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = []
+    for size in _RUNS:
+        total = np.zeros(max(0, len(code) - size + 1), np.uint32)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                total = (total ^ code[k : k + len(total)]) * np.uint32(0x9E3779B1)
+        out.append(np.bincount(total >> np.uint32(19), minlength=_BINS).astype(np.int32))
+    return tuple(out)
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """``sequence_ratio`` where it may reach ``least``; null where the characters that both texts have rule it out."""
-    counts: dict[str, np.ndarray] = {}
-    matcher, out = difflib.SequenceMatcher(None), []
+    """``sequence_ratio`` where it may reach ``least``; null where the runs of three and of four letters that both texts have rule it out.
+
+    Texts of m + n letters that match to the ratio r have r (m + n) / 2 letters
+    in matching blocks, and no more blocks than (1 - r) (m + n) unmatched
+    letters can part, and one; a block shares all its runs of q letters but q - 1.
+    """
+    counts: dict[str, tuple[np.ndarray, ...]] = {}
+    matcher, last, out = difflib.SequenceMatcher(None), None, []
 
-    def bins(t: str) -> np.ndarray:
+    def runs(t: str) -> tuple[np.ndarray, ...]:
         if t not in counts:
-            if len(counts) > 5000:
+            if len(counts) > 1000:
                 counts.clear()
-            counts[t] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 1023, minlength=1024)
+            counts[t] = _run_counts(t)
         return counts[t]
 
-    last = None
     for x, y, low in zip(a, b, least):
-        if x is None or y is None or 2 * np.minimum(bins(x), bins(y)).sum() < low * (len(x) + len(y)) - 1e-9:
-            out.append(None)
-            continue
-        if y != last:
-            matcher.set_seq2(y)
-            last = y
-        matcher.set_seq1(x)
-        out.append(matcher.ratio())
+        if x is not None and y is not None:
+            size = len(x) + len(y)
+            needed = [low * size / 2 - (q - 1) * ((1 - low) * size + 1) - 1e-9 for q in _RUNS]
+            if all(n <= 0 or np.minimum(p, q).sum() >= n for n, p, q in zip(needed, runs(x), runs(y))):
+                if y != last:
+                    matcher.set_seq2(y)
+                    last = y
+                matcher.set_seq1(x)
+                out.append(matcher.ratio())
+                continue
+        out.append(None)
     return pd.Series(out, dtype=float)
 
 

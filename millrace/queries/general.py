@@ -238,3 +238,58 @@ def document_flow(spark, d):
     """Documents kept after deduplication, by part and language."""
     kept = corpus.first_of_texts(table(spark, d, "documents"), "text", "doc_id", "lang", "n_chars")
     return kept.groupBy(V.hash_split("doc_id").alias("part"), F.coalesce("lang", F.lit("(null)")).alias("lang")).agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+@query(f"select chunk_id, document_id, text from {_CHUNKS} where chunk_id = (select min(chunk_id) from memory_chunks)")
+def chunk_lookup(spark, d):
+    """One chunk by its id."""
+    first = table(spark, d, "memory_chunks").agg(F.min("chunk_id").alias("chunk_id"))  # one row
+    return _chunks(spark, d).join(F.broadcast(first), "chunk_id").select("chunk_id", "document_id", "text")
+
+
+@query(f"""
+with h as (select document_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) w from {_CHUNKS}) select document_id, max(len(w))::int most from h group by 1""")
+def chunk_vocabularies(spark, d):
+    """The largest number of different simple words in one chunk of every document."""
+    return _chunks(spark, d).groupBy("document_id").agg(F.max(F.size(F.array_distinct(_words()))).alias("most"))
+
+
+@query("""
+with u as (select host, min(added_at) at_ from (select lower(split_part(uri, '/', 3)) host, added_at from documents where uri is not null) group by 1) select host, row_number() over (order by at_, host) - 1 as place from u qualify row_number() over (order by at_, host) <= 50""")
+def hosts_in_order(spark, d):
+    """Hosts in the order in which they were first seen, the first fifty."""
+    from ..operators.ranking import best_within
+
+    seen = table(spark, d, "documents").filter("uri is not null").groupBy(F.lower(F.split_part("uri", F.lit("/"), F.lit(3))).alias("host")).agg(F.min("added_at").alias("at_"))
+    ranked = best_within(seen.withColumn("g", F.lit(0)), ["g"], [F.asc("at_"), F.asc("host")], 50)
+    return ranked.select("host", (F.col("rank") - 1).cast("bigint").alias("place"))
+
+
+@query("""
+with known as (select distinct conversation_id, id from messages where ascii(right(id, 1)) % 3 = 0), new as (select distinct conversation_id, id from messages where conversation_id is not null and id is not null)
+select conversation_id, count(*) added from new where (conversation_id, id) not in (select conversation_id, id from known where conversation_id is not null and id is not null) group by 1""")
+def appended_messages(spark, d):
+    """Messages that a save adds to conversations, those known already being ignored."""
+    rows = table(spark, d, "messages").filter("conversation_id is not null and id is not null").select("conversation_id", "id").distinct()
+    known = rows.filter("ascii(right(id, 1)) % 3 = 0")
+    return rows.join(known, ["conversation_id", "id"], "left_anti").groupBy("conversation_id").agg(F.count("*").alias("added"))
+
+
+@query("with gone as (select distinct id from conversations where updated_at is null) select conversation_id, count(distinct id) messages from messages where conversation_id is not null and conversation_id not in (select id from gone where id is not null) group by 1")
+def kept_conversations(spark, d):
+    """Messages left after conversations without an update were deleted with their messages."""
+    gone = table(spark, d, "conversations").filter("updated_at is null").select("id")
+    return retrieval.without(table(spark, d, "messages").filter("conversation_id is not null"), "conversation_id", gone, "id").groupBy("conversation_id").agg(F.count_distinct("id").alias("messages"))
+
+
+@query("""
+select id, len(string_split(id, ':')) = 2 and not list_has_any(string_split(id, ':'), ['', '.', '..']) two_parts from (select distinct id from records where id is not null)""")
+def dataset_names(spark, d):
+    """Whether ids, their colons written as slashes, name a dataset as owner and name."""
+    return table(spark, d, "records").select("id").filter("id is not null").distinct().select("id", V.is_dataset_id(F.translate("id", ":", "/")).alias("two_parts"))
+
+
+@query("select user_id, max_by(event_type, (ts, event_type)) last_type, count(*) n from events group by 1")
+def observation_lists(spark, d):
+    """The last of every user's events in order, and how many there are: an aggregate, no list."""
+    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_type")).alias("last_type"), F.count("*").alias("n"))

@@ -91,6 +91,20 @@ def test_record_duplicates_in_order(spark):
     assert {"exact_duplicate", "normalized_duplicate", "near_duplicate", None} <= set(wanted.values())
 
 
+def test_ratio_filter_loses_nothing(spark):
+    import difflib
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        x = "".join(rng.choice("abcdef gh") for _ in range(rng.randint(0, 120)))
+        y = "".join(c if rng.random() > 0.06 else rng.choice(["", c + "z", "q"]) for c in x)
+        rows.append((x, y if rng.random() > 0.3 else x[::-1]))
+    got = [r[0] for r in spark.createDataFrame(rows, "x string, y string").select(udfs.sequence_ratio_from("x", "y", F.lit(0.9))).collect()]
+    wanted = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in rows]
+    assert [g is not None and g >= 0.9 for g in got] == [w >= 0.9 for w in wanted] and any(g is None for g in got)
+
+
 def test_package_and_report(spark):
     rng = random.Random(6)
     filler = " import numpy\nnumpy array matrix vector plot simulation "
