@@ -143,6 +143,10 @@ def sequence_ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Seri
     return pd.Series(out, dtype=float)
 
 
+# So that a condition on the ratio isn't evaluated apart from the ratio itself.
+sequence_ratio_from = sequence_ratio_from.asNondeterministic()
+
+
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}
 LONGEST, DEEPEST, POWER, LARGEST = 200, 32, 12, 10**100  # fixed values: characters, nesting, exponent, value
 
