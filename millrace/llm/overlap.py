@@ -111,9 +111,12 @@ def candidates(evaluation: DataFrame, training: DataFrame, threshold: float, siz
     mine = store(posted(evaluation, size, threshold, bits, levels))
     theirs = posted(training, size, threshold, bits, levels, bitmap(mine))
     blocks = F.greatest(F.lit(1), F.ceil(F.pow(F.lit(2.0), (F.shiftrightunsigned("key", 56) - 1) / 8) / block)).cast("int")
-    left = mine.select(F.col("rid").alias("a"), "key", F.col("place").alias("i"), F.col("total").alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    right = theirs.select(F.col("rid").alias("b"), "key", F.col("place").alias("j"), F.col("total").alias("y"), F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("block"))
-    hits = left.join(right, ["key", "block"])
+    # Three numbers a post: the class, the key with its block, and place and total in one.
+    both = F.shiftleft(F.col("place").cast("long"), 32) + F.col("total")
+    left = mine.select(F.col("rid").alias("a"), "key", both.alias("p"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).select("a", F.xxhash64("key", "block").alias("k"), "p")
+    right = theirs.select(F.col("rid").alias("b"), F.xxhash64("key", F.pmod(F.xxhash64("rid"), blocks).cast("int")).alias("k"), both.alias("q"))
+    low = lambda c: F.col(c).bitwiseAND((1 << 32) - 1).cast("int")
+    hits = left.join(right, "k").select("a", "b", F.shiftright("p", 32).cast("int").alias("i"), low("p").alias("x"), F.shiftright("q", 32).cast("int").alias("j"), low("q").alias("y"))
     need = F.ceil((F.col("x") + F.col("y")) * (threshold / (1 + threshold)) - SLACK)
     # The first common shingle has all others behind it in both texts.
     hits = hits.filter((F.col("a") != F.col("b")) & (F.col("i") + need <= F.col("x")) & (F.col("j") + need <= F.col("y")))
