@@ -105,6 +105,40 @@ def test_ratio_filter_loses_nothing(spark):
     assert [g is not None and g >= 0.9 for g in got] == [w >= 0.9 for w in wanted] and any(g is None for g in got)
 
 
+def test_similar_texts_in_blocks_equal_brute_force():
+    import difflib
+
+    from millrace.functions import alike
+
+    rng, texts = random.Random(9), []
+    for i in range(60):
+        x = "".join(rng.choice("abcdefghij  klmno") for _ in range(rng.choice((3, 20, 60, 127, 150, 500, 1000))))
+        texts += [x] + ["".join(c if rng.random() > rate else rng.choice(["", "", c + "z", "q"]) for c in x) for rate in (0.02, 0.07, 0.12)]
+    rows = sorted((len(t), f"k{i % 7}-{i}", t) for i, t in enumerate(texts))
+    keys, some = [k for _, k, _ in rows], [t for *_, t in rows]
+    wanted = {(a, b) for a, s in zip(keys, some) for b, t in zip(keys, some) if a < b and difflib.SequenceMatcher(None, t, s).ratio() >= 0.92}
+    got = []
+    for c in {alike.length_class(n) for n, *_ in rows}:
+        own = [(k, t) for n, k, t in rows if alike.length_class(n) == c]
+        for i in range(0, len(own), 17):
+            block = alike.Block([k for k, _ in own[i : i + 17]], [t for _, t in own[i : i + 17]], c, 0.92)
+            got += [r[:2] for r in alike.compared(block, keys, some, [alike.run_numbers(t) for t in some])]
+    assert sorted(got) == sorted(wanted) and len(wanted) > 50
+
+
+def test_similar_texts_shuffle_no_pairs(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows = [(i, "a sentence that all of them have " + " ".join(word() for _ in range(20))) for i in range(500)]
+    rows += [(1000 + i, t.replace("z", "zz")) for i, t in rows[:20]]
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    got = {(r.key_a, r.key_b) for r in corpus.similar_texts(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == {(i, 1000 + i) for i in range(20)}
+    assert shuffled() - before < 4 * sum(len(t) for _, t in rows)
+
+
 def test_package_and_report(spark):
     rng = random.Random(6)
     filler = " import numpy\nnumpy array matrix vector plot simulation "
