@@ -3,10 +3,10 @@
 Documents are counted by source and exact length, once, over the whole table;
 only that histogram comes to the driver (as many rows as there are different
 lengths, not documents).  Each source gets its budget of tokens: whole
-repetitions of the source first, and of what remains a subset of documents,
-chosen by bounded-knapsack dynamic programming: over all of them where that
-fits, else after an equal share of every length.  Which documents of a length are drawn is decided by a
-seeded hash.
+repetitions of the source first, and of what remains a subset of documents, an
+equal share of every length moved by dynamic programming to the nearest sum
+that there is.  Which documents of a length are drawn is decided by a seeded
+hash.
 
 The total defaults to the largest at which every source with documents can
 reach its share within its cap.  Targets without documents get nothing, and
@@ -15,6 +15,8 @@ the others' shares are scaled up accordingly.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -63,62 +65,96 @@ class Draw:
     tokens: int = 0
 
 
-WINDOW = 1 << 17  # budget of the dynamic programming that follows the proportional part
-WHOLE = 1 << 30  # bits of all its steps up to which the programming covers every document
-
-
-def nearest(lengths: list[int], counts: list[int], goal: int) -> dict[int, int]:
-    """How many items of each length to take so that their sum is as near to the goal as any; the smaller of two equally near."""
-    below = knapsack(lengths, counts, goal)
-    gap = goal - sum(k * n for k, n in below.items())
-    if not gap:
-        return below
-    # A sum above the goal leaves out a sum of the rest that is below what is over it.
-    whole = sum(k * n for k, n in zip(lengths, counts))
-    if whole < goal:
-        return below
-    top = min(whole, goal + gap - 1)
-    above = knapsack(lengths, counts, top)
-    over = sum(k * n for k, n in above.items())
-    while over > goal:  # the nearest above: each step asks for less
-        best, top = above, over - 1
-        above = knapsack(lengths, counts, top)
-        if (over := sum(k * n for k, n in above.items())) <= goal:
-            return best
-    return below
-
-
-def draw(histogram: dict[int, int], budget: int, cap: int, window: int = WINDOW, whole: int = WHOLE) -> Draw:
-    """The draw of one source nearest to the budget, within its cap.
-
-    Where all steps of the programming over every document fit in ``whole``
-    bits, it covers all of them: no sum is nearer.  A larger source first gives
-    the same share of every length, less as many documents of each as the
-    ``window`` holds, and the programming chooses among those and the others
-    left; where it meets the budget, no sum is nearer either.  (With lengths as
-    many and various as documents have it does; that it may not is why the
-    report gives the actual shares.)
+REMEMBERED = 1 << 30  # bits of sums that are kept; those of further steps are worked out again
+
+
+def _steps(lengths: list[int], up: list[int], down: list[int]) -> list[tuple[int, int, int]]:
+    """(place, documents, sum) of steps whose choices give every number from -down to up of each length."""
+    out = []
+    for i, (length, *ends) in enumerate(zip(lengths, up, down)):
+        for sign, n in zip((1, -1), ends):
+            part = 1
+            while n > 0:
+                take = min(part, n)
+                out.append((i, sign * take, sign * take * length))
+                n, part = n - take, part * 2
+    return out
+
+
+def _moved(steps: list[tuple[int, int, int]], width: int, aim: int, distance: Callable[[int], tuple], remembered: int) -> tuple[int, dict[int, int]]:
+    """The sum of chosen steps nearest to the aim, and the documents of each place that give it; sums on the way keep within the width."""
+    mask, apart = (1 << (2 * width + 1)) - 1, max(1, -(-len(steps) * 2 * width // remembered))
+    reach, kept, done = 1 << width, {0: 1 << width}, 0
+
+    def after(reach: int, by: int) -> int:
+        return reach | (reach << by & mask if by > 0 else reach >> -by)
+
+    while done < len(steps) and not reach >> (width + aim) & 1:
+        reach, done = after(reach, steps[done][2]), done + 1
+        if done % apart == 0:
+            kept[done] = reach
+    low, high = reach & ((1 << (width + aim + 1)) - 1), reach >> (width + aim)
+    sums = ([low.bit_length() - 1 - width] if low else []) + ([(high & -high).bit_length() - 1 + aim] if high else [])
+    best = left = min(sums, key=distance)
+    out: dict[int, int] = {}
+    while left or done:
+        # The first step after which the sum was reached is one of those that give it.
+        start = max(k for k in kept if k <= done)
+        while start and kept[start] >> (width + left) & 1:
+            kept.pop(start)
+            start = max(k for k in kept if k < start)
+        reach, at = kept[start], start
+        while not reach >> (width + left) & 1:
+            reach, at = after(reach, steps[at][2]), at + 1
+        if at == 0:
+            break
+        place, n, by = steps[at - 1]
+        out[place], left, done = out.get(place, 0) + n, left - by, at - 1
+    return best, out
+
+
+def nearest(histogram: dict[int, int], goal: int, remembered: int = REMEMBERED) -> dict[int, int]:
+    """How many documents of each length to take so that their sum is as near to the goal (less than all) as any; the smaller of two equally near.
+
+    It starts from an equal share of every length, the largest remainders
+    filled up, which misses the goal by less than the longest document, m.
+    From there as many as 16 documents are added or taken away, then four times
+    as many, and so on, until the goal is met or 3 m are: a nearest draw is
+    found by then.  For in the order that adds while the sum isn't above the
+    start, and else takes away, sums keep between -m and 2 m; more steps than
+    3 m would meet a sum twice, and those between could be left out.  Lengths
+    count by their greatest common divisor.
     """
+    unit, supply = math.gcd(*histogram), sum(k * n for k, n in histogram.items())
+    lengths = sorted(histogram)
+    share = {k: histogram[k] * goal // supply for k in lengths}
+    gap = goal - sum(k * n for k, n in share.items())
+    for k in sorted(lengths, key=lambda k: (-(histogram[k] * goal % supply), k)):
+        if k <= gap and share[k] < histogram[k]:
+            share[k], gap = share[k] + 1, gap - k
+    small = [k // unit for k in lengths]
+    distance = lambda x: (abs(x * unit - gap), x)
+    aim, m, moves = min((gap // unit, gap // unit + 1), key=distance), max(small), 16
+    while True:
+        moves = min(moves, 3 * m)
+        steps = _steps(small, [min(histogram[k] - share[k], moves) for k in lengths], [min(share[k], moves) for k in lengths])
+        best, found = _moved(steps, m * (moves + 2) // 2 + m, aim, distance, remembered)
+        if best == aim or moves == 3 * m:
+            return {k: share[k] + found.get(i, 0) for i, k in enumerate(lengths) if share[k] + found.get(i, 0)}
+        moves *= 4
+
+
+def draw(histogram: dict[int, int], budget: int, cap: int, whole: int = REMEMBERED) -> Draw:
+    """The draw of one source nearest to the budget, within its cap; found in one way at any size (``whole`` bounds what is remembered on the way, not what is found)."""
     supply = sum(k * n for k, n in histogram.items())
     if not supply or budget <= 0:
         return Draw(budget, 0)
     repeats = min(budget // supply, cap)
     out = Draw(budget, int(repeats), {}, int(repeats * supply))
     rest = int(budget - out.tokens) if repeats < cap else 0
-    steps = sum(int(n).bit_length() for n in histogram.values())
-    if rest * steps > whole:
-        share = {length: int(n * rest // supply) for length, n in histogram.items()}
-        gap = rest - sum(k * n for k, n in share.items())
-        back = 1 << 20  # documents of each length that are chosen anew
-        while back and gap + sum(k * min(n, back) for k, n in share.items()) > window:
-            back //= 2
-        out.more = {k: n - min(n, back) for k, n in share.items() if n > min(n, back)}
-    gap = rest - sum(k * n for k, n in out.more.items())
-    if gap > 0:
-        left = {k: n - out.more.get(k, 0) for k, n in histogram.items() if n > out.more.get(k, 0)}
-        for length, n in nearest(list(left), list(left.values()), gap).items():
-            out.more[length] = out.more.get(length, 0) + n
-    out.tokens += sum(k * n for k, n in out.more.items())
+    if rest > 0:
+        out.more = nearest(histogram, rest, whole)
+        out.tokens += sum(k * n for k, n in out.more.items())
     return out
 
 

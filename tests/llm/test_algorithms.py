@@ -268,6 +268,22 @@ def test_large_draws_meet_the_budget():
     assert mixing.draw({1000: 50, 7: 3}, 40003, 2).tokens == 40000
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 30), min_size=1, max_size=6), st.integers(1, 9000))
+def test_draws_depend_on_no_size(histogram, budget):
+    one, other = (mixing.draw(histogram, budget, 2, whole=w) for w in (1, 1 << 30))
+    assert one == other and one.tokens == nearest_sum(histogram, budget, 2)
+
+
+def test_large_draws_are_nearest():
+    histogram = {1000: 3_000_000, 11: 80}
+    budget = 1_234_567_960
+    assert mixing.draw(histogram, budget, 1).tokens == min((1000 * i + 11 * j for i in range(1_234_560, 1_234_570) for j in range(81)), key=lambda x: (abs(x - budget), x))
+    # Met only if some 5,000 documents of an equal share are exchanged.
+    assert mixing.draw({10_007: 60_000, 10_009: 60_000}, 500_410_000, 1).tokens == 500_410_000
+    assert mixing.draw({3000: 100_000, 7: 3}, 150_001_300, 1, whole=1 << 20).tokens == 150_000_021
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abcdefgh"), min_size=40, max_size=90), st.lists(st.tuples(st.integers(0, 39), st.sampled_from("xyz"), st.sampled_from("isd")), max_size=4))
 def test_what_a_band_finds_is_linked(text, edits):
