@@ -244,7 +244,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p1_classes": p1_classes, "p3_assembly": p3_assembly, "p5_classes": p5_classes, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_assembled": p3_assembled, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p6_limits": p6_limits, "p8_limits": p8_limits, "p9_limits": p9_limits, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_classes": p1_classes, "p3_assembly": p3_assembly, "p5_classes": p5_classes, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_assembled": p3_assembled, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_chunk_counts": p6_chunk_counts, "p6_limits": p6_limits, "p8_limits": p8_limits, "p7_found": p7_found, "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixture": p9_mixture, "p9_limits": p9_limits, "p9_report": p9_report, "p10_found": p10_found, "p10_profile": p10_profile}
 
 
 def oracle_sql() -> dict[str, str]:
