@@ -24,7 +24,7 @@ import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,6 @@ SELF = frozenset("puedo i me my mine myself we us our i'm i'd i'll i've je j'ai
 NOT = frozenset("not no cannot can't won't don't unable never neither nor refuse decline declining couldn't wouldn't shouldn't isn't aren't mustn't without ne pas no nicht kein keine nie puedo impossible".split())
 SORRY = frozenset("sorry apologize apologise apologies apology regret regrets unfortunately désolé désolée siento lamento leid leider malheureusement pardon".split())
 HELP = frozenset("help helping assist assisting answer answering discuss discussing talk comfortable permitted allowed inappropriate guidelines policy able go turn leave rather something steps touching provide share comply respond répondre aider ayudar responder helfen beantworten topic subjects".split())
-MARKED = SELF | NOT | SORRY | HELP
 LEAD = frozenset("you asked question answer q a prompt instruction the was is vous avez demandé usted preguntó sie fragten réponse respuesta antwort frage pregunta".split())
 TAIL = frozenset("the a an and or but that which who of to in on at by for with from as if when while because since until whenever unless although though than so is are was were be been has have had can could will would should must may might not its their this these those each every very such le la les de du des et ou que qui un une pour par avec sur dans est el los las y o en con por para del al der die das und oder dass ein eine einen mit von für auf wird ist".split())
 
@@ -56,31 +55,48 @@ _REFUSAL = re.compile(
     r"|\b(inappropriate|outside what i|not something i|one i turn down|from me\b|other than|beyond what i)"
     r"|\b(je ne peux pas|ne puis|no puedo|kann ich nicht|ich kann nicht|nicht helfen|no me es posible|je refuse)\b"
 )
-_FENCE = re.compile(r"^\s*(```|~~~)")
 _ITEM = re.compile(r"^\s*([-*•]|\d+[.)])\s+")
 _BARE = re.compile(r"^\s*([-*•]|\d+[.)])\s*$")
-_PART = re.compile(r"(?<=[.!?…。])[\"')\]]*\s+(?=\S)|(?<=[.!?])(?=[A-ZÀ-Ý¿¡][a-zà-ÿ])")
+_CUT = re.compile(r"[.!?…。](?:[\"')\]]*\s+(?=\S)|(?<=[.!?])(?=[A-ZÀ-Ý¿¡][a-zà-ÿ]))")  # a part ends with the first of these signs
 _SPEECH = {"en": "english anglais englisch inglés", "fr": "french français französisch francés", "es": "spanish espagnol spanisch español", "de": "german allemand deutsch alemán"}
-_ASKED = {w: code for code, names in _SPEECH.items() for w in names.split()}
-_COMMON = {w: k for k, v in prose.COMMON.items() for w in v if sum(w in other for other in prose.COMMON.values()) == 1}
+_TONGUES = tuple(_SPEECH)
+_ASKED = {w: _TONGUES.index(code) for code, names in _SPEECH.items() for w in names.split()}
+_COMMON = {w: _TONGUES.index(k) for k, v in prose.COMMON.items() for w in v if sum(w in other for other in prose.COMMON.values()) == 1}
+#: Letters of which every match of _REFUSAL in an ASCII text has some.
+_DECLINES = ("i ", "we ", "'m ", "my ", "our ", "inappropriate", "outside what", "from me", "other than", "beyond what", "something i", "one i ", "je ", "ne puis", "no ", "kann ", "nicht helfen")
+#: Blanks for what is not of a word, in ASCII texts without apostrophes.
+_GAPS = bytes(i if chr(i).isalnum() else 32 for i in range(128)) + bytes(128)
 _REFERENCE = re.compile(r"[\w-][./_][\w-]")
 
 
+def parts(line: str) -> tuple[list[str], bool]:
+    """The sentences of a line that isn't code, without blanks around them, and whether it is a list item."""
+    bare = line.strip()
+    item = _ITEM.match(line) if bare[:1] in "-*•" or bare[:1].isdecimal() else None
+    if item:
+        bare = line[item.end() :].strip()
+    out, at = [], 0
+    for cut in _CUT.finditer(bare):
+        out.append(bare[at : cut.start() + 1])
+        at = cut.end()
+    if at < len(bare):
+        out.append(bare[at:])
+    return out, item is not None
+
+
 def clauses(text: str) -> list[tuple[str, bool, bool]]:
     """(clause, whether it is code, whether it is a list item) of a response, in order; blank ones are left out."""
     out: list[tuple[str, bool, bool]] = []
     fenced = False
     for line in text.split("\n"):
-        if _FENCE.match(line):
+        bare = line.strip()
+        if bare.startswith(("```", "~~~")):
             fenced = not fenced
-            continue
-        if not line.strip():
-            continue
-        if fenced:
-            out.append((line.strip(), True, False))
-            continue
-        item = bool(_ITEM.match(line))
-        out += [(p.strip(), False, item) for p in _PART.split(_ITEM.sub("", line)) if p and p.strip()]
+        elif bare and fenced:
+            out.append((bare, True, False))
+        elif bare:
+            found, item = parts(line)
+            out += [(p, False, item) for p in found]
     return out
 
 
@@ -92,38 +108,28 @@ def last_clause(text: str) -> str | None:
     end = len(text)
     while end > 0:
         begin = text.rfind("\n", 0, end) + 1
-        parts = [p for p in _PART.split(_ITEM.sub("", text[begin:end])) if p and p.strip()]
-        if parts:
-            return parts[-1].strip()
+        found, _ = parts(text[begin:end])
+        if found:
+            return found[-1]
         end = begin - 1
     return None
 
 
-def languages(words: list[str]) -> dict[str, int]:
-    """Number of words that only one language has, by language."""
-    votes: dict[str, int] = {}
-    for own in filter(None, map(_COMMON.get, words)):
-        votes[own] = votes.get(own, 0) + 1
-    return votes
-
-
-def lowered(words: list[str]) -> list[str]:
-    """All words in lower case, by one call."""
-    return " ".join(words).lower().split(" ") if words else []
+def words_of(text: str) -> list[str]:
+    """What prose.WORDS finds; most texts need no pattern for it."""
+    return text.encode().translate(_GAPS).decode().split() if text.isascii() and "'" not in text else prose.WORDS.findall(text)
 
 
-def spoken(votes: dict[str, int], least: int = 2) -> str | None:
-    """The language with most votes; None where they are too few or equal."""
-    if not votes:
-        return None
-    best = max(votes, key=votes.get)
-    n = votes[best]
-    return best if n >= least and sum(v == n for v in votes.values()) == 1 else None
+def spoken(votes: np.ndarray, least: int = 2) -> np.ndarray:
+    """The language (column) with most votes of every row; -1 where they are too few or equal."""
+    top = votes.max(axis=1, initial=0)
+    return np.where((top >= least) & ((votes == top[:, None]).sum(axis=1) == 1), votes.argmax(axis=1), -1)
 
 
-def wanted(words: list[str], own: str | None) -> frozenset[str]:
-    """Languages a prompt asks for by name, besides its own."""
-    return frozenset(_ASKED[w] for w in words if w in _ASKED) - {own}
+def refuses(clause: str) -> bool:
+    """Whether a clause has a phrase of refusal."""
+    low = clause.lower()
+    return (not clause.isascii() or any(x in low for x in _DECLINES)) and _REFUSAL.search(clause) is not None
 
 
 def is_nothing(text: str | None) -> bool:
@@ -162,24 +168,6 @@ class Ends:
         w = ["", "", *cls.form(words)]
         return [tuple(w[-n:]) for n in (1, 2, 3)]
 
-    @classmethod
-    def within(cls, words: list[str], own: list[tuple[str, list[str], list[str]]]) -> list[int]:
-        """How often the last one, two and three of ``words`` occur, and end a sentence, in the clauses ``own`` (text, words, words in lower case)."""
-        grams, out = cls.grams(words), [0] * 6
-        end = grams[0][0]
-        for clause, ws, low in own:
-            if end not in ("#", "^") and end not in low:
-                continue
-            for i, x in enumerate(low):
-                if end == x or end == "^" and ws[i][0].isupper() or end == "#" and x[0].isdigit():
-                    # The word's form and those of the two before it; only the first of a sentence keeps a large letter.
-                    w = ["", "", *cls.form(ws[: i + 1])] if i < 3 else cls.form(["", *ws[i - 2 : i + 1]], 1)
-                    for n, gram in enumerate(grams):
-                        if tuple(w[-n - 1 :]) == gram:
-                            out[2 * n] += 1
-                            out[2 * n + 1] += i == len(ws) - 1 and clause[-1:] in ".!?"
-        return out
-
     def counts(self, words: list[str]) -> list[int]:
         """The counts of the last one, two and three words."""
         return [n for gram in self.grams(words) for n in (self.all[gram], self.last[gram])]
@@ -243,74 +231,188 @@ class Opened:
         return x, self.sizes, tags, self.covered
 
 
-def opened(question: str | None, answer: str, found: list[tuple[str, bool, bool]] | None = None, words: list[list[str]] | None = None) -> Opened:
-    """The features of a response's clauses (and their words, where known) that its own text and its prompt show."""
-    found = clauses(answer) if found is None else found
-    q = lowered(prose.WORDS.findall(question or ""))
-    pairs = set(zip(q, q[1:]))
-    asked = spoken(languages(q))
-    others = wanted(q, asked)
-    rows: list[tuple] = []
-    echoes, sizes = [], []
-    last_facts = 0
-    open_fence = "```" in answer and answer.count("```") % 2 == 1 or "~~~" in answer and answer.count("~~~") % 2 == 1
-    words = [prose.WORDS.findall(c) for c, _, _ in found] if words is None else words
-    lower = [lowered(ws) for ws in words]
-    own_counts = Ends.within(words[-1], [(c, ws, low) for (c, code, _), ws, low in zip(found, words, lower) if not code]) if found and words[-1] else [0] * 6
-    votes = [{} if code else languages(ws) for ws, (_, code, _) in zip(lower, found)]
-    total: dict[str, int] = {}
-    for v in votes:
-        for k, n in v.items():
-            total[k] = total.get(k, 0) + n
-    whole = spoken(total)
-    closed_items = all(c[-1:] in ".!?" for c, _, item in found[:-1] if item)
-    repeated: set = set()
-    for i, (clause, code, item) in enumerate(found):
-        ws, first, last = lower[i], i == 0, i == len(found) - 1
-        sizes.append(max(1, len(ws)))
-        own = set(ws)
-        marked = own & MARKED  # few clauses have any of these words
-        person, negation, sorry, helping = (not marked.isdisjoint(x) for x in (SELF, NOT, SORRY, HELP)) if marked else (False,) * 4
-        if pairs and len(ws) > 1:
-            shared = list(filter(pairs.__contains__, zip(ws, ws[1:])))
-            repeated.update(shared)
-            echo = len(shared) / (len(ws) - 1)
-        else:
-            echo = float(len(ws) == 1 and ws[0] in q)
-        lead = bool(ws) and len(ws) <= 4 and own <= LEAD
-        v = votes[i]
-        tongue = spoken(v) or (whole if v.get(whole, 0) >= max(v.values(), default=0) else None)
-        strange = not code and tongue is not None and asked is not None and tongue != asked
-        foreign = strange and tongue not in others
-        refusing = (person or negation or helping) and not code and bool(_REFUSAL.search(clause))
-        closed, comma, tail = True, False, False
-        if last:
-            closed = clause.rstrip("\"')]}>`*_ ")[-1:] in ".!?…:;" or clause[-1:] == "`" or clause[-1:].isalnum() and bool(_REFERENCE.search(clause.rsplit(None, 1)[-1]))
-            comma = clause[-1:] in ",([-–"
-            tail = bool(ws) and ws[-1] in TAIL
-            last_facts = WORDS * bool(ws) | CAPITAL * bool(ws and words[i][-1][:1].isupper()) | UNKNOWN * bool(len(ws) > 1 and words[i][-1].islower())
-            if not closed and not (len(found) == 1 and len(ws) <= 4):
-                plain = not code and clause[-1:] not in "`}>)]\"'"
-                # Items of a list often have no full stop; one is cut off if the others have or if it ends in an unknown word.
-                listed = item and not (closed_items and i and found[i - 1][2])
-                last_facts |= DANGLING * bool(comma or tail or code and open_fence) | (LISTED if listed else PLAIN) * plain
-            if code and open_fence or i and _BARE.match(clause):
-                closed = False
-                last_facts |= DANGLING
-        echoes.append(echo)
-        rows.append((
-            1, first, last, len(found) == 1, person, negation, person and negation, sorry, sorry and first, helping, person and helping, negation and helping, refusing, refusing and first,
-            0, echo >= 0.75, lead, strange, foreign, tongue is None, closed, comma, tail, code, code and open_fence and last, item, last and not closed, 0, 0, 0, len(ws) <= 4,
-        ))
-    bits = np.fromiter(chain.from_iterable(rows), bool, len(rows) * FEATURES).reshape(len(rows), FEATURES)
-    return Opened(bits, np.array(echoes, np.float32), np.array(sizes, np.int32), len(repeated) / max(1, len(pairs)), last_facts, own_counts)
+_SETS = (SELF, NOT, SORRY, HELP, LEAD, TAIL)
+_IN_SETS = {w: sum((w in x) << k for k, x in enumerate(_SETS)) for w in chain(*_SETS)}
+
+
+class Words(dict):
+    """Numbers of words, and what each of them is, looked up once a word."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+    def numbers(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts, and how many each has."""
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum())), n
+
+    def close(self) -> None:
+        """To be called when all words are numbered."""
+        low = " ".join(self).lower().split(" ") if self else []
+        forms: dict[str, int] = {"": 0}
+        ids: dict[str, int] = {}
+        whole = lambda values: np.fromiter(values, np.int64, len(low))
+        self.low = whole(ids.setdefault(x, len(ids)) for x in low)  # equal for words that differ in capitals only
+        self.sets = whole(map(_IN_SETS.get, low, repeat(0)))
+        self.tongue = whole(map(_COMMON.get, low, repeat(-1)))
+        self.asked = whole(map(_ASKED.get, low, repeat(-1)))
+        # See Ends.form: the form of a sentence's first word, and of others.
+        self.first = whole(forms.setdefault("#" if w[0].isdigit() else x, len(forms)) for w, x in zip(self, low))
+        self.later = whole(forms.setdefault("#" if w[0].isdigit() else "^" if w[0].isupper() else x, len(forms)) for w, x in zip(self, low))
+        self.forms = list(forms)
+
+    def formed(self, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the forms of texts of n words, with two zeros before each text, and the words' places there."""
+        place = np.arange(len(word)) + 2 * np.repeat(np.arange(1, len(n) + 1), n)
+        form = np.zeros(len(word) + 2 * len(n), np.int64)
+        form[place] = self.later[word]
+        begin = (np.cumsum(n) - n)[n > 0]
+        form[place[begin]] = self.first[word[begin]]
+        return form, place
+
+
+@dataclass
+class Said:
+    """The words of clauses that aren't code: their places among forms (see ``Words.formed``), and whether they end a sentence."""
+
+    form: np.ndarray
+    place: np.ndarray
+    ends: np.ndarray
+    forms: list[str]
+
+    def keys(self) -> np.ndarray:
+        """Hashes of the grams that end at each word (words x 3)."""
+        return _keys(self.form, self.place, self.forms)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The keys, none of which is negative, in order and once each."""
+    keys = np.sort(keys)
+    return keys[np.diff(keys, prepend=-1) > 0]
+
+
+def _members(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether keys are among some (see ``_distinct``); most that aren't are told by a few bits."""
+    size = 1 << (16 * len(some)).bit_length()
+    low = lambda x: (x ^ (x >> 17) ^ (x >> 31)) & (size - 1)
+    may = np.zeros(size, bool)
+    may[low(some)] = True
+    out = may[low(keys)]
+    own = keys[out]
+    out[out] = some[np.searchsorted(some, own).clip(max=len(some) - 1)] == own
+    return out
+
+
+def opened(questions: list[str | None], answers: list[str]) -> tuple[list[Opened], Said]:
+    """The features of the clauses of responses that their own text and their prompts show, and the clauses' words."""
+    found = [clauses(a) for a in answers]
+    flat = list(chain.from_iterable(found))
+    words = [words_of(c) for c, _, _ in flat]
+    table = Words()
+    word, n = table.numbers(words)
+    asking, q_n = table.numbers([words_of(q or "") for q in questions])
+    table.close()
+    rows, size, tongues = len(found), len(flat), len(_TONGUES)
+    m = np.fromiter(map(len, found), np.int64, rows)
+    end = np.cumsum(m)
+    row, clause, q_row = np.repeat(np.arange(rows), m), np.repeat(np.arange(size), n), np.repeat(np.arange(rows), q_n)
+    code, item = np.fromiter((x for _, x, _ in flat), bool, size), np.fromiter((x for _, _, x in flat), bool, size)
+    full = np.fromiter((c[-1:] in ".!?" for c, _, _ in flat), bool, size)
+    first, last = np.zeros(size, bool), np.zeros(size, bool)
+    first[(end - m)[m > 0]] = last[end[m > 0] - 1] = True
+
+    def votes(of: np.ndarray, tongue: np.ndarray, among: int) -> np.ndarray:
+        some = tongue >= 0
+        return np.bincount(of[some] * tongues + tongue[some], minlength=among * tongues).reshape(among, tongues)
+
+    # Pairs of words of a clause that its prompt has too.
+    low, q_low, kinds = table.low[word], table.low[asking], len(table) + 1
+    near, q_near = np.flatnonzero(clause[1:] == clause[:-1]), np.flatnonzero(q_row[1:] == q_row[:-1])
+    pair = (row[clause[near]] * kinds + low[near]) * kinds + low[near + 1]
+    q_pair = _distinct((q_row[q_near] * kinds + q_low[q_near]) * kinds + q_low[q_near + 1])
+    shared = _members(pair, q_pair)
+    alone = np.flatnonzero(n[clause] == 1)
+    echo = np.bincount(clause[near[shared]], minlength=size) / np.maximum(1, n - 1)
+    echo[clause[alone]] = _members(row[clause[alone]] * kinds + low[alone], _distinct(q_row * kinds + q_low))
+    covered = np.bincount(_distinct(pair[shared]) // kinds**2, minlength=rows) / np.maximum(1, np.bincount(q_pair // kinds**2, minlength=rows))
+
+    asked = spoken(votes(q_row, table.tongue[asking], rows))
+    others = votes(q_row, table.asked[asking], rows) > 0  # languages a prompt asks for by name
+    said = votes(clause, table.tongue[word], size)
+    said[code] = 0
+    total = np.zeros((rows, tongues), np.int64)
+    np.add.at(total, row, said)
+    whole = spoken(total)[row]
+    tongue = spoken(said)
+    tongue = np.where((tongue < 0) & (whole >= 0) & (said[np.arange(size), whole] >= said.max(axis=1, initial=0)), whole, tongue)
+    strange = ~code & (tongue >= 0) & (asked[row] >= 0) & (tongue != asked[row])
+
+    sets = table.sets[word]
+    some = np.flatnonzero(sets)
+    marks = np.zeros(size, np.int64)
+    np.bitwise_or.at(marks, clause[some], sets[some])
+    person, negation, sorry, helping = (marks >> k & 1 > 0 for k in range(4))
+    lead = (n > 0) & (n <= 4) & (np.bincount(clause[sets >> 4 & 1 > 0], minlength=size) == n)
+    refusing = np.zeros(size, bool)
+    for i in np.flatnonzero((person | negation | helping) & ~code).tolist():
+        refusing[i] = refuses(flat[i][0])
+
+    # Words by their forms; how often those that end a response occur, and end a sentence, in the rest of it.
+    form, place = table.formed(word, n)
+    written = ~code[clause]
+    ends = full[clause]
+    ends[near] = False
+    stop = np.cumsum(n + 2)[end - 1] - 1 if size else np.zeros(rows, np.int64)  # the place of each response's last word
+    ended = m > 0
+    ended[ended] = n[end[ended] - 1] > 0
+    own = np.zeros((rows, 6), np.int64)
+    of = row[clause]
+    same = np.flatnonzero(written & ended[of])
+    for k in range(3):
+        same = same[form[place[same] - k] == form[stop[of[same]] - k]]
+        own[:, 2 * k] = np.bincount(of[same], minlength=rows)
+        own[:, 2 * k + 1] = np.bincount(of[same[ends[same]]], minlength=rows)
+
+    fence = np.fromiter(("```" in a and a.count("```") % 2 == 1 or "~~~" in a and a.count("~~~") % 2 == 1 for a in answers), bool, rows)
+    closed, comma, tail = np.ones(size, bool), np.zeros(size, bool), np.zeros(size, bool)
+    facts = [0] * rows
+    for r in np.flatnonzero(m > 0).tolist():
+        i = int(end[r]) - 1
+        text, is_code, is_item = flat[i]
+        ws = words[i]
+        done = text.rstrip("\"')]}>`*_ ")[-1:] in ".!?…:;" or text[-1:] == "`" or text[-1:].isalnum() and bool(_REFERENCE.search(text.rsplit(None, 1)[-1]))
+        comma[i] = text[-1:] in ",([-–"
+        tail[i] = bool(ws) and ws[-1].lower() in TAIL
+        fact = WORDS * bool(ws) | CAPITAL * bool(ws and ws[-1][:1].isupper()) | UNKNOWN * bool(len(ws) > 1 and ws[-1].islower())
+        if not done and not (m[r] == 1 and len(ws) <= 4):
+            plain = not is_code and text[-1:] not in "`}>)]\"'"
+            # Items of a list often have no full stop; one is cut off if the others have or if it ends in an unknown word.
+            listed = is_item and not (m[r] > 1 and item[i - 1] and all(full[i + 1 - m[r] : i][item[i + 1 - m[r] : i]]))
+            fact |= DANGLING * bool(comma[i] or tail[i] or is_code and fence[r]) | (LISTED if listed else PLAIN) * plain
+        if is_code and fence[r] or m[r] > 1 and len(ws) <= 1 and _BARE.match(text):
+            done = False
+            fact |= DANGLING
+        closed[i] = done
+        facts[r] = fact
+
+    bits = np.zeros((size, FEATURES), bool)
+    columns = (
+        True, first, last, m[row] == 1, person, negation, person & negation, sorry, sorry & first, helping, person & helping, negation & helping, refusing, refusing & first,
+        False, echo >= 0.75, lead, strange, strange & ~others[row, tongue], tongue < 0, closed, comma, tail, code, code & fence[row] & last, item, last & ~closed, False, False, False, n <= 4,
+    )
+    for k, column in enumerate(columns):
+        bits[:, k] = column
+    echo, sizes = echo.astype(np.float32), np.maximum(1, n).astype(np.int32)
+    cuts = zip((end - m).tolist(), end.tolist(), covered.tolist(), facts, own.tolist())
+    return [Opened(bits[i:j], echo[i:j], sizes[i:j], share, fact, counts) for i, j, share, fact, counts in cuts], Said(form, place[written], ends[written], table.forms)
 
 
 def describe(question: str | None, answer: str, ends: Ends) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Features of a response's clauses, their numbers of words, the tags that the rules give them, and the share of the prompt's word pairs that it repeats; sentence ends by ``ends``."""
     last_ = last_clause(answer)
-    o = opened(question, answer)
-    return o.closed(ends.counts(prose.WORDS.findall(last_ or "")) if last_ else [0] * 6, False)
+    (o,), _ = opened([question], [answer])
+    return o.closed(ends.counts(words_of(last_)) if last_ else [0] * 6, False)
 
 
 def defect(tags: np.ndarray, sizes: np.ndarray, covered: float, leads: np.ndarray) -> str | None:
@@ -365,35 +467,16 @@ class Tagger:
         return out
 
 
-class _Later(dict):
-    """Numbers of words that aren't the first of a sentence, by their forms' numbers."""
-
-    def __init__(self, ids: dict[str, int]) -> None:
-        self.ids = ids
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = self.ids.setdefault(Ends.form(["-", word])[1], len(self.ids))
-        return number
-
-
-def _keys(sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the grams that end at each word (words x 3), and each sentence's offset in the words."""
-    flat: list[int] = []
-    ids: dict[str, int] = {"": 0}
-    later = _Later(ids)
-    for ws in sentences:
-        flat += (0, 0, *(ids.setdefault(x, len(ids)) for x in Ends.form(ws[:1])))
-        flat += map(later.__getitem__, ws[1:])
-    index = np.array(flat, np.int64)
-    value = np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in ids], np.uint64)[index]
-    at = np.flatnonzero(index)
+def _keys(form: np.ndarray, at: np.ndarray, forms: list[str]) -> np.ndarray:
+    """Hashes of the grams that end at the places ``at`` of a text of forms' numbers (places x 3)."""
+    value = np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in forms], np.uint64)
     out = np.empty((len(at), 3), np.uint64)
     with np.errstate(over="ignore"):
         total = np.zeros(len(at), np.uint64)
         for n in range(3):
-            total = W.mix64(total * np.uint64(3) + value[at - n] + np.uint64(n + 1))
+            total = W.mix64(total * np.uint64(3) + value[form[at - n]] + np.uint64(n + 1))
             out[:, n] = total
-    return out, np.concatenate([[0], np.cumsum([len(ws) for ws in sentences])]).astype(np.int64)
+    return out
 
 
 def last_grams(pairs: DataFrame) -> DataFrame:
@@ -401,14 +484,30 @@ def last_grams(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last = [(row, ws) for row, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not is_nothing(a) and (last_ := last_clause(a)) is not None and (ws := prose.WORDS.findall(last_))]
-            keys, at = _keys([ws for _, ws in last])
-            keys = keys[at[1:] - 1].view(np.int64)
+            last = [(row, ws) for row, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not is_nothing(a) and (last_ := last_clause(a)) is not None and (ws := words_of(last_))]
+            table = Words()
+            word, n = table.numbers([ws[-4:] for _, ws in last])  # of four words three aren't the first
+            table.close()
+            form, place = table.formed(word, n)
+            keys = _keys(form, place[np.cumsum(n) - 1], table.forms).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([row for row, _ in last], pa.int64()), *(pa.array(np.ascontiguousarray(keys[:, n])) for n in range(3))], ["row", "k0", "k1", "k2"])
 
     return pairs.select("row", "answer").mapInArrow(run, "row long, k0 long, k1 long, k2 long")
 
 
+def _slices(rows: list[int], questions: list[str | None], answers: list[str], most: int = 1 << 21) -> Iterator[list[int]]:
+    """The rows in runs of about ``most`` characters; a longer text is in a run with few others."""
+    own, size = [], 0
+    for i in rows:
+        own.append(i)
+        size += len(answers[i]) + len(questions[i] or "")
+        if size >= most:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
 READ = "row long, tbl string, id string, opened binary, key long, n long, last long"
 
 
@@ -419,22 +518,19 @@ def read(pairs: DataFrame, wanted: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
         for batch in batches:
-            shown, own = [], []
-            for q, a in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if is_nothing(a):
-                    shown.append(None)
-                    continue
-                found = clauses(a)
-                words = [prose.WORDS.findall(c) for c, _, _ in found]
-                shown.append(opened(q, a, found, words).packed())
-                own += [(c, ws) for (c, code, _), ws in zip(found, words) if ws and not code]
-            keys, at = _keys([ws for _, ws in own])
-            closing = np.zeros(len(keys), bool)
-            closing[at[1:] - 1] = [c[-1:] in ".!?" for c, _ in own]
-            flat, closing = keys.reshape(-1), np.repeat(closing, 3)
-            some = set_in(bits, flat)
-            key, index, n = np.unique(flat[some], return_inverse=True, return_counts=True)
-            last = np.bincount(index, closing[some], len(key)).astype(np.int64)
+            questions, answers = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            shown: list[bytes | None] = [None] * len(answers)
+            flat, closing = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+            for own in _slices([i for i, a in enumerate(answers) if not is_nothing(a)], questions, answers):
+                each, said = opened([questions[i] for i in own], [answers[i] for i in own])
+                for i, o in zip(own, each):
+                    shown[i] = o.packed()
+                keys = said.keys().reshape(-1)
+                some = set_in(bits, keys)
+                flat.append(keys[some])
+                closing.append(np.repeat(said.ends, 3)[some])
+            key, index, n = np.unique(np.concatenate(flat), return_inverse=True, return_counts=True)
+            last = np.bincount(index, np.concatenate(closing), len(key)).astype(np.int64)
             m, k = batch.num_rows, len(key)
             none = lambda size, kind: pa.nulls(size, kind)
             yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,9 @@
 """Conversations, answers, personal information, pages and reading levels."""
 
 import random
+import re
+import time
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +142,71 @@ def test_sentence_ends_are_counted_in_all_other_pairs(spark):
     assert not any(f"r{i}" in got for i in range(len(plain), at))
 
 
+PIECES = ["I", "we", "I'm", "can't", "can’t", "cannot", "help", "the", "The", "of", "Der", "nicht", "und", "le", "est", "para", "german", "French", "Sorry", "our guidelines prevent", "x'i can't", "İstanbul", "ΌΣΟΣ", "²x", "12", "a_b", "_", "- ", "\n", "\n- ", "\n3. ", "\n•", "\n12)", "\n```\n", "~~~", ". ", ".", "!", "?\" ", "…", "。", ".B", ".Éa", "...", ",", ")", "`x`", "you asked", "word word", "\x1c", "see run_notes.md", "from me", "beyond what i", "no puedo", "je refuse", "one i turn down", "ſorry", "١٢", "½", "日本語", "’tis", "1.", "Name"]
+
+
+def odd(rng):
+    return "".join(rng.choice(PIECES) + rng.choice([" ", " ", ""]) for _ in range(rng.choice([1, 2, 5, 20, 50])))
+
+
+def test_quick_ways_find_what_the_patterns_find():
+    rng = random.Random(5)
+    part = re.compile(r"(?<=[.!?…。])[\"')\]]*\s+(?=\S)|(?<=[.!?])(?=[A-ZÀ-Ý¿¡][a-zà-ÿ])")
+    for text in (odd(rng) for _ in range(3000)):
+        assert defects.words_of(text) == prose.WORDS.findall(text)
+        assert defects.refuses(text) == bool(defects._REFUSAL.search(text))
+        found = defects.clauses(text)
+        assert defects.last_clause(text) == (found[-1][0] if found else None)
+        for line in text.split("\n"):
+            assert defects.parts(line) == ([p.strip() for p in part.split(defects._ITEM.sub("", line)) if p.strip()], bool(defects._ITEM.match(line)))
+
+
+def test_features_of_many_pairs_are_those_of_each():
+    rng = random.Random(6)
+    answers_ = [odd(rng) for _ in range(800)]
+    questions = [rng.choice([None, "", odd(rng), a]) for a in answers_]
+    many, _ = defects.opened(questions, answers_)
+    echoed = 0
+    for q, a, o in zip(questions, answers_, many):
+        (one,), said = defects.opened([q], [a])
+        assert o.packed() == one.packed()
+        found = [(c, prose.WORDS.findall(c), code) for c, code, _ in defects.clauses(a)]
+        assert o.sizes.tolist() == [max(1, len(ws)) for _, ws, _ in found] and len(said.keys()) == sum(len(ws) for _, ws, code in found if not code)
+        ends = defects.Ends()
+        for c, ws, code in found:
+            if not code:
+                ends.add(c, ws)
+        assert o.own == (ends.counts(found[-1][1]) if found and found[-1][1] else [0] * 6)
+        low = [w.lower() for w in prose.WORDS.findall(q or "")]
+        pairs = set(zip(low, low[1:]))
+        seen = [[p for p in zip(ws, ws[1:]) if p in pairs] for ws in ([w.lower() for w in ws] for _, ws, _ in found)]
+        assert o.covered == len(set().union(*seen)) / max(1, len(pairs))
+        assert np.allclose(o.echo, [len(x) / (len(ws) - 1) if len(ws) > 1 else float(len(ws) == 1 and ws[0].lower() in low) for x, (_, ws, _) in zip(seen, found)])
+        echoed += o.covered > 0
+    assert echoed > 100
+
+
+def test_pairs_are_read_at_little_more_than_finding_their_words(monkeypatch):
+    plain, _ = answers()
+    given = plain * 10
+    texts = [q + "\n" + a for q, a in given]
+    nulls = pa.nulls(len(given), pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(given)), pa.int64()), nulls, nulls, pa.array([q for q, _ in given]), pa.array([a for _, a in given])], ["row", "tbl", "id", "question", "answer"])
+    session = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+    monkeypatch.setattr(defects, "store", lambda frame: frame)
+    run = defects.read(SimpleNamespace(sparkSession=session, select=lambda *_: SimpleNamespace(mapInArrow=lambda f, _: f)), np.zeros(1 << 19, np.uint64))
+
+    def cost(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert cost(lambda: list(run(iter([batch])))) < 6 * cost(lambda: [prose.WORDS.findall(t) for t in texts])
+
+
 NAMES = pii.Gazetteer(["Anna", "Felix", "June", "Will"], ["Corvellan", "Grunevald"])
 
 
