@@ -126,6 +126,48 @@ def test_similar_texts_in_blocks_equal_brute_force():
     assert sorted(got) == sorted(wanted) and len(wanted) > 50
 
 
+def test_signs_find_all_alike_texts_among_few():
+    import difflib
+
+    from millrace.functions import alike
+
+    rng, texts = random.Random(11), []
+    words = ["".join(rng.choice("eeeeetttaaoooiinnsshhrrddllu" + "cmfwypvbgkjqxz."[: rng.choice((0, 6, 15))]) for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    for i in range(30):
+        x = " ".join(rng.choice(words) for _ in range(rng.choice((10, 45, 60, 200, 260))))
+        texts += [x, x[: int(len(x) * 0.88)], x[len(x) // 9 :], x[40:] + x[:40], x + x[-len(x) // 8 :]] + ["".join(c if rng.random() > rate else rng.choice(["", c + "z", "q", "e"]) for c in x) for rate in (0.01, 0.03, 0.05, 0.08)]
+    texts += ["e" * 300, "e" * 320, "e" * 150 + "t" * 160, "ab" * 200, "ab" * 210, "x"]
+    rows = sorted((len(t), f"k{i % 7}-{i}", t) for i, t in enumerate(texts))
+    keys, some = [k for _, k, _ in rows], [t for *_, t in rows]
+    wanted = set()
+    for b, s in zip(keys, some):
+        matcher = difflib.SequenceMatcher(None, "", s)
+        for a, t in zip(keys, some):
+            if a > b and 0.85 * len(s) <= len(t) <= 1.18 * len(s):
+                matcher.set_seq1(t)
+                if matcher.quick_ratio() >= 0.92 and matcher.ratio() >= 0.92:
+                    wanted.add((b, a))
+    made = [alike.signs(some[i : i + 50], 0.92) for i in range(0, len(some), 50)]
+    index = alike.Index(keys, some, alike.joined([alike.columns(r) for r, _ in made], [len(u) for _, u in made]), 0.92)
+    unsure = [k for k, u in zip(keys, (u for _, own in made for u in own)) if u]
+    others = [(k, t) for k, t in zip(keys, some) if k in set(unsure)]
+    others = [k for k, _ in others], [t for _, t in others], [alike.run_numbers(t) for _, t in others]
+    got, pairs = [], 0
+    for c in {alike.length_class(n) for n, *_ in rows}:
+        own = [(k, t) for n, k, t in rows if alike.length_class(n) == c]
+        for i in range(0, len(own), 41):
+            part = [k for k, _ in own[i : i + 41]], [t for _, t in own[i : i + 41]]
+            got += [r[:2] for r in index.ratios(*part)]
+            pairs += sum(1 for _ in index.alike(part[1]))
+            for few in (alike.FEW, 0):
+                alike.FEW, kept = few, alike.FEW
+                whole = [r[:2] for r in alike.matched(*part, c, 0.92, others)]
+                alike.FEW = kept
+                assert sorted(whole) == sorted((b, a) for b, a in wanted if b in set(unsure) and a in set(part[0]))
+    assert len(got) == len(set(got)) and set(got) == {(b, a) for b, a in wanted if b not in set(unsure)}
+    assert len(got) > 120 and len(unsure) > 5 and pairs < 20 * len(wanted)
+
+
 def test_similar_texts_shuffle_no_pairs(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
