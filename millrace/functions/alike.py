@@ -6,9 +6,7 @@ import bisect
 import difflib
 import math
 import pickle
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,7 +147,7 @@ def opened(name: str, sent: list[tuple[bytes, bytes]], least: float, whole: bool
             rows = sorted((len(t), k, t) for keys, some in texts for k, t in zip(keys, some))
             _opened[:] = [name, ([k for _, k, _ in rows], [t for *_, t in rows], [run_numbers(t) for *_, t in rows])]
         else:
-            _opened[:] = [name, Index([k for keys, _ in texts for k in keys], [t for _, some in texts for t in some], joined([unpacked(s) for _, s in sent], [len(keys) for keys, _ in texts]), least)]
+            _opened[:] = [name, Index([k for keys, _ in texts for k in keys], [t for _, some in texts for t in some], *joined([unpacked(s) for _, s in sent], [len(keys) for keys, _ in texts]), least)]
     return _opened[1]
 
 
@@ -203,7 +201,7 @@ def _few_ratios(keys: list, texts: list[str], c: int, least: float, others: list
 # Signs: runs of letters of which texts that match have some
 
 SIGNS = (6, 9, 13, 20)  # letters of a sign
-ENOUGH = 1.3  # losses of the signs that are looked up, in letters that can be unmatched; 1 at least
+ENOUGH = 1.5  # losses of the signs that are looked up, in letters that can be unmatched; 1 at least
 POPULAR = 200  # letters of a text from which difflib leaves popular ones out
 HITS = 1 << 21  # looked at together
 _SEP, _BINS, _THERE = 0xFFFFFFFF, 20, 22  # stands before and after every text; bits of the numbers by which runs are counted, and looked for
@@ -238,8 +236,8 @@ def most_unmatched(n, m, least: float):
     return n - least * (m + n) / 2 + 1e-6
 
 
-def signs(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Signs of each text as the second of a comparison, and which texts have too few.
+def signs(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signs of each text as the second of a comparison, which texts have too few, and (text, start, end) of its spans that can have a loss, the longest first.
 
     difflib takes the letters of a text of 200 and more that are above one in a
     hundred for popular; every matching block has a letter that isn't, an
@@ -288,36 +286,30 @@ def signs(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
     for side, place in enumerate((first[used] + starts[used], last[used] - (q - 1))):
         rows[side]["size"], rows[side]["loss"], rows[side]["run"] = chosen[0, used], loss, chosen[2 + side, used]
         rows[side]["text"], rows[side]["before"], rows[side]["place"] = own, before, place - ends[own] - 1
-    return np.concatenate([rows[0], rows[1][~stops[used]]]), unsure
+    wide = np.lexsort((first - last, owner[first]))
+    begin = ends[owner[first[wide]]] + 1
+    spans = np.stack([owner[first[wide]], first[wide] + 1 - begin, last[wide] - begin]).astype(np.int32)
+    return np.concatenate([rows[0], rows[1][~stops[used]]]), unsure, spans
 
 
-def columns(rows: np.ndarray) -> list[np.ndarray]:
-    """Signs as they are sent: by column."""
-    return [np.ascontiguousarray(rows[c]) for c in SIGN.names]
+def columns(rows: np.ndarray, spans: np.ndarray) -> list[np.ndarray]:
+    """Signs and spans as they are sent: by column."""
+    return [np.ascontiguousarray(rows[c]) for c in SIGN.names] + list(spans)
 
 
-def joined(some: list[list[np.ndarray]], texts: list[int]) -> np.ndarray:
-    """Signs of blocks that have so many texts, as those of all texts in a row."""
-    out, start, n = np.empty(sum(len(c[0]) for c in some), SIGN), 0, 0
-    for own, count in zip(some, texts):
-        for name, values in zip(SIGN.names, own):
-            out[name][start : start + len(values)] = values + n if name == "text" else values
-        start, n = start + len(own[0]), n + count
-    return out
-
-
-def wide_spans(text: str) -> list[tuple[int, int]]:
-    """Spans (first letter, after the last) between anchors that have a loss with signs of the least size, the longest first."""
-    if len(text) < POPULAR:
-        return []
-    popular = "".join(c for c, n in Counter(text).items() if n > len(text) // 100 + 1)
-    found = re.finditer(f"[{re.escape(popular)}]{{{SIGNS[0]},}}", text) if popular else ()
-    return sorted((m.span() for m in found), key=lambda x: x[0] - x[1])
+def joined(some: list[list[np.ndarray]], texts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Signs and spans of blocks that have so many texts, as those of all texts in a row."""
+    first = np.cumsum(texts) - texts
+    rows = np.empty(sum(len(own[0]) for own in some), SIGN)
+    for i, name in enumerate(SIGN.names):
+        rows[name] = np.concatenate([own[i] + n if name == "text" else own[i] for own, n in zip(some, first)])
+    i = len(SIGN.names)
+    return rows, np.stack([np.concatenate([own[i] + n for own, n in zip(some, first)]), *(np.concatenate([own[k] for own in some]) for k in (i + 1, i + 2))])
 
 
-def without(first: str, second: str, spans: list[tuple[int, int]], least: float) -> bool:
+def without(first: str, second: str, spans: list[list[int]], least: float) -> bool:
     """Whether a text lacks the signs of so many spans of the second that they can't match to the ratio."""
-    q, can = SIGNS[0], most_unmatched(len(second), len(first), least)
+    q, can = SIGNS[0], len(second) - least * (len(first) + len(second)) / 2 + 1e-6
     for start, end in spans:
         loss = end - start - (q - 2 + (start == 0)) - (end < len(second)) * (q - 2)
         if loss > 0 and (second[start : start + q] if start == 0 else second[start - 1 : start + q - 1]) not in first and (end == len(second) or second[end - q + 1 : end + 1] not in first):
@@ -330,23 +322,28 @@ def without(first: str, second: str, spans: list[tuple[int, int]], least: float)
 class Index:
     """Texts by their signs, to be found by the runs of others."""
 
-    def __init__(self, keys: list, texts: list[str], rows: np.ndarray, least: float):
+    def __init__(self, keys: list, texts: list[str], rows: np.ndarray, spans: np.ndarray, least: float):
         self.keys, self.texts, self.least, self.spans = keys, texts, least, {}
+        self.wide, self.wide_at = spans[1:], np.searchsorted(spans[0], np.arange(len(texts) + 1))
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        self.by_key, self.rank = [keys[i] for i in order], np.empty(len(keys), np.int64)
+        self.rank[order] = np.arange(len(keys))
         self.sizes = np.array([len(t) for t in texts])
         n = self.sizes[rows["text"]]
         #: The longest text for which a sign counts: the losses before it are ENOUGH times what that text can leave unmatched.
         till = (n * (1 - least / 2) + 1 - rows["before"] / ENOUGH) * (2 / least)
         order = np.lexsort((rows["place"], rows["run"], rows["size"]))
-        self.rows, self.till, self.n = rows[order], till[order], n[order]
+        self.rows, self.till, self.n = {c: rows[c][order] for c in SIGN.names}, till[order].astype(np.float32), n[order].astype(np.int32)
         self.span, one = np.unique(rows["text"].astype(np.int64) << 32 | rows["before"], return_index=True)
         self.after = rows["before"][one] + rows["loss"][one]
 
-    def alike(self, texts: list[str]) -> Iterator[tuple[int, int]]:
-        """(place of one of the texts, of one of the index) that may match to the ratio, the index's being the second of the comparison: none that does is left out, but of texts without signs."""
+    def alike(self, keys: list, texts: list[str]) -> Iterator[tuple[int, int]]:
+        """(place of one of the texts, of one of the index with a lesser key) that may match to the ratio, the index's being the second of the comparison: none that does is left out, but of texts without signs."""
+        lesser = np.array([bisect.bisect_left(self.by_key, key) for key in keys])
         code, ends = laid(texts)
         sizes, far = np.diff(ends) - 1, (2 - self.least) / self.least
-        near = (self.till >= sizes.min()) & (self.n <= sizes.max() * far + 1)
-        rows, found = self.rows[near], []
+        near = np.flatnonzero((self.till >= sizes.min() - 1) & (self.n <= sizes.max() * far + 1))
+        rows, found = {c: values[near] for c, values in self.rows.items()}, []
         parts = np.searchsorted(rows["size"], np.arange(len(SIGNS) + 1))
         for s, _, run in numbered(code):
             low, high = parts[s : s + 2]
@@ -374,20 +371,22 @@ class Index:
         a = 0
         while a < len(texts):
             b = max(a + 1, int(np.searchsorted(hits, hits[a] + HITS, "right")) - 1)
-            yield from self._alike(rows, found[:, heads[a] : heads[b]], sizes)
+            yield from self._alike(rows, found[:, heads[a] : heads[b]], sizes, lesser)
             a = b
 
-    def _alike(self, rows: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    def _alike(self, rows: dict[str, np.ndarray], found: np.ndarray, sizes: np.ndarray, lesser: np.ndarray) -> Iterator[tuple[int, int]]:
         one, place, start, count = found
         which = np.repeat(np.arange(len(one)), count)
         at = np.arange(len(which)) + (start - np.cumsum(count) + count)[which]
-        one, moved, other, before = one[which], place[which] - rows["place"][at], rows["text"][at].astype(np.int64), rows["before"][at]
-        m, n = sizes[one], self.sizes[other]
-        mine, theirs = most_unmatched(m, n, self.least), most_unmatched(n, m, self.least)
-        fit = np.flatnonzero((mine >= 0) & (before <= ENOUGH * theirs) & (moved <= mine) & (-moved <= theirs))
+        text, one = rows["text"][at], one[which]
+        own = np.flatnonzero(self.rank[text] < lesser[one])
+        at, one, text = at[own], one[own], text[own]
+        m, n, moved, before = sizes[one], self.sizes[text], place[which[own]] - rows["place"][at], rows["before"][at]
+        whole = self.least / 2 * (m + n) - 1e-6  # letters that are matched at least
+        fit = np.flatnonzero((m >= whole) & (before <= ENOUGH * (n - whole)) & (moved <= m - whole) & (-moved <= n - whole))
         if not len(fit):
             return
-        pair, before, loss = one[fit] * len(self.sizes) + other[fit], before[fit], rows["loss"][at[fit]]
+        pair, before, loss = one[fit] * len(self.sizes) + text[fit], before[fit], rows["loss"][at[fit]]
         order = np.lexsort((before, pair))
         pair, before, loss = pair[order], before[order], loss[order]
         new = np.append(True, pair[1:] != pair[:-1])
@@ -402,13 +401,12 @@ class Index:
     def ratios(self, keys: list, texts: list[str]) -> Iterator[tuple]:
         """(lesser key, greater key, their texts, ratio) of the index's texts and others of greater keys that match to the ratio, the greater key's text being the first of the comparison."""
         matcher = difflib.SequenceMatcher(None)
-        for x, y in self.alike(texts):
-            if keys[x] > self.keys[y]:
-                s, t = self.texts[y], texts[x]
-                if y not in self.spans:
-                    self.spans[y] = wide_spans(s)
-                if not without(t, s, self.spans[y], self.least):
-                    matcher.set_seqs(t, s)
-                    ratio = matcher.ratio()
-                    if ratio >= self.least:
-                        yield self.keys[y], keys[x], s, t, ratio
+        for x, y in self.alike(keys, texts):
+            s, t = self.texts[y], texts[x]
+            if y not in self.spans:
+                self.spans[y] = self.wide[:, self.wide_at[y] : self.wide_at[y + 1]].T.tolist()
+            if not without(t, s, self.spans[y], self.least):
+                matcher.set_seqs(t, s)
+                ratio = matcher.ratio()
+                if ratio >= self.least:
+                    yield self.keys[y], keys[x], s, t, ratio

@@ -148,8 +148,8 @@ def test_signs_find_all_alike_texts_among_few():
                 if matcher.quick_ratio() >= 0.92 and matcher.ratio() >= 0.92:
                     wanted.add((b, a))
     made = [alike.signs(some[i : i + 50], 0.92) for i in range(0, len(some), 50)]
-    index = alike.Index(keys, some, alike.joined([alike.columns(r) for r, _ in made], [len(u) for _, u in made]), 0.92)
-    unsure = [k for k, u in zip(keys, (u for _, own in made for u in own)) if u]
+    index = alike.Index(keys, some, *alike.joined([alike.columns(r, s) for r, _, s in made], [len(u) for _, u, _ in made]), 0.92)
+    unsure = [k for k, u in zip(keys, (u for _, own, _ in made for u in own)) if u]
     others = [(k, t) for k, t in zip(keys, some) if k in set(unsure)]
     others = [k for k, _ in others], [t for _, t in others], [alike.run_numbers(t) for _, t in others]
     got, pairs = [], 0
@@ -158,7 +158,7 @@ def test_signs_find_all_alike_texts_among_few():
         for i in range(0, len(own), 41):
             part = [k for k, _ in own[i : i + 41]], [t for _, t in own[i : i + 41]]
             got += [r[:2] for r in index.ratios(*part)]
-            pairs += sum(1 for _ in index.alike(part[1]))
+            pairs += sum(1 for _ in index.alike(*part))
             for few in (alike.FEW, 0):
                 alike.FEW, kept = few, alike.FEW
                 whole = [r[:2] for r in alike.matched(*part, c, 0.92, others)]
